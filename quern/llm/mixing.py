@@ -16,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import table
+from quern.llm.common import staged, table
 
 SEED = 20240607
 #: Largest mean inverted at once, and the number of steps that hold its distribution to the last bit of a double.
 PIECE, STEPS = 16, 90
+#: Up to this many sources (a kilobyte each) their table is broadcast; beyond it Spark shuffles and splits hot sources.
+BROADCAST_SOURCES = 10_000
 #: Default target: shares in proportion to characters to this power.
 TEMPERATURE = 0.7
 
@@ -47,8 +49,8 @@ def source_rates(docs: DataFrame, source_col: str = "source", text_col: str = "t
 def poisson_replicate(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """All columns of docs, repeated by the drawn counts, with copy_no (from 1) and order_key, sorted by order_key.
 
-    The table of sources is joined without a hint: Spark broadcasts it below its own threshold and splits a hot source's
-    partition beyond. The sort by a hash is the global shuffle."""
+    The table of sources is broadcast if it is counted as small, so the texts are shuffled once, by the sort: the order
+    of a hash is the global shuffle."""
     docs = docs.drop("copy_no", "order_key")
     rates = source_rates(docs, source_col, text_col, weights, temperature)
     mean = F.col("rate") / F.col("_pieces")
@@ -59,6 +61,9 @@ def poisson_replicate(docs: DataFrame, id_col: str = "doc_id", source_col: str =
         lambda a: a["all"],
     )
     rates = rates.withColumn("_pieces", F.greatest(F.lit(1), F.ceil(F.col("rate") / PIECE)).cast("int")).withColumn("_cdf", steps).withColumnRenamed("rate", "_rate")
+    rates = staged(rates.drop("_chars"), "rates")
+    if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        rates = F.broadcast(rates)
     drawn = F.aggregate(
         F.sequence(F.lit(1), F.col("_pieces")),
         F.lit(0),
