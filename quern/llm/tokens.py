@@ -5,17 +5,18 @@ files of the shared folder. A file holds chunks of at most CHUNK ids: each chunk
 ids, or bit k of all ids), each plane is compressed with zstandard alone, and a footer keeps the index of the chunks
 (offset, number of ids, sizes of the planes) and of the documents. Planes of high bytes are nearly constant and vanish.
 
-Encoding works on pieces: the text is cut before each single space that stands between two characters that aren't white
-space. The byte-level pre-tokenizer always begins a new pre-token there, so the ids of the pieces are the ids of the
-text; a piece's ids are remembered (up to MEMO pieces a task), and unknown pieces go to the library in batches.
+Encoding works on pieces: the text is cut before spaces where the byte-level pre-tokenizer always begins a new
+pre-token, so the ids of the pieces are the ids of the text; a piece's ids are remembered (two generations of up to MEMO
+pieces a task), and unknown pieces go to the library in batches.
 
 Defined results: a null text counts as empty and has the end id alone; texts are never cut; rows are ordered by id, nulls
-first, rows with equal ids by text; repeated rows are written each; an empty table writes no file and gives an empty result. Other
+first, rows with equal ids by a hash of their tokens; repeated rows are written each; an empty table writes no file and gives an empty result. Other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -31,9 +32,11 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import new_dir, staged, table, text_rows
 
-CHUNK, MEMO = 1 << 16, 1 << 19
+CHUNK, MEMO = 1 << 16, 600_000
 MAGIC = b"QPLANES1"
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_CUT = re.compile(r"(?<=\S)(?= \S)")
+_INNER_SPACE = re.compile(r"\s \s")
+_WORD_END = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?%$&*#|]+)$")
 
 
 def default_tokenizer() -> str:
@@ -42,35 +45,70 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def cut(text: str) -> list[str]:
+    """Pieces that are encoded alike alone and in the text. In a run of white space the pre-tokenizer splits before the
+    last character at most, so cutting before every space is right unless a space stands inside a run or a run ends
+    what is split."""
+    if not text:
+        return []
+    if text[-1].isspace() or "\0" in text or "<|" in text or _INNER_SPACE.search(text):
+        return _CUT.split(text)
+    return text.replace(" ", "\0 ").lstrip("\0").split("\0")
+
+
 class Encoder:
-    """Ids of whole texts, with a memo of pieces."""
+    """Ids of whole texts as little-endian bytes (2 an id if the vocabulary fits, else 4), with a memo of pieces."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, np.ndarray] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = []
-        for text in texts:
-            parts = _CUT.split(text) if text else []
-            pieces.append(parts)
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new: dict[str, None] = {}
-        for parts in pieces:
-            if parts:
-                if parts[0] not in memo:
-                    new[parts[0]] = None
-                new.update((" " + p, None) for p in parts[1:] if " " + p not in memo)
-        names = list(new)
-        for at in range(0, len(names), 4096):
-            some = names[at : at + 4096]
-            for name, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                memo[name] = np.array(got.ids, dtype="<u4").tobytes()
-        return [b"".join([memo[parts[0]], *[memo[" " + p] for p in parts[1:]]]) if parts else b"" for parts in pieces]
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        ends = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_end = ends[0] if len(ends) == 1 else None
+
+    def _ids(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.dtype).tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        """Words and the punctuation after them are pre-tokens of their own, so they are learned apart. Pieces without
+        inner white space go to the library as the lines of one text (a line end is a token of its own between them),
+        the others one by one."""
+        memo, ends = self.memo, {p: (m[1], m[2]) for p in new if (m := _WORD_END.match(p))}
+        names = {x for pair in ends.values() for x in pair} | {p for p in new if p not in ends}
+        names = [p for p in names if p not in memo]
+        plain = [p for p in names if len(p.split()) == 1 and "<|" not in p and not p[-1].isspace()] if self.line_end is not None else []
+        for at in range(0, len(plain), 8192):
+            some = plain[at : at + 8192]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            cuts = np.flatnonzero(ids == self.line_end).tolist()
+            if len(cuts) == len(some) - 1:
+                size, data = ids.itemsize, ids.tobytes()
+                for name, s, e in zip(some, [0, *[c + 1 for c in cuts]], [*cuts, len(ids)], strict=True):
+                    memo[name] = data[s * size : e * size]
+        for p in names:
+            if p not in memo:
+                memo[p] = self._ids(self.tokenizer.encode(p, add_special_tokens=False).ids)
+        for p, (word, end) in ends.items():
+            memo[p] = memo[word] + memo[end]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.memo) > MEMO:  # two generations: what is in use moves on
+            self.old, self.memo = self.memo, {}
+        memo, old = self.memo, self.old
+        pieces = [cut(text) for text in texts]
+        new = []
+        for p in set().union(*pieces).difference(memo):
+            if p in old:
+                memo[p] = old[p]
+            else:
+                new.append(p)
+        self._learn(new)
+        get = memo.__getitem__
+        return [b"".join(map(get, parts)) for parts in pieces]
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -161,10 +199,12 @@ class PlaneReader:
 
 def _encoder(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        encoder = Encoder(path)
+        end = np.array([end_id], encoder.dtype).tobytes()
         for batch in text_rows(batches):
             ids = [x + end for x in encoder.encode([t or "" for t in batch.column("_text").to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(ids, pa.binary())], ["_id", "_ids"])
+            size = np.dtype(encoder.dtype).itemsize
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(ids, pa.binary()), pa.array([size] * len(ids), pa.int32())], ["_id", "_ids", "_size"])
 
     return run
 
@@ -181,8 +221,8 @@ def _file_writer(folder: str, kind: str):
                 out = fs.open_output_stream(f"{path}/{name}", compression=None)
                 writer = PlaneWriter(out, kind)
             counts = []
-            for ids in batch.column("_ids").to_pylist():
-                ids = np.frombuffer(ids, "<u4")
+            for ids, size in zip(batch.column("_ids").to_pylist(), batch.column("_size").to_pylist(), strict=True):
+                ids = np.frombuffer(ids, f"<u{size}").astype("<u4")
                 writer.add(ids)
                 counts.append(len(ids))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_part"), pa.array([name] * len(counts), pa.string()), pa.array(range(place, place + len(counts)), pa.int64()), pa.array(counts, pa.int64())], ["_id", "_part", "file", "place", "n_tokens"])
@@ -201,8 +241,9 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
     folder = folder or new_dir(spark, "tokens")
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = slim.schema["_id"].dataType.simpleString()
-    encoded = staged(slim.mapInArrow(_encoder(tokenizer or default_tokenizer(), end_id), f"_id {kind}, _ids binary"), "ids")
-    ordered = encoded.repartitionByRange(F.col("_id").asc_nulls_first(), F.col("_ids")).sortWithinPartitions(F.col("_id").asc_nulls_first(), F.col("_ids"))
+    encoded = staged(slim.mapInArrow(_encoder(tokenizer or default_tokenizer(), end_id), f"_id {kind}, _ids binary, _size int"), "ids")
+    encoded = encoded.withColumn("_tie", F.xxhash64("_ids"))  # the driver samples the sort keys, so these stay small
+    ordered = encoded.repartitionByRange(F.col("_id").asc_nulls_first(), F.col("_tie")).sortWithinPartitions(F.col("_id").asc_nulls_first(), F.col("_tie"))
     written = ordered.withColumn("_part", F.spark_partition_id()).mapInArrow(_file_writer(folder, planes), f"_id {kind}, _part int, file string, place bigint, n_tokens bigint")
     return folder, staged(written, "token-index").withColumnRenamed("_id", id_col).withColumnRenamed("_part", "part")
 
@@ -244,7 +285,8 @@ def read_tokens(folder: str, index: DataFrame, id_col: str = "doc_id") -> DataFr
     listed = spark.createDataFrame(rows, "file string, first bigint").repartition(max(1, len(rows)), "file")
     back = listed.mapInArrow(_file_reader(folder), "_file string, _place bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
     ids = index.select(id_col, "file", "place")
-    out = ids.join(back, (ids["file"] == back["_file"]) & (ids["place"] == back["_place"]))
+    # a merge join: what comes back has a row for each document, however short the list of files looks to the planner
+    out = ids.join(back.hint("merge"), (ids["file"] == back["_file"]) & (ids["place"] == back["_place"]))
     return out.select(id_col, "start", "n_tokens", "ids_crc32")
 
 
