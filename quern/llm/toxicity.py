@@ -8,7 +8,7 @@ inverse root of the landmarks' kernel matrix maps it to Nystroem features, on wh
 trained with the sentences of labelled documents. A document's score is a logistic function of its sentences' margins: the
 largest, their positive sum, and that sum by length.
 
-Only the fit uses labels, on at most MAX_LABELLED documents (the smallest hashes of their texts); every document is scored as a
+Only the fit uses labels, on at most MAX_LABELLED documents (the smallest hashes of their ids); every document is scored as a
 whole. The model has a fixed size (LANDMARKS words), so it is broadcast as it is.
 
 Defined results: a null or empty text has no sentence and gets the score of an empty kernel vector; rows that repeat are
@@ -38,7 +38,7 @@ DECAY, SPAN, FLOOR = 0.5, 6, 0.5
 POWER = 3
 #: Least standard score of a word's share in toxic documents over the others.
 MIN_Z = 2.5
-LANDMARKS, CANDIDATES, MAX_LABELLED = 128, 800, 8000
+LANDMARKS, CANDIDATES, MAX_LABELLED = 128, 600, 3000
 MAX_WORD, MAX_SENTENCE, MEMO = 40, 40, 1 << 20
 FOLDS = 5
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -91,8 +91,9 @@ class Landmarks:
     def similar(self, words: list[str]) -> list[np.ndarray | None]:
         """By word: kernel values (to POWER), 0 under FLOOR, or None if all are."""
         out: list[np.ndarray | None] = [None] * len(words)
-        for at in range(0, len(words), 8192):
-            self._similar(words[at : at + 8192], at, out)
+        step = max(32, (1 << 18) // len(self.words))  # bounds what is held at once, for many landmarks too
+        for at in range(0, len(words), step):
+            self._similar(words[at : at + step], at, out)
         return out
 
     def _similar(self, words: list[str], at: int, out: list) -> None:
@@ -204,13 +205,13 @@ def _features(margins: np.ndarray, n_words: int, bias: float) -> list[float]:
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss by Newton steps."""
-    x1 = np.column_stack([x, np.ones(len(x))])
+    x1 = np.column_stack([x, np.ones(len(x), x.dtype)])
     w, reg = np.zeros(x1.shape[1]), np.append(np.ones(x.shape[1]), 1e-3)
     for _ in range(steps):
         slack = 1 - y * (x1 @ w)
         act = slack > 0
         xa, wa = x1[act], weight[act] * c
-        new = np.linalg.solve((xa * wa[:, None]).T @ xa + np.diag(reg), xa.T @ (wa * y[act]))
+        new = np.linalg.solve(((xa * wa[:, None].astype(xa.dtype)).T @ xa).astype(float) + np.diag(reg), xa.T @ (wa * y[act]))
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
@@ -281,7 +282,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
                 x.append(v)
                 label.append(1.0 if t else -1.0)
                 weight.append(1.0 / max(1, len(vs)) if t else 1.0 / max(1, len(vs)) ** 0.5)
-    x, label, weight = np.array(x) @ root, np.array(label), np.array(weight)
+    x, label, weight = np.array(x, np.float32) @ root.astype(np.float32), np.array(label), np.array(weight)
     if not (label > 0).any():
         return empty
     weight = np.where(label > 0, weight / weight[label > 0].sum(), weight / weight[label < 0].sum()) * len(texts)
@@ -304,9 +305,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on the labelled documents whose crc32 of the id leaves a remainder (the fold 0 of FOLDS is held out)."""
     known = labels.filter(F.col(label_col).isNotNull() & (F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS != 0))
     known = known.select(F.col(id_col).alias("_i"), F.col(label_col).cast("int").alias("_y"))
+    chosen = known.orderBy(F.xxhash64("_i"), "_i", "_y").limit(max_labelled)  # ids alone are sorted; texts come for the chosen
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    sample = rows.join(known, rows["_id"] == known["_i"]).select("_text", "_y").withColumn("_h", F.xxhash64("_text"))
-    got = sample.orderBy("_h", "_y", "_text").limit(max_labelled).collect()
+    got = rows.join(chosen, rows["_id"] == chosen["_i"]).select("_id", "_text", "_y").collect()
+    got.sort(key=lambda r: (r["_id"], r["_y"], r["_text"]))
     return fit([r["_text"] for r in got], [r["_y"] for r in got])
 
 
