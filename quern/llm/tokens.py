@@ -5,9 +5,9 @@ files of the shared folder. A file holds chunks of at most CHUNK ids: each chunk
 ids, or bit k of all ids), each plane is compressed with zstandard alone, and a footer keeps the index of the chunks
 (offset, number of ids, sizes of the planes) and of the documents. Planes of high bytes are nearly constant and vanish.
 
-Encoding works on pieces: the text is cut before spaces where the byte-level pre-tokenizer always begins a new
-pre-token, so the ids of the pieces are the ids of the text; a piece's ids are remembered (two generations of up to MEMO
-pieces a task), and unknown pieces go to the library in batches.
+Encoding works on pieces: the text is cut before spaces and around line ends, where the byte-level pre-tokenizer always
+begins a new pre-token, so the ids of the pieces are the ids of the text. Each distinct piece of a slice is looked up once;
+its ids are remembered (two generations of up to MEMO pieces a worker), and unknown pieces go to the library in batches.
 
 Defined results: a null text counts as empty and has the end id alone; texts are never cut; rows are ordered by id, nulls
 first, rows with equal ids by a hash of their tokens; repeated rows are written each; an empty table writes no file and gives an empty result. Other
@@ -16,6 +16,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +37,11 @@ from quern.llm.common import new_dir, staged, table, text_rows
 CHUNK, MEMO = 1 << 16, 600_000
 MAGIC = b"QPLANES1"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_INNER_SPACE = re.compile(r"\s \s")
-_WORD_END = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?%$&*#|]+)$")
+_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Texts that the column-wise cut leaves to _CUT: three white characters in a row, two at the end, a NUL, special tokens.
+_ODD = rf"{_SPACE}{_SPACE}(?:{_SPACE}|\z)|\x00|<\|"
+_MARKS = ".,;:!?%$&*#|"
+SLICE = 16 << 20
 
 
 def default_tokenizer() -> str:
@@ -45,17 +50,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def cut(text: str) -> list[str]:
-    """Pieces that are encoded alike alone and in the text. In a run of white space the pre-tokenizer splits before the
-    last character at most, so cutting before every space is right unless a space stands inside a run or a run ends
-    what is split."""
-    if not text:
-        return []
-    if text[-1].isspace() or "\0" in text or "<|" in text or _INNER_SPACE.search(text):
-        return _CUT.split(text)
-    return text.replace(" ", "\0 ").lstrip("\0").split("\0")
-
-
 class Encoder:
     """Ids of whole texts as little-endian bytes (2 an id if the vocabulary fits, else 4), with a memo of pieces."""
 
@@ -74,13 +68,10 @@ class Encoder:
         return np.array(ids, dtype=self.dtype).tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        """Words and the punctuation after them are pre-tokens of their own, so they are learned apart. Pieces without
-        inner white space go to the library as the lines of one text (a line end is a token of its own between them),
-        the others one by one."""
-        memo, ends = self.memo, {p: (m[1], m[2]) for p in new if (m := _WORD_END.match(p))}
-        names = {x for pair in ends.values() for x in pair} | {p for p in new if p not in ends}
-        names = [p for p in names if p not in memo]
-        plain = [p for p in names if len(p.split()) == 1 and "<|" not in p and not p[-1].isspace()] if self.line_end is not None else []
+        """Pieces without inner white space go to the library as the lines of one text (a line end is a token of its own
+        between them), the others one by one."""
+        memo = self.memo
+        plain = [p for p in new if len(p.split()) == 1 and "<|" not in p and not p[-1].isspace()] if self.line_end is not None else []
         for at in range(0, len(plain), 8192):
             some = plain[at : at + 8192]
             ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
@@ -89,26 +80,60 @@ class Encoder:
                 size, data = ids.itemsize, ids.tobytes()
                 for name, s, e in zip(some, [0, *[c + 1 for c in cuts]], [*cuts, len(ids)], strict=True):
                     memo[name] = data[s * size : e * size]
-        for p in names:
+        for p in new:
             if p not in memo:
                 memo[p] = self._ids(self.tokenizer.encode(p, add_special_tokens=False).ids)
-        for p, (word, end) in ends.items():
-            memo[p] = memo[word] + memo[end]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _codes(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces. A letter and the punctuation after it never share a pre-token, so only the word and
+        the punctuation of such a piece are remembered."""
         if len(self.memo) > MEMO:  # two generations: what is in use moves on
             self.old, self.memo = self.memo, {}
         memo, old = self.memo, self.old
-        pieces = [cut(text) for text in texts]
-        new = []
-        for p in set().union(*pieces).difference(memo):
-            if p in old:
-                memo[p] = old[p]
+        ends, missing = {}, set()
+        for p in pieces:
+            word = p.rstrip(_MARKS)
+            if len(word) != len(p) and word and word[-1].isalpha() and word[-1] < "\u0250":
+                ends[p] = (word, p[len(word) :])
+                parts = ends[p]
             else:
-                new.append(p)
-        self._learn(new)
-        get = memo.__getitem__
-        return [b"".join(map(get, parts)) for parts in pieces]
+                parts = (p,)
+            for x in parts:
+                if x not in memo:
+                    if x in old:
+                        memo[x] = old[x]
+                    else:
+                        missing.add(x)
+        self._learn(list(missing))
+        return [memo[ends[p][0]] + memo[ends[p][1]] if p in ends else memo[p] for p in pieces]
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text (null: none). Texts with odd white space are cut one by one, all others as a column."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, _ODD)
+        marked = pc.replace_substring(pc.replace_substring(texts.filter(pc.invert(odd)), " ", "\0 "), "\n", "\0\n\0")
+        out = [self._join(pc.split_pattern(marked, "\0"))]
+        strange = texts.filter(odd)
+        if len(strange):
+            out.append(self._join(pa.array([_CUT.split(t) for t in strange.to_pylist()], pa.list_(pa.large_string()))))
+        order = np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable")
+        return pa.concat_arrays(out).take(pa.array(np.argsort(order, kind="stable"))) if len(out) > 1 else out[0]
+
+    def _join(self, parts: pa.Array) -> pa.Array:
+        """Pieces are encoded once for each distinct one; the joined values of a text are a slice of the taken values."""
+        if not len(parts):
+            return pa.array([], pa.large_binary())
+        flat = parts.flatten().dictionary_encode()
+        data = pa.array(self._codes(flat.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(flat.indices)
+        ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset :][: len(data) + 1] if len(data) else np.zeros(1, np.int64)
+        at = ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        return pa.Array.from_buffers(pa.large_binary(), len(parts), [None, pa.py_buffer(at.tobytes()), data.buffers()[2]])
+
+
+@functools.cache
+def shared_encoder(path: str) -> Encoder:
+    """One encoder a Python worker: tasks that follow each other there find the memo filled."""
+    return Encoder(path)
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -197,14 +222,26 @@ class PlaneReader:
             held, have = [ids[n:]], have - n
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of about SLICE bytes of text, of one row at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy()
+        groups = np.cumsum(sizes, dtype=np.int64) // SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), batch.num_rows]
+        for s, e in zip(cuts, cuts[1:]):
+            if e > s:
+                yield batch.slice(s, e - s)
+
+
 def _encoder(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = shared_encoder(path)
         end = np.array([end_id], encoder.dtype).tobytes()
-        for batch in text_rows(batches):
-            ids = [x + end for x in encoder.encode([t or "" for t in batch.column("_text").to_pylist()])]
-            size = np.dtype(encoder.dtype).itemsize
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(ids, pa.binary()), pa.array([size] * len(ids), pa.int32())], ["_id", "_ids", "_size"])
+        size = np.dtype(encoder.dtype).itemsize
+        for batch in _slices(batches):
+            ids = encoder.encode(batch.column("_text"))
+            ids = pc.binary_join_element_wise(ids, pa.scalar(end, pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), ids.cast(pa.binary()), pa.array([size] * len(ids), pa.int32())], ["_id", "_ids", "_size"])
 
     return run
 

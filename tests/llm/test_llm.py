@@ -10,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -331,9 +332,12 @@ def test_encoder_is_the_tokenizer():
 
     t, e = Tokenizer.from_file(tokens.default_tokenizer()), tokens.Encoder(tokens.default_tokenizer())
     r = random.Random(0)
-    parts = ["a", "it's", "  ", " ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "\x85", "<|endoftext|>", "12", "é", "...", "'", "s", "日本", "\U0001f600", "\u0301", "ok "]
+    parts = ["a", "it's", "  ", " ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "\x85", "<|endoftext|>", "12", "é", "...", "'", "s", "日本", "\U0001f600", "\u0301", "ok ", "\n\n", "word,", "\r\n", "ª.", "x!?", "\0"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(3000)]
-    for text, got in zip(texts, e.encode(texts)):
+    texts += ["", " ", "\n", "a\n\n\nb", "one, two.\nThree"]
+    assert e.encode(pa.array([None, *texts[:3]]).slice(1)).to_pylist() == e.encode(pa.array(texts[:3])).to_pylist()
+    assert e.encode(pa.array([None, None], pa.string())).to_pylist() == [b"", b""] and len(e.encode(pa.array([], pa.string()))) == 0
+    for text, got in zip(texts, e.encode(pa.array(texts)).to_pylist(), strict=True):
         assert np.frombuffer(got, e.dtype).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
