@@ -41,7 +41,7 @@ _SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{20
 #: Texts that the column-wise cut leaves to _CUT: three white characters in a row, two at the end, a NUL, special tokens.
 _ODD = rf"{_SPACE}{_SPACE}(?:{_SPACE}|\z)|\x00|<\|"
 _MARKS = ".,;:!?%$&*#|"
-SLICE = 16 << 20
+SLICE = 8 << 20
 
 
 def default_tokenizer() -> str:
