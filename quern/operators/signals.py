@@ -58,16 +58,22 @@ BUDGET_SQL = """WITH q AS (SELECT p_type AS category, quantile_cont(p_retailpric
 SELECT category, round(a, 4) AS q25, round(b, 4) AS q75, CASE WHEN p_retailprice <= a THEN 'low' WHEN p_retailprice <= b THEN 'mid' ELSE 'high' END AS bucket, count(*) AS n FROM part JOIN q ON p_type = category GROUP BY ALL"""
 
 
+def weights(pool: DataFrame, alpha: float = 0.25) -> DataFrame:
+    """pool with n, its size, and p, a mix of the softmax of the scores and the uniform share (W5). Sizes and sums come from
+    aggregates that are joined back, so that a pool of very many candidates is no single window."""
+    size = pool.groupBy("pool_id").agg(F.count("*").alias("n"), F.max("score").alias("top"))
+    x = pool.join(size, "pool_id").withColumn("soft", F.exp(F.col("score") - F.col("top")))
+    total = pool.join(size, "pool_id").groupBy("pool_id").agg(F.sum(F.exp(F.col("score") - F.col("top"))).alias("z"))
+    return x.join(total, "pool_id").withColumn("p", (1 - alpha) * F.col("soft") / F.col("z") + alpha / F.col("n")).drop("top", "soft", "z")
+
+
 def pool_signals(pool: DataFrame, values: DataFrame, alpha: float = 0.25) -> DataFrame:
     """Per pool and attribute: expected remaining candidates, shrink, resolve@10 and coverage.
 
     pool: pool_id, id, score; values: id, attribute, value (one a product). A candidate stays compatible with a target if
     either lacks the attribute or both have the same value, so what remains for a target is the missing plus its own
     value's group: counts by value, never pairs of candidates."""
-    w = Window.partitionBy("pool_id")
-    x = pool.withColumn("n", F.count("*").over(w)).withColumn("top", F.max("score").over(w))
-    x = x.withColumn("soft", F.exp(F.col("score") - F.col("top")))
-    x = x.withColumn("p", (1 - alpha) * F.col("soft") / F.sum("soft").over(w) + alpha / F.col("n"))
+    x = weights(pool, alpha)
     hit = x.join(values, "id").groupBy("pool_id", "n", "attribute", "value").agg(F.count("*").alias("c"), F.sum("p").alias("p"))
     known = Window.partitionBy("pool_id", "attribute")
     hit = hit.withColumn("covered", F.sum("c").over(known)).withColumn("rem", F.col("n") - F.col("covered") + F.col("c"))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quern.functions import text as T
-from quern.operators import evaluate, retrieval, signals
-from quern.streaming import usage
+from quern.operators import evaluate, mapping, questions, retrieval, signals
+from quern.sources import jsonl
+from quern.streaming import state, usage
 
 NAMES = sorted(n for m in entry.MODULES for n in m.QUERIES)
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -107,3 +108,75 @@ def test_runs_without_the_corpus_operators(tmp_path):
     (tmp_path / "__spark_entry__.py").write_text((repo / "__spark_entry__.py").read_text())
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) == set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_question_spread_by_hand(spark):
+    """Four equal candidates: two red, one blue, one without a colour; sizes 1, 2, 2 and none."""
+    pool = spark.createDataFrame([("p", i, 0.0) for i in range(4)], "pool_id string, id int, score double")
+    wide = spark.createDataFrame([(0, {"color_word": "red", "size": "1"}), (1, {"color_word": "red", "size": "2"}), (2, {"color_word": "blue", "size": "2"})], "id int, vals map<string,string>")
+    got = {r["asked"]: r for r in questions.spread_signals(questions.remaining(pool, wide)).collect()}
+    # colour: 3, 3, 2, 4 stay; pair: 0 keeps {0, 3}, 1 keeps {1, 3}, 2 keeps {2, 3}, 3 keeps all
+    assert got["color_word"]["expected"] == 3 and got["color_word"]["worst"] == 4 and got["color_word"]["coverage"] == 0.75
+    assert got["color_word+size"]["expected"] == 2.5 and got["color_word+size"]["resolve3"] == 0.75 and got["color_word+size"]["p90"] == 4
+    assert got["store"]["expected"] == 4 and got["store"]["coverage"] == 0
+    assert got["store"]["finish_gain"] == pytest.approx(0.5 - 0.2)
+
+
+def test_sizes_and_requirements(spark):
+    texts = ["Size: XL shirt", "fits S/M", "US 8.5 shoe", "waist 32", "size 17 inch", "nothing", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(mapping.text_size(F.col("t"))).collect()] == ["letter_with_context", "letter_range", "us_size", "numeric_with_context", None, None, None, None]
+    fields = spark.createDataFrame([(t,) for t in ["8", "9 W", "x-large", "12 cm", "9 x 6", None]], "t string")
+    assert [r[0] for r in fields.select(mapping.structured_size(F.col("t"))).collect()] == ["structured_numeric_size", "structured_numeric_width", "structured_letter_size", None, None, None]
+    needs = spark.createDataFrame([({"dense": True},), ({"llm": False},), (None,)], "n map<string,boolean>")
+    assert [r[0] for r in needs.select(mapping.requirements_met(F.col("n"), {"dense": False, "llm": False})).collect()] == [False, True, True]
+    rows, known = spark.createDataFrame([("a",), ("b",), (None,)], "config_id string"), spark.createDataFrame([("a",)], "config_id string")
+    assert sorted(str(r[0]) for r in mapping.unknown_configs(rows, known).collect()) == ["None", "b"]
+
+
+def test_constraint_hit_by_hand(spark):
+    rows = [("size", "11", "red ring", "11", "large"), ("color", "red", "red ring", "11", "large"), ("color", "re", "red ring", "11", "large"), ("size", "99", "red ring", "11", "large"), ("style", "red moon", "red ring", None, None), ("style", None, "x", "1", "y")]
+    df = spark.createDataFrame(rows, "a string, v string, title string, size string, category string")
+    hit = mapping.constraint_hit(F.col("a"), F.col("v"), {f: F.col(f) for f in ("title", "size", "category")})
+    assert [r[0] for r in df.select(hit).collect()] == [1.0, 0.8, 0.0, 1.0, 0.25, 0.5]
+
+
+def test_json_lines(spark, tmp_path):
+    lines = ['{"id": "a", "n": 1}', "", "oops", "[1]", '{"n": 2}', '{"id": "b", "n": "x"}', '{"id": "c", "n": null}'] + [json.dumps({"id": f"r{i}", "n": i}) for i in range(3000)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "rows.jsonl").write_text("\n".join(lines) + "\n")
+    schema = spark.createDataFrame([], "id string, n long").schema
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")  # many blocks
+    try:
+        good, bad = jsonl.read_strict(spark, str(tmp_path / "in"), schema, ("id",))
+        assert sorted(r["line"] for r in bad.collect()) == [3, 4, 5, 6]
+        assert {(r["line"], r["id"]) for r in good.collect()} == {(1, "a"), (7, "c")} | {(8 + i, f"r{i}") for i in range(3000)}
+        pos = [r["id"] for r in jsonl.read_catalog(spark, str(tmp_path / "in"), schema).filter("id like 'r%'").orderBy("row_pos").collect()]
+        assert pos == [f"r{i}" for i in range(3000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    import gzip
+
+    with gzip.open(tmp_path / "r.json.gz", "wt") as f:
+        f.write("\n".join(lines))
+    got = jsonl.read_reviews(spark, str(tmp_path / "r.json.gz"), schema, 4)
+    assert got.filter("id like 'r%'").count() == 3000 and got.filter("_corrupt is not null").count() >= 2
+
+
+def test_session_states_equal_the_batch_fold(spark, sf_dir, tmp_path):
+    """Turns in two files, the later ones twice: the stream's last states are those of the batch, repeated turns are stale."""
+    from quern.operators import dialogue
+
+    turns = dialogue.recognise_messages(spark, sf_dir).select("session_id", "turn", "act", "value", F.timestamp_seconds(60 * F.col("turn")).alias("ts")).filter("session_id % 20 = 1").coalesce(1).cache()
+    for rows in (turns.filter("turn <= 3"), turns.filter("turn > 3"), turns.filter("turn between 3 and 5")):
+        rows.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = state.session_states(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out")).outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    repeated = turns.filter("turn between 3 and 5").count()
+    assert out.filter("not accepted").count() == repeated and out.count() == turns.count() + repeated
+    last = out.filter("accepted").groupBy("session_id").agg(F.max_by(F.struct("version", "category", "hard", "soft"), "turn").alias("x"))
+    want = {r["session_id"]: (r["version"], r["category"], r["hard"], r["soft"]) for r in dialogue.fold_state(spark, sf_dir).filter("session_id % 20 = 1").collect()}
+    assert {r["session_id"]: tuple(r["x"]) for r in last.collect()} == want
