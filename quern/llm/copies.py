@@ -1,0 +1,153 @@
+"""Near copies by five-word Jaccard similarity 0.8: MinHash bands for candidates, exact sets of shingles to verify.
+
+op8's own contract (three-word shingles, 3 bits) misses most copies at a similarity of 0.8, whose fingerprints differ by up
+to 11 bits; at that radius no key of the Gray-order index is selective. So candidates come from 30 bands of 5 MinHash
+values of the five-word shingles: a pair at exactly 0.8 shares no band with probability (1 - 0.8^5)^30 = 7e-6, a closer one
+with less. Every link is verified by the two whole sets of shingle hashes.
+
+Under a key, up to ALL texts are compared each with each; more are compared with one of them, what links is merged, and
+the survivors are dealt again. When such a round merges little, the survivors are compared each with each. So no two kept
+documents that share a band reach 0.8, and each dropped one is linked to a kept one, directly or by others. Without keys
+of over ALL texts the groups are exactly the components of the links.
+
+Defined results: words as in op8; one to four words are one shingle; null, empty and blank texts are copies of each other;
+a row is named by its id and text, so rows with equal ids and different texts are compared like any others, and of rows
+with equal id and text one stays; a group keeps its smallest id, a null only if all are null. Texts and shingles are
+compared by 64-bit XXH64.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quern.llm.common import staged, text_rows
+from quern.llm.simhash import components
+
+WORDS, BANDS, ROWS = 5, 30, 5
+#: Texts under one key that are compared each with each at once.
+ALL = 64
+_DRAWN = np.random.default_rng(17).integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64)
+_MASKS, _FACTORS = _DRAWN[0], _DRAWN[1] * np.uint64(2) + np.uint64(1)
+
+
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """The distinct hashes of the text's five-word shingles, sorted; never empty."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    grams = zip(*(words[i:] for i in range(WORDS)), strict=False) if len(words) > WORDS else [words]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), 11) for x in grams), np.uint64))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(hashes), 2048):  # bounds what is held at once
+        np.minimum(least, ((hashes[at : at + 2048] ^ _MASKS) * _FACTORS).min(axis=1), out=least)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+
+
+def _arrays(make):
+    """Rows (node, text) to rows (node, what make gives of the text's shingle hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_rows(batches):
+            made = [make(shingle_hashes(x)).view(np.int64) for x in batch.column(1).to_pylist()]
+            if made:
+                ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made)))], ["node", "made"])
+
+    return run
+
+
+def _candidates(salt: int, whole: bool):
+    """Rows (key, node) sorted by key to pairs (a, b), a under b; star tells that the key had too many for all pairs."""
+    factor = np.uint64(2 * salt * 0x9E3779B97F4A7C15 + 1 & 0xFFFFFFFFFFFFFFFF)
+
+    def pairs(x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        if len(x) <= ALL or whole:
+            for i in range(len(x) - 1):
+                yield np.full(len(x) - 1 - i, x[i]), x[i + 1 :], False
+        else:
+            center = x[np.argmin(x.view(np.uint64) * factor)]
+            others = x[x != center]
+            yield np.full(len(others), center), others, True
+
+    def batch_of(out) -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in list(zip(*out, strict=True))[:2])
+        star = np.concatenate([np.full(len(x), s) for x, _, s in out])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(star)], ["a", "b", "star"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, out, n = None, [], [], 0
+
+        def groups():
+            nonlocal last, held
+            for batch in batches:
+                keys, nodes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                if not len(keys):
+                    continue
+                cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+                if keys[0] != last and held:
+                    yield np.concatenate(held)
+                    held = []
+                if len(cuts) > 2:
+                    yield np.concatenate([*held, nodes[: cuts[1]]])
+                    held = []
+                    for k in np.flatnonzero(np.diff(cuts[1:-1]) > 1) + 1:
+                        yield nodes[cuts[k] : cuts[k + 1]]
+                held.append(nodes[cuts[-2] :])
+                last = keys[-1]
+            if held:
+                yield np.concatenate(held)
+
+        for group in groups():
+            if len(group) < 2:
+                continue
+            for x in pairs(group):
+                out.append(x)
+                n += len(x[0])
+                if n > 20_000:
+                    yield batch_of(out)
+                    out, n = [], 0
+        if out:
+            yield batch_of(out)
+
+    return run
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without near copies: of each group the row with the smallest id."""
+    node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    slim = docs.select(F.col(id_col).alias("_id"), node.alias("node"), F.col(text_col).alias("_text"))
+    nodes = staged(slim.groupBy("node").agg(F.min("_id").alias("first")), "copies")
+    named = nodes.withColumnRenamed("node", "_n")
+    one = slim.join(named, (F.col("node") == F.col("_n")) & F.col("_id").eqNullSafe(F.col("first")), "left_semi")
+    live = staged(one.select("node", "_text").mapInArrow(_arrays(bands), "node bigint, made array<bigint>").dropDuplicates(["node"]), "bands")
+    sets, salt, whole = None, 0, False
+    while True:
+        rows = live.select(F.explode("made").alias("key"), "node").repartition("key").sortWithinPartitions("key")
+        found = rows.mapInArrow(_candidates(salt, whole), "a bigint, b bigint, star boolean")
+        found = staged(found.groupBy("a", "b").agg(F.max("star").alias("star")), "candidates")
+        if sets is None:  # later rounds look at some of the same texts
+            wanted = found.select(F.explode(F.array("a", "b")).alias("_n")).distinct()
+            texts = one.join(wanted, F.col("node") == F.col("_n"), "left_semi").select("node", "_text")
+            sets = staged(texts.mapInArrow(_arrays(lambda x: x), "node bigint, made array<bigint>").dropDuplicates(["node"]), "sets")
+        left, right = sets.select(F.col("node").alias("a"), F.col("made").alias("x")), sets.select(F.col("node").alias("b"), F.col("made").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        links = staged(found.join(left, "a").join(right, "b").filter(5 * both >= 4 * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
+        n_star, n_links = found.filter("star").count(), links.count()
+        if n_links:
+            labels = components(links).join(nodes, "node")
+            best = labels.groupBy(F.col("label").alias("_l")).agg(F.min(F.struct(F.col("first").isNull().alias("null"), "first", "node")).alias("best"))
+            gone = labels.join(best, labels["label"] == best["_l"]).filter("node <> best.node").select("node")
+            live = staged(live.join(gone, "node", "left_anti"), "bands")
+        if not n_star:
+            break
+        salt, whole = salt + 1, 4 * n_links < n_star
+    kept = live.select("node").join(nodes, "node").select(F.col("node").alias("_n"), F.col("first").alias("_f"))
+    out = docs.withColumn("_node", node).join(kept, (F.col("_node") == F.col("_n")) & F.col(id_col).eqNullSafe(F.col("_f")), "left_semi")
+    return out.dropDuplicates([id_col, "_node"]).select(*docs.columns)

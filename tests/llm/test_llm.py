@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from quern.llm import decontaminate, mixing, quality, queries, secrets, simhash, substrings, tokens, toxicity, urls, warc
+from quern.llm import copies, decontaminate, mixing, quality, queries, secrets, simhash, substrings, tokens, toxicity, urls, warc
 from quern.llm.common import table
 
 DOCS = "doc_id bigint, text string, source string, lang string, score double, rate double, copy_no int, _rk string, n string"
@@ -428,3 +428,69 @@ def test_pipeline(spark, sf_dir):
     assert {r["doc_id"] for r in mixed} <= clean and Counter(r["doc_id"] for r in last) == Counter(r["doc_id"] for r in mixed)
     assert sum(r["n_tokens"] for r in last) == max(r["start"] + r["n_tokens"] for r in last)
     assert sorted_rows(corpus_pipeline.run(spark, sf_dir)) == sorted((tuple(r) for r in last), key=repr)
+
+
+def five_words(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def five_word_groups(texts):
+    sets, parent = [five_words(t) for t in texts], list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(sets))]
+
+
+def test_near_copies_brute(spark, empty):
+    rows, r = corpus(6, 60), random.Random(3)
+    for i in range(60):  # one to nine changed words: similarity from about 0.6 to 0.97
+        words = rows[i % 12][1].split(" ") + [f"v{i % 12}-{k}" for k in range(60)]
+        for k in r.sample(range(len(words)), r.randint(1, 9)):
+            words[k] = f"z{i}-{k}"
+        rows.append((300 + i, " ".join(words), *rows[0][2:]))
+    rows.append((300, "another text under an id that is taken already", *rows[0][2:]))
+    comp = five_word_groups([x[1] for x in rows])
+    ids = Counter(min(((x[0] is None, x[0]) for x, d in zip(rows, comp) if d == c), key=lambda p: (p[0], p[1] or 0))[1] for c in set(comp))
+    docs = spark.createDataFrame(rows, DOCS)
+    assert Counter(x["doc_id"] for x in copies.one_of_each(docs).collect()) == ids
+    assert Counter(x["doc_id"] for x in simhash.one_of_each(docs).collect()) != ids
+    assert copies.one_of_each(empty).count() == 0
+
+
+def test_near_copies_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(copies, "ALL", 4)
+    r, rows = random.Random(8), []
+    for i in range(80):
+        words = [f"w{k}" for k in range(150)]
+        for k in r.sample(range(150), r.randint(1, 5)):
+            words[k] = f"z{i}-{k}"
+        rows.append((i, " ".join(words)))
+    kept = copies.one_of_each(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    sets = [five_words(x["text"]) for x in kept]
+    assert all(5 * len(x & y) < 4 * len(x | y) for i, x in enumerate(sets) for y in sets[:i])
+    comp = five_word_groups([t for _, t in rows])
+    assert {x["doc_id"] for x in kept} >= {rows[c][0] for c in comp} and len(kept) < 80
+
+
+def test_pipeline_drops_all_near_copies(spark, sf_dir):
+    import corpus_pipeline
+
+    docs, seen = table(spark, sf_dir, "documents"), []
+    for _name, stage in corpus_pipeline.STAGES[:3]:
+        seen.append(docs)
+        docs = stage(spark, docs, sf_dir).cache()
+    rows = sorted((x["doc_id"], x["text"]) for x in seen[1].collect())
+    kept = {rows[c][0] for c in five_word_groups([t for _, t in rows])}
+    assert {x["doc_id"] for x in seen[2].collect()} == kept and seen[2].columns == seen[0].columns
+    items = [decontaminate.shingles(decontaminate.tokens(x["text"])) for x in table(spark, sf_dir, "benchmark").collect()]
+    texts = {i: decontaminate.shingles(decontaminate.tokens(t)) for i, t in rows}
+    assert {x["doc_id"] for x in docs.collect()} == {i for i in kept if not any(10 * len(s & texts[i]) >= 8 * len(s) for s in items)}
