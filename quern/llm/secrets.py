@@ -1,9 +1,9 @@
 r"""Secret scans with corpus-wide ownership frequency: DataFrame functions only.
 
 Base patterns (assign, access, hex) always count. All values, and those of wide candidates (tokens of 24 or more mixed
-characters), are hashed and counted across the corpus by distinct owners and distinct repositories: a value that several owners carry is a copied
-example, one that a single owner has is a live-looking credential, and a wide candidate's
-span is added. Positions come from the pieces
+characters), are hashed and counted across the corpus by distinct owners and distinct repositories: a value that several owners carry, or
+many repositories of one owner, is a copied example; one of few owners and few repositories is a live-looking credential,
+and a wide candidate's span is added. The counts of every match are returned with it. Positions come from the pieces
 between the matches: regexp_extract_all and split with one pattern interleave exactly.
 
 Defined results: a null text counts as empty and has no span; spans are code points, end exclusive; texts are never cut;
@@ -27,6 +27,8 @@ KINDS = ("assign", "access", "hex", "owned")
 MIN_VALUE = 8
 #: A value with more owners than this is a copied example.
 MAX_OWNERS = 1
+#: So is one in more repositories than this, whoever owns them.
+MAX_REPOS = 2
 
 
 def _spans(text: Column, rank: int, pattern: str, good) -> Column:
@@ -77,9 +79,9 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"], s["end"])), ",")
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repository: Column | None = None, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """id, base (array of spans), owned (array of spans), n_copied: matches of either sort whose value several
-    owners carry. Base spans stay whatever their frequency; wide ones only if owned.
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repository: Column | None = None, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """id, base (array of spans), owned (array of spans), n_copied: matches of either sort whose value more owners or
+    repositories carry than the limits say, counts: owners, repositories and rows of the value of every match. Base spans stay whatever their frequency; wide ones only if owned.
 
     One pass over the texts, staged without them; the frequency join takes the candidates alone."""
     owner = F.col("source") if owner is None else owner
@@ -94,21 +96,25 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = scanned.filter(F.size(every) > 0).select("_row", "_owner", "_repo", F.explode(every).alias("s"))
     secret = F.when(F.col("s.rank") == 0, F.regexp_extract("s.value", ASSIGN, 2)).otherwise(F.col("s.value"))
     found = found.withColumn("_hash", F.sha2(secret, 256))
-    counts = ownership(found).select(F.col("_hash").alias("_h"), "n_owners")
+    counts = ownership(found).select(F.col("_hash").alias("_h"), "n_owners", "n_repos", "n_rows")
     judged = found.join(counts, found["_hash"] == counts["_h"])
-    own = F.col("n_owners") <= max_owners
+    own = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
     kept = F.when(own & (F.col("s.rank") >= len(BASE)), F.col("s"))
-    by_row = judged.groupBy(F.col("_row").alias("_r")).agg(F.array_sort(F.collect_list(kept)).alias("owned"), F.sum(F.when(own, 0).otherwise(1)).alias("n_copied"))
+    count = F.struct("s.start", "s.rank", "s.end", "n_owners", "n_repos", "n_rows")
+    by_row = judged.groupBy(F.col("_row").alias("_r")).agg(F.array_sort(F.collect_list(kept)).alias("owned"), F.sum(F.when(own, 0).otherwise(1)).alias("n_copied"), F.array_sort(F.collect_list(count)).alias("counts"))
     none = F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")
+    no_counts = F.array().cast("array<struct<start:int,rank:int,end:int,n_owners:bigint,n_repos:bigint,n_rows:bigint>>")
     out = scanned.join(by_row, scanned["_row"] == by_row["_r"], "left")
-    return out.select(F.col("_id").alias(id_col), "base", F.coalesce("owned", none).alias("owned"), F.coalesce("n_copied", F.lit(0)).cast("bigint").alias("n_copied"))
+    return out.select(F.col("_id").alias(id_col), "base", F.coalesce("owned", none).alias("owned"), F.coalesce("n_copied", F.lit(0)).cast("bigint").alias("n_copied"), F.coalesce("counts", no_counts).alias("counts"))
 
 
 def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("bigint")
     every = F.array_sort(F.concat("base", "owned"))
+    names = F.array(*map(F.lit, (*KINDS[:-1], "wide")))
+    counts = F.array_join(F.transform("counts", lambda c: F.concat_ws(":", F.element_at(names, c["rank"] + 1), c["start"], c["end"], c["n_owners"], c["n_repos"], c["n_rows"])), ",")
     return found.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"), F.size("owned").cast("bigint").alias("n_owned"), "n_copied",
+        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"), F.size("owned").cast("bigint").alias("n_owned"), "n_copied", counts.alias("counts"),
     )

@@ -383,6 +383,15 @@ def test_secret_ownership(spark):
     assert got[3]["owned"] == [] and got[3]["n_copied"] == 1 and len(got[5]["base"]) == 1
 
 
+def test_secret_copied_over_repositories_of_one_owner(spark):
+    copied, live = "Cd2" * 10, "Ab1" * 10
+    rows = [(i, f"x {copied}", "hot", lang) for i, lang in enumerate(("en", "de", "fr", "es", "en"))] + [(9, live, "hot", "en")]
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id int, text string, source string, lang string")).collect()}
+    assert all(got[i]["owned"] == [] and got[i]["n_copied"] == 1 for i in range(5))
+    assert [tuple(c) for c in got[0]["counts"]] == [(2, 3, 32, 1, 4, 5)]
+    assert len(got[9]["owned"]) == 1 and [tuple(c) for c in got[9]["counts"]] == [(0, 3, 30, 1, 1, 1)]
+
+
 def test_digests(spark, sf_dir):
     for row in queries.QUERIES["op10_secret_ownership"](spark, sf_dir).join(table(spark, sf_dir, "documents"), "doc_id").collect():
         found = brute_secrets(row["text"])
