@@ -70,9 +70,14 @@ SELECT event_type, round(mean, 6) AS mean, round(se, 6) AS se, eligible, event_t
 
 
 def paired_bootstrap(spark: SparkSession, sf_dir: str, rounds: int = 200, seed: int = 7) -> DataFrame:
-    """Interval of the mean hit rate from Poisson bootstrap weights hashed by (seed, round, session) (E4): no resampled rows
-    are made beyond round sums, each session adds its weight to every round."""
+    """Interval of the mean hit rate of one configuration; bootstrap_difference() compares two."""
     out = outcomes(sessions(spark, sf_dir)).withColumn("y", F.when(F.col("first_hit_turn").isNotNull(), 1.0).otherwise(0.0))
+    return bootstrap(out, rounds, seed)
+
+
+def bootstrap(out: DataFrame, rounds: int = 200, seed: int = 7) -> DataFrame:
+    """Interval of the mean of y from Poisson bootstrap weights hashed by (seed, round, session): no resampled rows are made
+    beyond round sums, each session adds its weight to every round."""
     cdf, p, total = [], 0.36787944117144233, 0.0
     for k in range(9):
         total += p
@@ -91,6 +96,27 @@ w AS (SELECT round, y, (SELECT count(*) FROM k WHERE u >= c) AS w FROM d), m AS
 SELECT count(*) AS rounds, round(avg(m), 6) AS mean, round(quantile_disc(m, 0.025), 6) AS low, round(quantile_disc(m, 0.975), 6) AS high FROM m"""
 
 
+#: The narrower of the two compared configurations releases this many results a turn.
+NARROW = 3
+
+
+def paired(rows: DataFrame) -> DataFrame:
+    """sample_id, y: hit of the full list less hit of its first NARROW results, of each session."""
+    hit = lambda c: F.max(F.when(c, 1.0).otherwise(0.0))
+    return rows.groupBy("sample_id").agg((hit(F.col("hit")) - hit(F.col("hit") & (F.col("rank") <= NARROW))).alias("y"))
+
+
+def bootstrap_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval of the mean paired difference of two configurations over the same sessions."""
+    return bootstrap(paired(sessions(spark, sf_dir)))
+
+
+DIFFERENCE_SQL = f"""WITH RECURSIVE {SESSIONS_SQL}, o AS (SELECT sample_id, max((hit IS TRUE)::INT) - max((hit AND rank <= {NARROW} IS TRUE)::INT) AS y FROM sess GROUP BY 1), k(i, p, c) AS (SELECT 0, 0.36787944117144233::DOUBLE, 0.36787944117144233::DOUBLE UNION ALL SELECT i + 1, p / (i + 1), c + p / (i + 1) FROM k WHERE i < 8),
+d AS (SELECT y, r AS round, ('0x' || substr(md5('7:' || r || ':' || sample_id), 1, 12))::BIGINT / {1 << 48}.0 AS u FROM o, range(1, 201) AS t(r)),
+w AS (SELECT round, y, (SELECT count(*) FROM k WHERE u >= c) AS w FROM d), m AS (SELECT round, sum(w * y) / sum(w) AS m FROM w GROUP BY 1)
+SELECT count(*) AS rounds, round(avg(m), 6) AS mean, round(quantile_disc(m, 0.025), 6) AS low, round(quantile_disc(m, 0.975), 6) AS high FROM m"""
+
+
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic sample of fixed sizes by scenario: the smallest seeded hashes of each stratum."""
     sizes = F.create_map(*[F.lit(x) for kv in (("buying", 8), ("browsing", 8), ("intent_override", 3), ("boundary", 1)) for x in kv])
@@ -133,8 +159,7 @@ LATENCY_SQL = f"WITH {_USAGE} SELECT provider, quantile_disc(latency_ms, 0.5) AS
 
 
 def dedup_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One response a session and message: the first event of each session and provider (W14), with the retention rank of
-    the latest 50 sessions' events kept by user (W13)."""
+    """One response a session and message: the first event of each session and provider."""
     e = usage_events(spark, sf_dir)
     first = e.groupBy("session_id", "provider").agg(F.min("event_id").alias("event_id"), F.count("*").alias("n_seen"))
     return first
@@ -143,6 +168,25 @@ def dedup_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 DEDUP_SQL = f"WITH {_USAGE} SELECT session_id, provider, min(event_id) AS event_id, count(*) AS n_seen FROM ev GROUP BY ALL"
 
 
+KEPT_SESSIONS = 50
+
+
+def latest_sessions(events: DataFrame, k: int = KEPT_SESSIONS) -> DataFrame:
+    """The latest k sessions of each user with their retention rank; a session is a user's day."""
+    day = events.withColumn("session_id", F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMMdd")))
+    last = day.groupBy("user_id", "session_id").agg(F.max("ts").alias("last_ts"), F.count("*").alias("n_events"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("last_ts"), F.desc("session_id")))
+    return last.withColumn("place", place).filter(F.col("place") <= k).select("user_id", "session_id", "place", "n_events")
+
+
+def session_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_sessions(read(spark, sf_dir, "events"))
+
+
+RETENTION_SQL = f"""SELECT user_id, session_id, place, n_events FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_ts DESC, session_id DESC) AS place FROM
+(SELECT user_id, user_id || '-' || strftime(ts, '%Y%m%d') AS session_id, max(ts) AS last_ts, count(*) AS n_events FROM events GROUP BY 1, 2)) WHERE place <= {KEPT_SESSIONS}"""
+
+
 def turn_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change of the value from the turn before within a session, and the runs of one event type."""
     e = read(spark, sf_dir, "events").withColumn("session_id", F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMMdd")))
@@ -158,5 +202,5 @@ y AS (SELECT *, row_number() OVER w AS turn, round(value - lag(value) OVER w, 6)
 z AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS run FROM y), l AS (SELECT session_id, max(n) AS longest_run FROM (SELECT session_id, run, count(*) AS n FROM z GROUP BY ALL) GROUP BY 1)
 SELECT event_id, session_id, turn, change, longest_run FROM z JOIN l USING (session_id)"""
 
-QUERIES = {f.__name__: f for f in (session_metrics, metric_deltas, one_se_choice, paired_bootstrap, stratified_sample, usage_summary, latency_percentiles, dedup_messages, turn_progress)}
-SQL = dict(zip(QUERIES, (SESSION_METRICS_SQL, DELTAS_SQL, ONE_SE_SQL, BOOTSTRAP_SQL, SAMPLE_SQL, USAGE_SQL, LATENCY_SQL, DEDUP_SQL, PROGRESS_SQL), strict=True))
+QUERIES = {f.__name__: f for f in (session_metrics, metric_deltas, one_se_choice, paired_bootstrap, stratified_sample, usage_summary, latency_percentiles, dedup_messages, turn_progress, bootstrap_difference, session_retention)}
+SQL = dict(zip(QUERIES, (SESSION_METRICS_SQL, DELTAS_SQL, ONE_SE_SQL, BOOTSTRAP_SQL, SAMPLE_SQL, USAGE_SQL, LATENCY_SQL, DEDUP_SQL, PROGRESS_SQL, DIFFERENCE_SQL, RETENTION_SQL), strict=True))

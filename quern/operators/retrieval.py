@@ -224,8 +224,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
 
 
 def fingerprint_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products that satisfy all of a set of constraints, for each pair of title words (R22, U2): relational division by
-    counting distinct constraints, with the tier of the bonus."""
+    """Products by their whole set of title words, with the tier of the bonus; constraint_pairs() counts by every pair."""
     c = catalog(spark, sf_dir).select("asin", F.explode(F.array_distinct(T.tokens(F.col("title")))).alias("key"))
     own = c.groupBy("asin").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     counts = own.groupBy(F.array_join("keys", " ").alias("combination")).agg(F.count("*").alias("n_products"))
@@ -236,5 +235,24 @@ def fingerprint_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 FINGERPRINT_SQL = f"""WITH t AS (SELECT p_partkey AS asin, list_sort(list_distinct({TOKENS_SQL.format('p_name')})) AS keys FROM part)
 SELECT array_to_string(keys, ' ') AS combination, count(*) AS n_products, CASE WHEN count(*) = 1 THEN 1.0 WHEN count(*) <= 10 THEN 0.5 WHEN count(*) <= 50 THEN 0.2 ELSE 0.0 END::DOUBLE AS bonus FROM t WHERE len(keys) > 0 GROUP BY 1"""
 
-QUERIES = {f.__name__: f for f in (bm25_okapi_topk, retrieval_metrics, category_route, dense_topk, rrf_fusion, rule_score, fingerprint_count)}
-SQL = dict(zip(QUERIES, (BM25_SQL, METRICS_SQL, CATEGORY_ROUTE_SQL, DENSE_SQL, RRF_SQL, RULE_SCORE_SQL, FINGERPRINT_SQL), strict=True))
+def count_pairs(products: DataFrame) -> DataFrame:
+    """Products that satisfy both constraints, for every pair of keys of a product (asin, keys: distinct and sorted)."""
+    ys = lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.struct(x.alias("first"), y.alias("second")))
+    pairs = products.select("asin", F.explode(F.flatten(F.transform("keys", ys))).alias("k")).select("asin", "k.first", "k.second")
+    counts = pairs.groupBy("first", "second").agg(F.count_distinct("asin").alias("n_products"))
+    n = F.col("n_products")
+    return counts.withColumn("bonus", F.when(n == 1, 1.0).when(n <= 10, 0.5).when(n <= 50, 0.2).otherwise(0.0))
+
+
+def constraint_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products that have both words, for every pair of title words, with the tier of the bonus."""
+    c = catalog(spark, sf_dir).select("asin", F.array_sort(F.array_distinct(T.tokens(F.col("title")))).alias("keys"))
+    return count_pairs(c)
+
+
+PAIRS_SQL = f"""WITH t AS (SELECT p_partkey AS asin, unnest(list_distinct({TOKENS_SQL.format('p_name')})) AS key FROM part)
+SELECT a.key AS first, b.key AS second, count(DISTINCT asin) AS n_products, CASE WHEN count(DISTINCT asin) = 1 THEN 1.0 WHEN count(DISTINCT asin) <= 10 THEN 0.5 WHEN count(DISTINCT asin) <= 50 THEN 0.2 ELSE 0.0 END::DOUBLE AS bonus
+FROM t a JOIN t b USING (asin) WHERE a.key < b.key GROUP BY 1, 2"""
+
+QUERIES = {f.__name__: f for f in (bm25_okapi_topk, retrieval_metrics, category_route, dense_topk, rrf_fusion, rule_score, fingerprint_count, constraint_pairs)}
+SQL = dict(zip(QUERIES, (BM25_SQL, METRICS_SQL, CATEGORY_ROUTE_SQL, DENSE_SQL, RRF_SQL, RULE_SCORE_SQL, FINGERPRINT_SQL, PAIRS_SQL), strict=True))

@@ -180,3 +180,13 @@ def test_session_states_equal_the_batch_fold(spark, sf_dir, tmp_path):
     last = out.filter("accepted").groupBy("session_id").agg(F.max_by(F.struct("version", "category", "hard", "soft"), "turn").alias("x"))
     want = {r["session_id"]: (r["version"], r["category"], r["hard"], r["soft"]) for r in dialogue.fold_state(spark, sf_dir).filter("session_id % 20 = 1").collect()}
     assert {r["session_id"]: tuple(r["x"]) for r in last.collect()} == want
+
+
+def test_pairs_differences_and_retention(spark):
+    own = spark.createDataFrame([(1, ["blue", "cotton", "red"]), (2, ["cotton", "red"])], "asin int, keys array<string>")
+    assert {(r["first"], r["second"]): (r["n_products"], r["bonus"]) for r in retrieval.count_pairs(own).collect()} == {("blue", "cotton"): (1, 1.0), ("blue", "red"): (1, 1.0), ("cotton", "red"): (2, 0.5)}
+    rows = spark.createDataFrame([("a", True, 1), ("b", True, 7), ("c", False, None)], "sample_id string, hit boolean, rank int")
+    assert {r["sample_id"]: r["y"] for r in evaluate.paired(rows).collect()} == {"a": 0.0, "b": 1.0, "c": 0.0}
+    days = spark.sql("select 1 as user_id, timestamp_seconds(86400 * id) as ts from range(60)")
+    kept = evaluate.latest_sessions(days).collect()
+    assert len(kept) == 50 and {r["session_id"]: r["place"] for r in kept}["1-19700301"] == 1
