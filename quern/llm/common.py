@@ -20,12 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: spark.checkpoint.dir, or one set here where it is unset (tests)."""
+    """Folder that the driver and all executors share: spark.checkpoint.dir, or where that is unset a folder of the
+    warehouse. In local mode alone, where one machine does all, a warehouse that was never set is replaced by a temporary
+    folder; on a cluster one of the two settings must name a shared folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quern-")
+        if spark.sparkContext.master.startswith("local"):
+            base = "file://" + tempfile.mkdtemp(prefix="quern-")
+        elif spark.sparkContext.getConf().get("spark.sql.warehouse.dir"):
+            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quern"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
@@ -40,15 +46,19 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_key(id_col: Column, text_col: Column) -> list[Column]:
-    """Two hash columns (96 bits) that name a row by its id and text; repeated rows share them."""
-    return [F.xxhash64(id_col, text_col).alias("_rk"), F.hash(text_col, id_col).alias("_rk2")]
+#: Lists of keys up to this many rows (some dozen bytes each) are broadcast; beyond it Spark shuffles.
+BROADCAST_ROWS = 300_000
+
 
+def small(df: DataFrame, tag: str) -> DataFrame:
+    """df staged and counted, marked for broadcast if it has at most BROADCAST_ROWS rows."""
+    df = staged(df, tag)
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
-def unsigned_to_long(values: list[int]) -> pa.Array:
-    import numpy as np
 
-    return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
+def row_key(id_col: Column, text_col: Column) -> list[Column]:
+    """Two hash columns (96 bits) that name a row by its id and text; repeated rows share them."""
+    return [F.xxhash64(id_col, text_col).alias("_rk"), F.hash(text_col, id_col).alias("_rk2")]
 
 
 def text_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

@@ -10,13 +10,26 @@ fixed bits that differ exceed 3, and accepted as a whole when even the free bits
 the smallest member of each local group, never as all pairs, and components follow by repeated minimum and pointer
 jumping over staged tables.
 
+one_of_each drops near copies at a five-word Jaccard similarity of SIMILAR or more. Copies at that similarity differ by up
+to 12 bits, so the index is asked for NEAR bits: fingerprints are cut into ten blocks and meet where two blocks agree (no
+pair of up to 8 bits is lost, of those at 9 to 12 few), and every candidate is verified by the two whole sets of
+shingles. Under a key, up to ALL texts give all their pairs within NEAR bits. More are dealt into groups of about DEAL,
+where each is compared with the group's middle and its CLOSEST nearest; what links is merged, and the survivors are
+dealt again. When such a round merges little, the survivors meet once more where three blocks agree, and pairs whose wide
+fingerprints (512 bits of the five-word shingles) are within WIDE_NEAR bits, which a copy exceeds with probability
+0.006, are verified. So the number of pairs grows with the documents, not with the square of a group. A group is a
+component of the verified links; links through a copy that was merged earlier in a large group may be missed.
+
 Defined results: null and empty texts have the fingerprint zero, which links like any other; one or two words are one
 shingle; repeated rows share fingerprint and component; rows without an id are members but never give the component's id
-(null if all lack one); an empty table gives an empty result; other columns are ignored.
+(null if all lack one); an empty table gives an empty result; other columns are ignored. In one_of_each a row is named by
+its id and text (64-bit hash): rows with equal ids and different texts are judged apart, of rows with equal id and text one
+stays, and a group keeps its smallest id, a null only if all are null.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import staged, table, text_rows
+from quern.llm.common import small, staged, table, text_rows
 
 WORDS, SEED, RADIUS = 3, 42, 3
 #: A key with more distinct fingerprints is dealt again by quarters of its free bits.
 DENSE = 2048
+#: one_of_each: shingle size and least Jaccard similarity of near copies, radius of candidates, and (see above) sizes.
+COPY_WORDS, SIMILAR, NEAR = 5, 0.8, 12
+BLOCKS, ALL, DEAL, CLOSEST, WIDE, WIDE_NEAR = 10, 64, 1024, 3, 8, 98
 
 
 def fingerprint(text: str | None) -> int:
@@ -52,6 +68,18 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["_id", "_fp"])
 
 
+def _node_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_rows(batches):
+        values = np.array([fingerprint(x) for x in batch.column("_text").to_pylist()], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("node"), pa.array(values.view(np.int64))], ["_id", "node", "fp"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        packed = [np.array(x, np.int64).tobytes() for x in batch.column("made").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], ["node", "wide"])
+
+
 def gray_rank(codes: np.ndarray) -> np.ndarray:
     """The place of each code in the binary-reflected Gray order."""
     rank = codes.copy()
@@ -60,18 +88,44 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-def local_groups(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For distinct fingerprints, the smallest position of each one's component under links of radius bits or fewer."""
-    n = len(fps)
-    order = np.argsort(gray_rank(fps))
-    codes = fps[order]
-    levels, size = [(codes, codes)], n  # AND and OR masks by level, leaves first
-    while size > 1:
+def hierarchy(fps: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The Gray order of fps, and the AND and OR masks of the nodes over it by level, leaves first."""
+    order = np.argsort(gray_rank(fps), kind="stable")
+    levels = [(fps[order], fps[order])]
+    while (size := len(levels[-1][0])) > 1:
         ands, ors = levels[-1]
         if size % 2:
             ands, ors = np.append(ands, ands[-1]), np.append(ors, ors[-1])
         levels.append((ands[0::2] & ands[1::2], ors[0::2] | ors[1::2]))
-        size = len(levels[-1][0])
+    return order, levels
+
+
+def close_pairs(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs of fingerprints within radius bits, each once, in bounded parts."""
+    order, levels = hierarchy(fps)
+    stack = [(len(levels) - 1, np.array([0]), np.array([0]))]
+    while stack:
+        level, a, b = stack.pop()
+        if len(a) > 65536:
+            stack += [(level, a[65536:], b[65536:])]
+            a, b = a[:65536], b[:65536]
+        ands, ors = levels[level]
+        keep = np.bitwise_count((ands[a] & ~ors[b]) | (ands[b] & ~ors[a])) <= radius
+        a, b = a[keep], b[keep]
+        if level == 0:
+            yield order[a[a != b]], order[b[a != b]]
+            continue
+        below, same = len(levels[level - 1][0]), a == b
+        left = np.concatenate([2 * a, 2 * a, 2 * a + 1, (2 * a + 1)[~same]])
+        right = np.concatenate([2 * b, 2 * b + 1, 2 * b + 1, (2 * b)[~same]])
+        ok = (left < below) & (right < below)
+        stack.append((level - 1, left[ok], right[ok]))
+
+
+def local_groups(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """For distinct fingerprints, the smallest position of each one's component under links of radius bits or fewer."""
+    n = len(fps)
+    order, levels = hierarchy(fps)
     parent = np.arange(n)
 
     def root(i: int) -> int:
@@ -136,7 +190,7 @@ def _ranges(tops: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum.reduceat(tops, at), np.maximum.reduceat(tops, at)
 
 
-def _keyed(radius_bits: int = 64):
+def _keyed():
     """key (bigint) expressions: block i of 16 bits, then part j of 12 bits of the rest."""
     fp = F.col("fp")
     keys = []
@@ -234,11 +288,200 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def copy_shingles(text: str | None) -> np.ndarray:
+    """The distinct hashes of the text's five-word shingles, sorted; never empty (one to four words are one shingle)."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    grams = zip(*(words[i:] for i in range(COPY_WORDS)), strict=False) if len(words) > COPY_WORDS else [words]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), 11) for x in grams), np.uint64))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WIDE words of 64 majority bits over the hashes, each word by a mixing of its own."""
+    out = np.empty(WIDE, np.uint64)
+    for k in range(WIDE):
+        h = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xA0761D6478BD642F)
+        h ^= h >> np.uint64(29)
+        ones = sum(np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for at in range(0, len(h), 65536))
+        out[k] = np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]
+    return out
+
+
+def _arrays(make):
+    """Rows (node, text) to rows (node, what make gives of the text's shingle hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_rows(batches):
+            made = [make(copy_shingles(x)).view(np.int64) for x in batch.column(1).to_pylist()]
+            if made:
+                ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made)))], ["node", "made"])
+
+    return run
+
+
+def _block_keys(agree: int):
+    """Keys of all choices of agree of the BLOCKS blocks."""
+    edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
+    block = [F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1) for a, b in itertools.pairwise(edges)]
+    keys = []
+    for n, chosen in enumerate(itertools.combinations(range(BLOCKS), agree)):
+        key = F.lit(n).cast("bigint")
+        for i in chosen:
+            key = F.shiftleft(key, 7).bitwiseOR(block[i])
+        keys.append(key)
+    return F.explode(F.array(*keys))
+
+
+def _nearest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within NEAR bits of the member in the middle with all others, and of each member with its CLOSEST nearest."""
+    middle = np.packbits(2 * np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) > len(fps)).view(np.uint64)[0]
+    hub = int(np.argmin(np.bitwise_count(fps ^ middle)))
+    at = np.flatnonzero(np.bitwise_count(fps ^ fps[hub]) <= NEAR)
+    at = at[at != hub]
+    best = [(np.empty(0, np.int64),) * 3]
+    for i, j in close_pairs(fps, NEAR):
+        of, to = np.concatenate([best[0][0], i, j]), np.concatenate([best[0][1], j, i])
+        far = np.concatenate([best[0][2], *[np.bitwise_count(fps[i] ^ fps[j]).astype(np.int64)] * 2])
+        order = np.lexsort((to, far, of))
+        of, to, far = of[order], to[order], far[order]
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.empty(0, np.int64)
+        place = np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of))))
+        best = [(of[place < CLOSEST], to[place < CLOSEST], far[place < CLOSEST])]
+    return np.concatenate([np.full(len(at), hub), best[0][0]]), np.concatenate([at, best[0][1]])
+
+
+def _candidates(whole: bool):
+    """Rows (key, sub, node, fp, wide) sorted by key and sub to candidates (node, other, star, far); star: of a large group."""
+
+    def small_groups(sizes, starts, fps, nodes):
+        """All pairs of the groups of up to ALL members, by distance of their places."""
+        for step in range(1, int(sizes.max(initial=1))):
+            some = sizes > step
+            sizes, starts = sizes[some], starts[some]
+            n = sizes - step
+            a = np.repeat(starts - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+            far = np.bitwise_count(fps[a] ^ fps[a + step])
+            a, far = a[far <= NEAR], far[far <= NEAR]
+            yield nodes[a], nodes[a + step], np.zeros(len(a), bool), far
+
+    def large_group(fps, nodes, wide):
+        if not whole:
+            i, j = _nearest(fps)
+            yield nodes[i], nodes[j], np.ones(len(i), bool), np.bitwise_count(fps[i] ^ fps[j])
+            return
+        for i, j in close_pairs(fps, NEAR):
+            near = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= WIDE_NEAR
+            i, j = i[near], j[near]
+            yield nodes[i], nodes[j], np.zeros(len(i), bool), np.bitwise_count(fps[i] ^ fps[j])
+
+    def searched(keys, subs, nodes, fps, wide):
+        starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (subs[1:] != subs[:-1])))
+        sizes = np.diff(np.append(starts, len(keys)))
+        few = (sizes > 1) & (sizes <= ALL)
+        yield from small_groups(sizes[few], starts[few], fps, nodes)
+        for k in np.flatnonzero(sizes > ALL):
+            at = slice(starts[k], starts[k] + sizes[k])
+            yield from large_group(fps[at], nodes[at], wide[at] if whole else None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def parts() -> Iterator[tuple]:
+            """Columns of whole groups; the last group of a batch waits for the next one."""
+            for batch in batches:
+                cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+                wide = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, WIDE) if whole else np.empty((len(cols[0]), 0))
+                if not len(cols[0]):
+                    continue
+                last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
+                cut = len(last) - int(last.sum())
+                if cut or (held and (held[-1][0][-1], held[-1][1][-1]) != (cols[0][0], cols[1][0])):
+                    yield tuple(np.concatenate(x) for x in zip(*held, tuple(c[:cut] for c in (*cols, wide)), strict=True))
+                    held.clear()
+                held.append(tuple(c[cut:] for c in (*cols, wide)))
+            if held:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+        for keys, subs, nodes, fps, wide in parts():
+            for a, b, star, far in searched(keys, subs, nodes, fps.view(np.uint64), wide):
+                for at in range(0, len(a), 50_000):
+                    cut = slice(at, at + 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(a[cut]), pa.array(b[cut]), pa.array(star[cut]), pa.array(far[cut].astype(np.int32))], ["node", "other", "star", "far"])
+
+    return run
+
+
+def _found(live: DataFrame, salt: int, wide: DataFrame | None) -> DataFrame:
+    """a, b, star: candidates among live (node, fp), each pair once."""
+    if wide is None:
+        keyed = live.select(_block_keys(2).alias("key"), "node", "fp")
+        dense = keyed.groupBy(F.col("key").alias("_dense")).count().filter(F.col("count") > DENSE)
+        sub = F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col("count") / DEAL))
+        keyed = keyed.join(dense, keyed["key"] == dense["_dense"], "left").select("key", F.coalesce(sub, F.lit(0)).alias("sub"), "node", "fp", F.lit(None).cast("binary").alias("wide"))
+    else:
+        keyed = live.join(wide, "node").select(_block_keys(3).alias("key"), F.lit(0).cast("bigint").alias("sub"), "node", "fp", "wide")
+    found = keyed.repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(_candidates(wide is not None), "node bigint, other bigint, star boolean, far int")
+    pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "star"]
+    sure = found.filter("not star").select(*pair)
+    near = found.filter("star").groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct("far", "other"))), 1, CLOSEST + 1).alias("best"))
+    near = near.select("node", F.explode("best.other").alias("other"), F.lit(True).alias("star")).select(*pair)
+    return staged(sure.union(near).groupBy("a", "b").agg(F.min("star").alias("star")), "candidates")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is their component's: one document of each group (rows with equal ids: one of them)."""
-    firsts = near_duplicates(docs, id_col, text_col).select(F.col("component_id").alias("_c")).distinct()
-    kept = docs.join(firsts, docs[id_col].eqNullSafe(firsts["_c"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    """The rows of docs without near copies: of each group the row with the smallest id. Texts are read, never shuffled,
+    while the lists of dropped rows and of compared texts are small enough to broadcast."""
+    node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), node.alias("node"))
+    kind = slim.schema["_id"].dataType.simpleString()
+    rows = staged(slim.mapInArrow(_node_fingerprints, f"_id {kind}, node bigint, fp bigint"), "fingerprints")
+    keys = rows.groupBy("node", "_id").agg(F.count("*").alias("n"), F.first("fp").alias("fp"))
+    order = F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("first"))
+    nodes = staged(keys.groupBy("node").agg(F.min(order).alias("o"), F.first("fp").alias("fp")).select("node", "fp", "o.first"), "nodes")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """node and text of the wanted nodes, each from the row with the smallest id (repeated rows: each of them)."""
+        named = small(wanted.join(nodes, "node").select(F.col("node").alias("_n"), "first"), "wanted")
+        return slim.join(named, (F.col("node") == F.col("_n")) & F.col("_id").eqNullSafe(F.col("first")), "left_semi").select("node", "_text")
+
+    live, wide, known, lost, salt = nodes.select("node", "fp"), None, None, None, 0
+    while True:
+        found = _found(live, salt, wide)
+        wanted = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if known is not None:  # later rounds look at some of the same texts
+            wanted = wanted.join(known.select("node"), "node", "left_anti")
+        more = texts_of(wanted).mapInArrow(_arrays(lambda x: x), "node bigint, made array<bigint>").dropDuplicates(["node"])
+        known = staged(more if known is None else known.union(more), "sets")
+        left, right = known.select(F.col("node").alias("a"), F.col("made").alias("x")), known.select(F.col("node").alias("b"), F.col("made").alias("y"))
+        both, least = F.size(F.array_intersect("x", "y")), round(100 * SIMILAR)
+        links = staged(found.join(left, "a").join(right, "b").filter(100 * both >= least * (F.size("x") + F.size("y") - both)).select("a", "b", "star"), "links")
+        n_star, n_links = found.filter("star").count(), links.filter("star").count()
+        starred = staged(found.filter("star").select(F.explode(F.array("a", "b")).alias("node")).distinct(), "starred") if n_star else None
+        if not links.isEmpty():
+            labels = components(links.select("a", "b")).join(nodes, "node")
+            best = labels.groupBy(F.col("label").alias("_l")).agg(F.min(F.struct(F.col("first").isNull().alias("null"), "first", "node")).alias("best"))
+            gone = staged(labels.join(best, labels["label"] == best["_l"]).filter("node <> best.node").select("node"), "gone")
+            lost = gone if lost is None else lost.union(gone)
+            live = live.join(gone, "node", "left_anti")
+        if not n_star:
+            break
+        live, salt = staged(live.join(starred, "node", "left_semi"), "live"), salt + 1  # all other pairs were verified
+        if 10 * n_links < live.count():  # little was merged
+            wide = texts_of(live.select("node")).mapInArrow(_arrays(wide_fingerprint), "node bigint, made array<bigint>").dropDuplicates(["node"])
+            wide = staged(wide.mapInArrow(_packed, "node bigint, wide binary"), "wide")
+    keep = nodes.join(lost, "node", "left_anti") if lost is not None else nodes
+    judged = keys.join(keep.select(F.col("node").alias("_n"), "first"), (F.col("node") == F.col("_n")) & F.col("_id").eqNullSafe(F.col("first")), "left")
+    judged = staged(judged.select(F.col("node").alias("_n"), F.col("_id").alias("_i"), "n", F.col("_n").isNull().alias("gone")), "judged")
+    named = docs.withColumn("_node", node)
+    same = lambda keys: (F.col("_node") == keys["_n"]) & docs[id_col].eqNullSafe(keys["_i"])
+    drop = small(judged.filter("gone or n > 1").select("_n", "_i"), "dropped")
+    out = named.join(drop, same(drop), "left_anti")
+    again = judged.filter("not gone and n > 1").select("_n", "_i")
+    if not again.isEmpty():  # of repeated rows one stays
+        again = small(again, "again")
+        out = out.union(named.join(again, same(again), "left_semi").dropDuplicates([id_col, "_node"]))
+    return out.select(*docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
