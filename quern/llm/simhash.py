@@ -45,7 +45,7 @@ WORDS, SEED, RADIUS = 3, 42, 3
 DENSE = 2048
 #: one_of_each: shingle size and least Jaccard similarity of near copies, radius of candidates, and (see above) sizes.
 COPY_WORDS, SIMILAR, NEAR = 5, 0.8, 12
-BLOCKS, ALL, DEAL, CLOSEST, WIDE, WIDE_NEAR = 10, 64, 1024, 3, 8, 98
+BLOCKS, ALL, DEAL, CLOSEST, WIDE, WIDE_NEAR = 10, 16, 1024, 3, 8, 98
 
 
 def fingerprint(text: str | None) -> int:
@@ -354,7 +354,7 @@ def _nearest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _candidates(whole: bool):
     """Rows (key, sub, node, fp, wide) sorted by key and sub to candidates (node, other, star, far); star: of a large group."""
 
-    def small_groups(sizes, starts, fps, nodes):
+    def small_groups(sizes, starts, fps, nodes, wide):
         """All pairs of the groups of up to ALL members, by distance of their places."""
         for step in range(1, int(sizes.max(initial=1))):
             some = sizes > step
@@ -363,6 +363,9 @@ def _candidates(whole: bool):
             a = np.repeat(starts - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
             far = np.bitwise_count(fps[a] ^ fps[a + step])
             a, far = a[far <= NEAR], far[far <= NEAR]
+            if whole:
+                near = np.bitwise_count(wide[a] ^ wide[a + step]).sum(axis=1) <= WIDE_NEAR
+                a, far = a[near], far[near]
             yield nodes[a], nodes[a + step], np.zeros(len(a), bool), far
 
     def large_group(fps, nodes, wide):
@@ -379,7 +382,7 @@ def _candidates(whole: bool):
         starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (subs[1:] != subs[:-1])))
         sizes = np.diff(np.append(starts, len(keys)))
         few = (sizes > 1) & (sizes <= ALL)
-        yield from small_groups(sizes[few], starts[few], fps, nodes)
+        yield from small_groups(sizes[few], starts[few], fps, nodes, wide)
         for k in np.flatnonzero(sizes > ALL):
             at = slice(starts[k], starts[k] + sizes[k])
             yield from large_group(fps[at], nodes[at], wide[at] if whole else None)
