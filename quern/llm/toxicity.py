@@ -1,27 +1,32 @@
-"""Toxicity by a subsequence string kernel and a support vector machine on Nystroem landmarks.
-
-The kernel compares words by their common subsequences of three letters, each weighted by DECAY per letter of gap (spans
-of up to SPAN letters), normalised to 1 for equal words: an insult with gaps or inserted characters stays close to itself.
-Landmarks are words of the labelled sample: the ones most typical of toxic documents, spread out under the kernel, and
-some of the others. A sentence's kernel vector holds, by landmark, its closest word (similarities under FLOOR are 0); the
-inverse root of the landmarks' kernel matrix maps it to Nystroem features, on which a linear SVM (squared hinge) is
-trained with the sentences of labelled documents. A document's score is a logistic function of its sentences' margins: the
-largest, their positive sum, and that sum by length.
-
-Only the fit uses labels, on at most MAX_LABELLED documents (the smallest hashes of their ids); every document is scored as a
-whole. The model has a fixed size (LANDMARKS words), so it is broadcast as it is.
-
-Defined results: a null or empty text has no sentence and gets the score of an empty kernel vector; rows that repeat are
-scored alike; labels that are null are ignored; without both classes in the sample the score is the share of toxic
-labels (0 without labels); words of more than MAX_WORD letters are compared in overlapping parts; an empty table gives an
-empty result. Columns other than id and text are never read.
+"""Toxicity by a gapped subsequence string kernel and a support vector machine on Nystroem landmarks.
+
+A text is the stream of its letters, lower-cased, accents dropped from Latin letters; everything between letters only marks
+where words begin, and sentences end at .!? before white space. The kernel compares windows of WIDTH letters: a window's
+features are the three-letter subsequences that start in it and span up to SPAN letters, each weighted by DECAY for each
+letter of gap, and once more as a subsequence of a word's beginning where its first letter begins one. The kernel is the
+dot product of these features, so it is positive semi-definite; an insult keeps most of its value when a letter is
+inserted, and all of its letters' value when it is spaced out or broken by signs.
+
+Windows of the labelled sentences are the training rows. Witnesses of toxicity are those around five-letter sequences that
+are typical of toxic documents, once as they stand and AUGMENT times with a letter inserted; against them stand windows of
+the other documents, drawn at first and then the worst mistaken ones. Landmarks are chosen among both by pivoted Cholesky,
+the inverse root of their kernel matrix gives the Nystroem features, and a linear SVM (squared hinge) is trained on
+these. As the kernel is a dot product, its decision is one table of subsequence weights: texts are scored by look-ups. A
+document's score is a logistic function of its sentences' margins: the largest, their positive sum, and that sum by length.
+
+Only the fit uses labels, on at most MAX_LABELLED documents of at most MAX_CHARS characters (the smallest hashes of their
+ids); every document is scored as a whole. The model has a fixed size, so it is broadcast as it is.
+
+Defined results: a null or empty text has no sentence and gets the score of a text without letters; rows that repeat are
+scored alike; of rows with equal ids the sample takes equal texts once; labels that are null are ignored, other than 0
+mean toxic; without both classes in the sample the score is the share of toxic labels (0 without labels); texts of over
+PART letters are read in overlapping parts; an empty table gives an empty result. Columns other than id and text are never
+read.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,185 +38,129 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quern.llm.common import table, text_rows
 
-DECAY, SPAN, FLOOR = 0.5, 6, 0.5
-#: The word kernel is taken to this power (a kernel too), which sets equal words apart from chance neighbours.
-POWER = 3
-#: Least standard score of a word's share in toxic documents over the others.
-MIN_Z = 2.5
-LANDMARKS, CANDIDATES, MAX_LABELLED = 128, 600, 3000
-MAX_WORD, MAX_SENTENCE, MEMO = 40, 40, 1 << 20
+DECAY, SPAN, WIDTH = 0.8, 6, 6
+#: Letters of the sequences that name witnesses, and the least standard score of such a one's share in toxic documents
+#: (0.6 of the largest score where that is less).
+GRAM, MIN_Z = 5, 3.5
+LANDMARKS, WITNESSES, OTHERS, ROUNDS, AUGMENT = 384, 2000, 1500, 3, 2
+MAX_LABELLED, MAX_CHARS = 3000, 20_000
+PART, OVERLAP = 1 << 20, 64
 FOLDS = 5
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+CODES = 64 * 32 * 32
 _STEPS = [(d1, d2, DECAY ** (d2 - 2)) for d2 in range(2, SPAN) for d1 in range(1, d2)]
+_PAD, _RAW, _START = WIDTH + SPAN, WIDTH + SPAN - 1, 32
+_KNOWN = 0x3000  # letters of later code points share one code
+
+
+def _letter_codes() -> np.ndarray:
+    codes = np.zeros(_KNOWN + 1, np.int32)
+    for point in range(_KNOWN):
+        c = unicodedata.normalize("NFD", chr(point).lower())[0]
+        if "a" <= c <= "z":
+            codes[point] = ord(c) - 96
+        elif chr(point).isalpha():
+            codes[point] = 27 + point % 5
+    codes[_KNOWN] = 31
+    return codes
+
+
+_CODES = _letter_codes()
+
+
+def letters(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the text's letters (1 to 31, plus 32 where a word begins) and the number of each one's sentence."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = _CODES[np.minimum(points, _KNOWN)]
+    stop = (points == 46) | (points == 33) | (points == 63)
+    stop &= np.append(points[1:], 32) <= 32
+    there = codes > 0
+    begins = there & ~np.append(False, there[:-1])
+    return (codes + _START * begins)[there].astype(np.uint8), (np.cumsum(stop) - stop)[there]
+
+
+def stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The letters of all texts, PAD zeros after each sentence; where each sentence begins; the text of each sentence."""
+    codes, lengths, owners = [np.empty(0, np.uint8)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+    for i, text in enumerate(texts):
+        c, s = letters(text)
+        if len(c):
+            cuts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+            codes.append(c)
+            lengths.append(np.diff(np.append(cuts, len(c))))
+            owners.append(np.full(len(cuts), i, np.int32))
+    codes, lengths = np.concatenate(codes), np.concatenate(lengths)
+    before = np.arange(len(lengths)) * _PAD
+    flat = np.zeros(len(codes) + _PAD * len(lengths), np.uint8)
+    flat[np.arange(len(codes)) + np.repeat(before, lengths)] = codes
+    return flat, np.append(0, np.cumsum(lengths))[:-1] + before, np.concatenate(owners)
+
+
+def margins(flat: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For the window at each place of a stream, the dot product of its features with a table of weights."""
+    n = len(flat) - SPAN
+    if n <= 0:
+        return np.zeros(len(flat))
+    plain = (flat & 31).astype(np.int32)
+    high, mid = plain << 10, plain << 5
+    begins = np.flatnonzero(flat[:n] >= _START)
+    got = np.zeros(n, np.float32)
+    for d1, d2, weight in _STEPS:
+        code = high[:n] + mid[d1 : d1 + n] + plain[d2 : d2 + n]
+        got += np.float32(weight) * weights[code]
+        got[begins] += np.float32(weight) * weights[code[begins] + (_START << 10)]
+    sums = np.append(0, np.cumsum(np.append(got, np.zeros(SPAN)), dtype=np.float64))
+    at = np.arange(len(flat))
+    return sums[np.minimum(at + WIDTH, len(flat))] - sums[at]
 
 
-def letters(token: str) -> str:
-    return token if token.isalpha() else _NOT_LETTERS.sub("", token)
+def feature_codes(raw: np.ndarray) -> np.ndarray:
+    """By window (rows of RAW letter codes), the codes of its features, 0 for none, in the order of FEATURE_WEIGHTS."""
+    plain, out = (raw & 31).astype(np.int32), []
+    for i in range(WIDTH):
+        for d1, d2, _ in _STEPS:
+            a, b, c = plain[:, i], plain[:, i + d1], plain[:, i + d2]
+            code = np.where((a > 0) & (b > 0) & (c > 0), a << 10 | b << 5 | c, 0)
+            out += [code, np.where((code > 0) & (raw[:, i] >= _START), code + (_START << 10), 0)]
+    return np.stack(out, axis=1)
 
 
-def _codes(word: str) -> list[int]:
-    return [o - 96 if 97 <= (o := ord(c)) <= 122 else 27 + o % 37 for c in word]
+FEATURE_WEIGHTS = np.array([w for _ in range(WIDTH) for _, _, w in _STEPS for _ in range(2)], np.float32)
 
 
-def subsequences(word: str) -> dict[int, float]:
-    """Weights of the word's three-letter subsequences."""
-    c, got = _codes(word), Counter()
-    for d1, d2, weight in _STEPS:
-        for i in range(len(c) - d2):
-            got[c[i] << 12 | c[i + d1] << 6 | c[i + d2]] += weight
+def _table(codes: np.ndarray) -> np.ndarray:
+    """A window's features as a table by code."""
+    got = np.bincount(codes, weights=FEATURE_WEIGHTS, minlength=CODES).astype(np.float32)
+    got[0] = 0
     return got
 
 
+def _values(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return weights[codes] @ FEATURE_WEIGHTS
+
+
 def kernel(a: str, b: str) -> float:
-    """Normalised subsequence kernel of two words."""
-    x, y = subsequences(a), subsequences(b)
-    dot = sum(v * y.get(k, 0.0) for k, v in x.items())
-    return dot / max(1e-12, (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5)
-
-
-class Landmarks:
-    """Kernel values of many words against the landmarks at once."""
-
-    def __init__(self, words: list[str]):
-        self.words = words
-        rows: dict[int, int] = {}
-        phis = [subsequences(w) for w in words]
-        for p in phis:
-            for code in p:
-                rows.setdefault(code, len(rows))
-        self.row_of = np.full(64**3, -1, np.int32)
-        self.row_of[list(rows)] = list(rows.values())
-        self.table = np.zeros((max(1, len(rows)), len(words)), np.float32)
-        for j, p in enumerate(phis):
-            norm = sum(v * v for v in p.values()) ** 0.5 or 1.0
-            for code, v in p.items():
-                self.table[rows[code], j] = v / norm
-        self.most = self.table.max(axis=1).astype(float)  # of each subsequence, over the landmarks
-
-    def similar(self, words: list[str]) -> list[np.ndarray | None]:
-        """By word: kernel values (to POWER), 0 under FLOOR, or None if all are."""
-        out: list[np.ndarray | None] = [None] * len(words)
-        step = max(32, (1 << 18) // len(self.words))  # bounds what is held at once, for many landmarks too
-        for at in range(0, len(words), step):
-            self._similar(words[at : at + step], at, out)
-        return out
-
-    def _similar(self, words: list[str], at: int, out: list) -> None:
-        pads, lengths = [0] * (SPAN - 1), []
-        flat: list[int] = []
-        for w in words:
-            flat += _codes(w)
-            flat += pads
-            lengths.append(len(w) + SPAN - 1)
-        c = np.array(flat, np.int32)
-        owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
-        norm = np.zeros(len(words))
-        hit_rows, hit_words, hit_weights = [], [], []
-        for d1, d2, weight in _STEPS:
-            if len(c) <= d2:
-                continue
-            a, b, e = c[: len(c) - d2], c[d1 : len(c) - d2 + d1], c[d2:]
-            row = self.row_of[a << 12 | b << 6 | e]
-            there = e > 0  # what lies between a word's letters is a letter
-            there &= (a > 0) & (b > 0)
-            norm += weight * weight * np.bincount(owner[: len(a)][there], minlength=len(words))
-            hits = np.flatnonzero(there & (row >= 0))
-            hit_rows.append(row[hits])
-            hit_words.append(owner[hits])
-            hit_weights.append(np.full(len(hits), weight, np.float32))
-        if not hit_rows:
-            return
-        of, row, weight = map(np.concatenate, (hit_words, hit_rows, hit_weights))
-        if not len(of):
-            return
-        # the sum of the largest entries bounds every landmark's value: most words end here
-        bound = np.bincount(of, weights=self.most[row] * weight, minlength=len(words)) / np.sqrt(np.maximum(norm, 1e-12))
-        near = (bound >= FLOOR)[of]
-        of, row, weight = of[near], row[near], weight[near]
-        if not len(of):
-            return
-        order = np.argsort(of, kind="stable")
-        of, row, weight = of[order], row[order], weight[order]
-        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-        sums = np.add.reduceat(self.table[row] * weight[:, None], starts, axis=0)
-        sums /= np.sqrt(norm[of[starts]])[:, None]  # a subsequence that a word has twice counts as two in its norm
-        for i in np.flatnonzero(sums.max(axis=1) >= FLOOR).tolist():
-            values = np.minimum(1.0, sums[i])
-            values[values < FLOOR] = 0
-            if values.any():
-                out[at + int(of[starts[i]])] = values**POWER
+    """Kernel of the windows at the beginning of two texts."""
+    one, two = (feature_codes(np.pad(stream([t])[0], (0, _RAW))[None, :_RAW]) for t in (a, b))
+    return float(_values(one, _table(two[0]))[0])
 
 
 @dataclass
 class Model:
-    landmarks: list[str]
-    weights: np.ndarray  # of the kernel values: inverse root of the kernel matrix times the SVM's weights
+    weights: np.ndarray  # by code: the landmarks' features times the SVM's coefficients
     bias: float
     logit: np.ndarray  # of the document's features; the last is the constant
     scale: tuple[np.ndarray, np.ndarray]
     constant: float | None = None
 
 
-class Scorer:
-    def __init__(self, landmarks: list[str]):
-        self.index = Landmarks(landmarks)
-        self.memo: dict[str, np.ndarray | None] = {}  # by token
-        self.known: dict[str, np.ndarray | None] = {}  # by the token's letters
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.known) > MEMO // 2:
-            self.known.clear()
-        words = [letters(t) for t in new]
-        fresh = list({w for w in words if w not in self.known})
-        short = [w for w in fresh if len(w) <= MAX_WORD]
-        self.known.update(zip(short, self.index.similar(short), strict=True))
-        for w in fresh:
-            if len(w) > MAX_WORD:
-                parts = self.index.similar([w[s : s + MAX_WORD] for s in range(0, len(w) - MAX_WORD // 2, MAX_WORD // 2)])
-                self.known[w] = np.max(near, axis=0) if (near := [v for v in parts if v is not None]) else None
-        self.memo.update(zip(new, [self.known[w] for w in words], strict=True))
-
-    def sentences(self, texts: list[str]) -> list[tuple[list[np.ndarray], int, int]]:
-        """By text: kernel vectors of the sentences that have one, number of sentences, number of words."""
-        split = [t.lower().split() for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        self._learn([t for t in set().union(*split) if t not in memo])
-        out = []
-        for ts in split:
-            hits = [i for i, t in enumerate(ts) if memo[t] is not None]
-            vectors: list[np.ndarray] = []
-            ends = [i for i, t in enumerate(ts) if t[-1] in ".!?"] if hits else []
-            last, at = -1, 0
-            for i in hits:
-                while at < len(ends) and ends[at] < i:
-                    at += 1
-                begin = ends[at - 1] + 1 if at else 0
-                key = (at, (i - begin) // MAX_SENTENCE)
-                if key == last:
-                    vectors[-1] = np.maximum(vectors[-1], memo[ts[i]])
-                else:
-                    vectors.append(memo[ts[i]])
-                last = key
-            out.append((vectors, len(ends) + 1, len(ts)))
-        return out
-
-
-def _features(margins: np.ndarray, n_words: int, bias: float) -> list[float]:
-    total = float(np.maximum(margins, 0).sum())
-    return [float(margins.max(initial=bias)), float(np.log1p(total)), float(np.log1p(100 * total / (n_words + 20)))]
-
-
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss by Newton steps."""
     x1 = np.column_stack([x, np.ones(len(x), x.dtype)])
     w, reg = np.zeros(x1.shape[1]), np.append(np.ones(x.shape[1]), 1e-3)
     for _ in range(steps):
-        slack = 1 - y * (x1 @ w)
-        act = slack > 0
+        act = 1 - y * (x1 @ w) > 0
         xa, wa = x1[act], weight[act] * c
-        new = np.linalg.solve(((xa * wa[:, None].astype(xa.dtype)).T @ xa).astype(float) + np.diag(reg), xa.T @ (wa * y[act]))
+        new = np.linalg.solve((xa * wa[:, None]).T @ xa + np.diag(reg), xa.T @ (wa * y[act]))
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
@@ -230,84 +179,184 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 40) -> np.ndarray:
     return w
 
 
-def choose_landmarks(texts: list[str], toxic: np.ndarray, n: int = LANDMARKS) -> list[str]:
-    """Words typical of toxic texts, spread under the kernel, and n // 24 words (by hash) that only the others have."""
-    bad, good = Counter(), Counter()
-    for t, y in zip(texts, toxic, strict=True):
-        words = {w for tok in set(t.lower().split()) if 4 <= len(w := letters(tok)) <= MAX_WORD}
-        (bad if y else good).update(words)
-    nb, ng = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+def _grams(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At each place, the code of the next GRAM letters (-1: the sentence ends before), and where a word begins."""
+    plain, n = np.pad(flat & 31, (0, GRAM)).astype(np.int32), len(flat)
+    gram = np.zeros(n, np.int32)
+    for k in range(GRAM):
+        gram = np.where((plain[k : k + n] > 0) & (gram >= 0), gram << 5 | plain[k : k + n], -1)
+    return gram, flat >= _START
+
 
-    def z(w: str) -> float:
-        p, q = (bad[w] + 0.5) / (nb + 1), (good[w] + 0.5) / (ng + 1)
-        return (p - q) / (p * (1 - p) / nb + q * (1 - q) / ng) ** 0.5
-
-    scored = sorted(((s, w) for w, k in bad.items() if k >= 2 and (s := z(w)) >= MIN_Z), reverse=True)[:CANDIDATES]
-    names, left = [w for _, w in scored], np.array([s for s, _ in scored])
-    if not names:
-        names, left = [w for w, _ in bad.most_common(8)] or ["aaaa"], np.ones(8)
-    index = Landmarks(names)
-    near = np.stack([v if v is not None else np.zeros(len(names)) for v in index.similar(names)])
-    chosen: list[int] = []
-    cover = np.zeros(len(names))
-    while len(chosen) < min(n - n // 24, len(names)):
-        gain = left * (1 - cover) ** 2
-        i = int(np.argmax(gain))
-        if gain[i] <= 0:
+def _typical(flat: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """At each place of toxic texts, the standard score of the sequence of GRAM letters there, alone or as a word's
+    beginning, whichever is larger; 0 elsewhere."""
+    nb, ng = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+    gram, begins = _grams(flat)
+    bad_place, best = toxic[owner] & (gram >= 0), np.zeros(len(flat), np.float32)
+
+    def documents(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct grams and the number of texts that have them."""
+        seen = np.unique(owner[places].astype(np.int64) << 5 * GRAM | gram[places])
+        return np.unique(seen & (1 << 5 * GRAM) - 1, return_counts=True)
+
+    for some in (np.ones(len(flat), bool), begins):
+        at = np.flatnonzero(bad_place & some)
+        names, bad = documents(at)
+        names, bad = names[bad >= 2], bad[bad >= 2]
+        if not len(names):
+            continue
+        known, good = documents(np.flatnonzero((gram >= 0) & ~bad_place & some & np.isin(gram, names)))
+        count = np.zeros(len(names))
+        count[np.searchsorted(names, known)] = good
+        p, q = (bad + 0.5) / (nb + 1), (count + 0.5) / (ng + 1)
+        z = (p - q) / np.sqrt(p * (1 - p) / nb + q * (1 - q) / ng)
+        place = np.minimum(np.searchsorted(names, gram[at]), len(names) - 1)
+        best[at] = np.maximum(best[at], np.where(names[place] == gram[at], z[place], 0))
+    return best
+
+
+def _peaks(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of the places at, those with the largest values, no two within WIDTH of each other."""
+    used, out = np.zeros(len(values) + 2 * WIDTH + 1, bool), []
+    for i in at[np.argsort(-values[at], kind="stable")].tolist():
+        if not used[i + WIDTH]:
+            out.append(i)
+            used[i : i + 2 * WIDTH + 1] = True
+    return np.array(out, np.int64)
+
+
+def _pivots(codes: np.ndarray, m: int) -> list[int]:
+    """Up to m windows by pivoted Cholesky of their kernel matrix: each the one least explained by those before."""
+    left = np.array([float(_values(c[None], _table(c))[0]) for c in codes])
+    done, chosen = np.zeros((len(codes), m)), []
+    for j in range(min(m, len(codes))):
+        i = int(np.argmax(left))
+        if left[i] < 1e-3:
             break
+        done[:, j] = (_values(codes, _table(codes[i])) - done[:, :j] @ done[i, :j]) / np.sqrt(left[i])
+        left = left - done[:, j] ** 2
+        left[i] = 0
         chosen.append(i)
-        cover = np.maximum(cover, near[i])
-        cover[i] = 1
-    common = sorted((w for w in good if len(w) >= 6 and w not in bad), key=lambda w: zlib.crc32(w.encode()))
-    return [names[i] for i in chosen] + common[: min(n // 24, n - len(chosen))]
+    return chosen
+
+
+def _with_letter(raw: np.ndarray, random: np.random.Generator) -> np.ndarray:
+    """The windows with one letter inserted after the first to the last but one of their GRAM letters."""
+    out = raw.copy()
+    for row in out:
+        k = int(random.integers(1, GRAM))
+        row[k + 1 :] = row[k:-1].copy()
+        row[k] = random.integers(1, 27)
+    return out
 
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
-    y = np.array(toxic, bool)
-    empty = Model([], np.empty(0), 0.0, np.zeros(4), (np.zeros(3), np.ones(3)), float(y.mean()) if len(y) else 0.0)
+    y = np.array([bool(t) for t in toxic], bool)
+    empty = Model(np.zeros(CODES, np.float32), 0.0, np.zeros(4), (np.zeros(3), np.ones(3)), float(y.mean()) if len(y) else 0.0)
     if not y.any() or y.all():
         return empty
-    words = choose_landmarks(texts, y)
-    scorer = Scorer(words)
-    made = [s for at in range(0, len(texts), 256) for s in scorer.sentences(texts[at : at + 256])]
-    gram = np.array([v if v is not None else np.zeros(len(words)) for v in scorer.index.similar(words)], float)
-    gram = (gram + gram.T) / 2
-    values, vectors = np.linalg.eigh(gram)
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
-    # sentences with a landmark's neighbour; of toxic documents these are the witnesses, and each document weighs 1
-    x, label, weight = [], [], []
-    for (vs, _, _), t in zip(made, y, strict=True):
-        for v in vs or [np.zeros(len(words))]:
-            if vs or not t:
-                x.append(v)
-                label.append(1.0 if t else -1.0)
-                weight.append(1.0 / max(1, len(vs)) if t else 1.0 / max(1, len(vs)) ** 0.5)
-    x, label, weight = np.array(x, np.float32) @ root.astype(np.float32), np.array(label), np.array(weight)
-    if not (label > 0).any():
+    flat, starts, of = stream(texts)
+    owner = np.repeat(of, np.diff(np.append(starts, len(flat))))
+    if not len(owner):
         return empty
-    weight = np.where(label > 0, weight / weight[label > 0].sum(), weight / weight[label < 0].sum()) * len(texts)
-    w, bias = _svm(x, label, weight)
-    u = root @ w
-    feats = np.array([_features(np.array(vs) @ u + bias if vs else np.empty(0), n, bias) for vs, _, n in made])
-    mean, std = feats.mean(axis=0), feats.std(axis=0) + 1e-9
-    return Model(words, u, bias, _logistic((feats - mean) / std, y.astype(float)), (mean, std))
-
-
-def score_texts(model: Model, scorer: Scorer | None, texts: list[str]) -> np.ndarray:
+    windows = np.lib.stride_tricks.sliding_window_view(np.pad(flat, (0, _RAW)), _RAW)
+    z = _typical(flat, owner, y)
+    if not z.any():
+        return empty
+    at = _peaks(z, np.flatnonzero(z >= min(MIN_Z, 0.6 * float(z.max()))))
+    random = np.random.default_rng(5)
+    if len(at) > WITNESSES:
+        at = np.sort(random.choice(at, WITNESSES, replace=False))
+    weight = 1 / np.bincount(owner[at], minlength=len(y))[owner[at]]
+    raw = np.concatenate([windows[at], *[_with_letter(windows[at], random) for _ in range(AUGMENT)]])
+    weight = np.tile(weight / weight.sum() / (AUGMENT + 1), AUGMENT + 1)
+    clean = np.flatnonzero(~y[owner] & (flat > 0))
+    if not len(clean):
+        return empty
+    others = random.choice(clean, min(OTHERS, len(clean)), replace=False)
+    for n in range(ROUNDS + 1):
+        codes = feature_codes(np.concatenate([raw, windows[others]]))
+        label = np.append(np.ones(len(raw)), -np.ones(len(others)))
+        marks = codes[_pivots(codes[: len(at)], LANDMARKS * 3 // 4)], codes[len(raw) :][_pivots(codes[len(raw) :], LANDMARKS // 4)]
+        marks = np.concatenate(marks)
+        dots = np.stack([_values(codes, _table(c)) for c in marks], axis=1)
+        gram = np.stack([_values(marks, _table(c)) for c in marks])
+        unit = float(np.median(np.diag(gram)))
+        values, vectors = np.linalg.eigh(gram / unit)
+        root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
+        x = dots / unit @ root
+        each = np.append(weight, np.full(len(others), 1 / len(others))) * 1000
+        w, bias = _svm(x, label, each)
+        table_ = np.bincount(marks.ravel(), weights=(root @ w / unit).repeat(marks.shape[1]) * np.tile(FEATURE_WEIGHTS, len(marks)), minlength=CODES).astype(np.float32)
+        table_[0] = 0
+        if n < ROUNDS:  # the worst mistaken windows of the other documents join
+            got = np.full(len(flat), -np.inf, np.float32)
+            for begin in range(0, len(flat), PART):
+                got[begin : begin + PART] = margins(flat[begin : begin + PART + _PAD], table_)[:PART]
+            worst = clean[np.argsort(-got[clean])[: 20 * OTHERS]]
+            others = np.unique(np.append(others, _peaks(got, worst)[:OTHERS]))
+    model = Model(table_, bias, np.zeros(4), (np.zeros(3), np.ones(3)))
+    feats = features(model, texts)
+    model.scale = feats.mean(axis=0), feats.std(axis=0) + 1e-9
+    model.logit = _logistic((feats - model.scale[0]) / model.scale[1], y.astype(float))
+    return model
+
+
+def _parts(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """Numbers and texts, texts over PART cut with an overlap, in groups of about PART characters."""
+    at: list[int] = []
+    some: list[str] = []
+    size = 0
+    for i, text in enumerate(texts):
+        for begin in range(0, max(1, len(text) - OVERLAP), PART - OVERLAP):
+            at.append(i)
+            some.append(text[begin : begin + PART])
+            size += len(some[-1])
+            if size >= PART:
+                yield at, some
+                at, some, size = [], [], 0
+    if at:
+        yield at, some
+
+
+def _sentences(model: Model, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The text and the margin of every sentence, part by part."""
+    yield np.empty(0, np.int64), np.empty(0)
+    for at, some in _parts(texts):
+        flat, starts, of = stream(some)
+        if len(starts):
+            yield np.array(at)[of], np.maximum.reduceat(margins(flat, model.weights), starts) + model.bias
+
+
+def _document(top: np.ndarray, total: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return np.column_stack([top, np.log1p(total), np.log1p(1000 * total / (length + 200))])
+
+
+def features(model: Model, texts: list[str]) -> np.ndarray:
+    """By text: its sentences' largest margin, their positive sum, and that sum by length (logarithms)."""
+    top, total = np.full(len(texts), model.bias), np.zeros(len(texts))
+    for owner, best in _sentences(model, texts):
+        np.maximum.at(top, owner, best)
+        total += np.bincount(owner, np.maximum(best, 0), minlength=len(texts))
+    return _document(top, total, np.array([len(t) for t in texts], float))
+
+
+def score_texts(model: Model, texts: list[str]) -> np.ndarray:
     if model.constant is not None:
         return np.full(len(texts), model.constant)
-    feats = np.array([_features(np.array(vs) @ model.weights + model.bias if vs else np.empty(0), n, model.bias) for vs, _, n in scorer.sentences(texts)])
-    x = (feats - model.scale[0]) / model.scale[1]
+    x = (features(model, texts) - model.scale[0]) / model.scale[1]
     return 1 / (1 + np.exp(-np.clip(x @ model.logit[:-1] + model.logit[-1], -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, max_chars: int = MAX_CHARS) -> Model:
     """Fit on the labelled documents whose crc32 of the id leaves a remainder (the fold 0 of FOLDS is held out)."""
     known = labels.filter(F.col(label_col).isNotNull() & (F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS != 0))
-    known = known.select(F.col(id_col).alias("_i"), F.col(label_col).cast("int").alias("_y"))
+    known = known.select(F.col(id_col).alias("_i"), (F.col(label_col) != 0).cast("int").alias("_y")).distinct()
     chosen = known.orderBy(F.xxhash64("_i"), "_i", "_y").limit(max_labelled)  # ids alone are sorted; texts come for the chosen
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    got = rows.join(chosen, rows["_id"] == chosen["_i"]).select("_id", "_text", "_y").collect()
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).filter(F.length("_text") <= max_chars)
+    got = rows.join(F.broadcast(chosen), rows["_id"] == chosen["_i"]).select("_id", "_y", "_text").distinct()
+    got = got.orderBy(F.xxhash64("_id", "_text"), "_id", "_y", "_text").limit(max_labelled).collect()  # at most max_labelled * max_chars
     got.sort(key=lambda r: (r["_id"], r["_y"], r["_text"]))
     return fit([r["_text"] for r in got], [r["_y"] for r in got])
 
@@ -317,11 +366,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        scorer = Scorer(model.landmarks) if model.constant is None else None
         for batch in text_rows(batches):
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            values = score_texts(model, scorer, texts) if texts else []
+            values = score_texts(shared.value, texts) if texts else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names)
 
     docs = docs.drop("score")

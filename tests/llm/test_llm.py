@@ -143,7 +143,7 @@ def toxic_rows(n=240):
     for i in range(n):
         ws = [r.choice(vocab) for _ in range(r.randint(20, 80))]
         if toxic := i % 4 == 0:
-            for _ in range(4):
+            for _ in range(r.randint(1, 4)):
                 ws[r.randrange(len(ws))] = r.choice(bad)
         docs.append((i, " ".join(ws) + ".", "s", "en", 0.5, 1.5, 7, "k", "n"))
         labels.append((i, int(toxic)))
@@ -165,10 +165,59 @@ def test_toxicity(spark, empty):
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def brute_windows(text):
+    """Features of the window at each letter of a text of one sentence, by a plain triple loop."""
+    low = text.lower()
+    at = [(ord(c) - 96, k == 0 or not low[k - 1].isalpha()) for k, c in enumerate(low) if "a" <= c <= "z"]
+    out = []
+    for begin in range(len(at)):
+        got = Counter()
+        for i in range(begin, min(begin + toxicity.WIDTH, len(at))):
+            for k in range(i + 2, min(i + toxicity.SPAN, len(at))):
+                for j in range(i + 1, k):
+                    triple, weight = (at[i][0], at[j][0], at[k][0]), toxicity.DECAY ** (k - i - 2)
+                    got[triple] += weight
+                    if at[i][1]:
+                        got["word", *triple] += weight
+        out.append(got)
+    return out
+
+
+def test_kernel_is_the_plain_loops():
+    r = random.Random(4)
+    texts = ["idiot", "an idxiot", "nonono no nonono", "ba-nana banana!", "", *["".join(r.choice("abc de") for _ in range(40)) for _ in range(10)]]
+    dot = lambda x, y: sum(v * y[k] for k, v in x.items())
+    for a in texts:
+        for b in texts:
+            x, y = (brute_windows(t)[:1] for t in (a, b))
+            assert toxicity.kernel(a, b) == pytest.approx(dot(x[0], y[0]) if x and y else 0, rel=1e-5)
+    mark = brute_windows("idiot")[0]
+    weights = np.zeros(toxicity.CODES, np.float32)
+    for k, v in mark.items():
+        word, (a, b, c) = len(k) == 4, k[-3:]
+        weights[(32 * word + a) << 10 | b << 5 | c] = v
+    for t in texts:
+        want = [dot(x, mark) for x in brute_windows(t)]
+        assert np.allclose(toxicity.margins(toxicity.stream([t])[0], weights)[: len(want)], want, atol=1e-4)
+
+
 def test_kernel_tolerates_insertions():
-    assert toxicity.kernel("idiot", "idiot") == pytest.approx(1)
-    assert toxicity.kernel("worthless", "worthlesss") > 0.8 > toxicity.FLOOR < toxicity.kernel("idiot", "idxiot")
-    assert toxicity.kernel("idiot", "thereon") < 0.2
+    full = toxicity.kernel("idiot", "idiot")
+    assert toxicity.kernel("idiot", "idxiot") > 0.55 * full and toxicity.kernel("moron", "mor0n") > 0.3 * toxicity.kernel("moron", "moron")
+    assert toxicity.kernel("idiot", "i d i o t") > 0.8 * full and toxicity.kernel("idiot", "thereon") < 0.1 * full
+
+
+def test_altered_insults(spark):
+    d = "/root/testdata/sf0.01"
+    model = toxicity.train(table(spark, d, "documents"), table(spark, d, "labels"))
+    around = "It byanthblely anreed hestwh of {} ersh anthly a thble whblewh the erha. Is the erresh, of of lyestion, was and."
+    for insult in "idiot clown worthless stupid moron loser trash disgusting pathetic".split():
+        h = len(insult) // 2
+        shapes = (insult, insult.upper(), insult[:h] + "x" + insult[h:], insult[:2] + "v" + insult[2:], insult[:2] + " " + insult[2:], " ".join(insult), "-".join(insult), insult[:h] + "*" + insult[h:])
+        assert all(v >= 0.5 for v in toxicity.score_texts(model, [around.format(x) for x in shapes])), insult
+    assert max(toxicity.score_texts(model, [around.format("enher"), "", around * 40])) < 0.5
+    long = ("the ertion onst. " * 90_000) + "you moron, worthless idiot"
+    assert toxicity.features(model, [long])[0, 0] == pytest.approx(toxicity.features(model, ["you moron, worthless idiot"])[0, 0])
 
 
 def test_toxicity_held_out(spark):
