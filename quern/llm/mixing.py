@@ -47,10 +47,11 @@ def source_rates(docs: DataFrame, source_col: str = "source", text_col: str = "t
 
 
 def poisson_replicate(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """All columns of docs, repeated by the drawn counts, with copy_no (from 1) and order_key, sorted by order_key.
+    """All columns of docs, repeated by the drawn counts, with copy_no (from 1) and order_key.
 
-    The table of sources is broadcast if it is counted as small, so the texts are shuffled once, by the sort: the order
-    of a hash is the global shuffle."""
+    The table of sources is broadcast if it is counted as small, so the texts are shuffled once: each copy goes to the
+    partition that its order_key, a hash, names, and lies there by the order of it. That is a random order of all copies
+    without a pass that samples keys first."""
     docs = docs.drop("copy_no", "order_key")
     rates = source_rates(docs, source_col, text_col, weights, temperature)
     mean = F.col("rate") / F.col("_pieces")
@@ -64,16 +65,15 @@ def poisson_replicate(docs: DataFrame, id_col: str = "doc_id", source_col: str =
     rates = staged(rates.drop("_chars"), "rates")
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("_pieces")),
-        F.lit(0),
-        lambda a, j: a + F.size(F.filter("_cdf", lambda c: _uniform(F.lit(seed), F.col(id_col), j) >= c)),
-    )
-    joined = docs.join(rates, docs[source_col].eqNullSafe(rates["_source"]), "left")
-    counted = joined.withColumn("_count", drawn).filter("_count > 0")
-    copies = counted.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_count"))).alias("copy_no"))
-    key = F.md5(F.concat_ws(":", F.lit("order"), F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "copy_no"))
-    return copies.withColumn("order_key", key).orderBy("order_key")
+    # the row travels as one column, so no name of its own can clash with those used here
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_id"), docs[source_col].alias("_of"))
+    uniforms = F.transform(F.sequence(F.lit(1), F.col("_pieces")), lambda j: _uniform(F.lit(seed), F.col("_id"), j))
+    drawn = F.aggregate(uniforms, F.lit(0), lambda a, u: a + F.size(F.filter("_cdf", lambda c: u >= c)))
+    joined = rows.join(rates, rows["_of"].eqNullSafe(rates["_source"]), "left").select("_row", "_id", drawn.alias("_count")).filter("_count > 0")
+    copies = joined.select("_row", "_id", F.explode(F.sequence(F.lit(1), F.col("_count"))).alias("copy_no"))
+    key = F.md5(F.concat_ws(":", F.lit("order"), F.lit(seed), F.coalesce(F.col("_id").cast("string"), F.lit("null")), "copy_no"))
+    placed = copies.withColumn("order_key", key).repartition("order_key").sortWithinPartitions("order_key")
+    return placed.select("_row.*", "copy_no", "order_key")
 
 
 def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
