@@ -21,14 +21,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import new_dir, staged, table, text_rows
+from quern.llm.common import new_dir, small, staged, table, text_rows
 
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 64 << 20
+#: Records are handed on in batches of about so many bytes; a reading task takes about so many frames.
+EMIT_BYTES, READ_FRAMES = 8 << 20, 16
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -122,10 +124,11 @@ class BundleReader:
         return self.last[1]
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_rows(batches):
-        data = [(html or "").encode("utf-8", "surrogatepass") for html in batch.column("_html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(payload_digest, data), pa.string()), pa.array(map(len, data), pa.int64())], [*batch.schema.names, "_digest", "_bytes"])
+def digest_column(payload: Column) -> Column:
+    """payload_digest as a column expression: 40 hex digits are eight groups of 20 bits, each four base-32 digits."""
+    hexes = F.sha1(payload.cast("binary"))
+    groups = [F.lpad(F.conv(F.substring(hexes, 5 * i + 1, 5), 16, 32), 4, "0") for i in range(8)]
+    return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def _writer(folder: str):
@@ -162,15 +165,18 @@ def _writer(folder: str):
 def write_bundles(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[str, DataFrame]:
     """Write all records; give the folder and the staged index (id, bundle, frame, frame_offset).
 
-    The largest id of a payload is found by a partial aggregation, so a payload that a third of the pages share stays
-    cheap; the join back is on the digest alone and is split by Spark where one digest is hot."""
+    Payloads are equal if their SHA-256 and length are (SHA-1, the digest of the format, has known collisions). The
+    largest id of a payload is found by a partial aggregation, so a payload that a third of the pages share stays cheap.
+    The list of repeated payloads is broadcast if it is counted as small, and no page is shuffled; else the join is on the
+    SHA-256 and is split by Spark where one is hot."""
     spark = pages.sparkSession
     folder = folder or new_dir(spark, "warc")
-    slim = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
+    slim = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.coalesce(html_col, F.lit("")).alias("_html"))
     kind = slim.schema["_id"].dataType.simpleString()
-    made = slim.mapInArrow(_digests, f"_id {kind}, _url string, _html string, _digest string, _bytes bigint")
-    best = made.groupBy(F.col("_digest").alias("_d"), F.col("_bytes").alias("_b")).agg(F.count("*").alias("_n"), F.max("_id").alias("_best")).filter("_n > 1").drop("_n")
-    joined = made.join(best, (made["_digest"] == best["_d"]) & (made["_bytes"] == best["_b"]), "left")
+    made = slim.select("*", F.sha2(F.col("_html").cast("binary"), 256).alias("_same"), digest_column(F.col("_html")).alias("_digest"), F.octet_length("_html").cast("bigint").alias("_bytes"))
+    best = made.groupBy(F.col("_same").alias("_d"), F.col("_bytes").alias("_b")).agg(F.count("*").alias("_n"), F.max("_id").alias("_best"))
+    best = small(best.filter("_n > 1").drop("_n"), "repeated")
+    joined = made.join(best, (made["_same"] == best["_d"]) & (made["_bytes"] == best["_b"]), "left")
     target = F.when(~F.col("_id").eqNullSafe(F.col("_best")), F.col("_best"))
     records = joined.select("_id", "_url", F.when(target.isNull(), F.col("_html")).alias("_html"), "_digest", "_bytes", target.alias("_target"))
     index = records.mapInArrow(_writer(folder), f"_id {kind}, bundle string, frame int, frame_offset bigint")
@@ -181,8 +187,14 @@ def _reader(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(folder)
         name, reader, handle = None, None, None
+        rows: list[tuple] = []
+        held = 0
+
+        def emit() -> pa.RecordBatch:
+            kinds = [pa.string(), pa.int64(), *[pa.string()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], READ_COLUMNS)
+
         for batch in batches:
-            rows = []
             for bundle, frame, offset in zip(*(batch.column(c).to_pylist() for c in ("bundle", "frame", "frame_offset")), strict=True):
                 if bundle != name:
                     if handle:
@@ -195,10 +207,13 @@ def _reader(folder: str):
                 if headers["WARC-Type"] == "response" and (payload_digest(block) != digest or len(block) != int(headers["X-Payload-Length"])):
                     raise ValueError(f"damaged record in {bundle}, frame {frame}, offset {offset}")
                 rows.append((headers["WARC-Record-ID"][10:-1], int(headers["X-Payload-Length"]), digest, headers["WARC-Type"], headers.get("WARC-Refers-To", "")[10:-1] or None, headers["WARC-Target-URI"], block.decode("utf-8", "surrogatepass")))
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string()]
-            for at in range(0, len(rows), 256):
-                part = list(zip(*rows[at : at + 256], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds, strict=True)], READ_COLUMNS)
+                held += len(block) + 500
+                if held > EMIT_BYTES:
+                    yield emit()
+                    rows.clear()
+                    held = 0
+        if rows:
+            yield emit()
 
     return run
 
@@ -209,7 +224,9 @@ READ_COLUMNS = ["page_id", "payload_bytes", "payload_digest", "record_type", "re
 def read_bundles(folder: str, index: DataFrame) -> DataFrame:
     """Every indexed record, read through index and seek table; ids come back as the strings of the record headers
     (empty: null). Payload digests and lengths are verified; a damaged record is an error."""
-    frames = index.select("bundle", "frame", "frame_offset").repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "frame_offset")
+    n_frames = index.select("bundle", "frame").distinct().count()
+    slim = index.select("bundle", "frame", "frame_offset")  # so small that Spark alone would read all in one task
+    frames = slim.repartition(max(1, -(-n_frames // READ_FRAMES)), "bundle", "frame").sortWithinPartitions("bundle", "frame", "frame_offset")
     kinds = "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, url string, payload string"
     return frames.mapInArrow(_reader(folder), kinds).withColumn("page_id", F.nullif("page_id", F.lit("")))
 
