@@ -1,7 +1,8 @@
 """Quality rules as a bitmask ledger.
 
-Every rule is evaluated once per document. The ledger keeps the measurements and one failure bit per rule; a policy is
-a versioned mask over these bits, so that changing a policy or asking what a rule costs never touches the texts again.
+Every rule is evaluated once per document. The stored ledger keeps the measurements, one failure bit per rule and the
+version of the rule set that gave the bits their meaning; a policy is a versioned mask over these bits, so that changing
+a policy or asking what a rule costs reads the stored bits and never the texts. A policy of another rule set is refused.
 
 Defined results: a null text counts as empty; an empty text has zero in every measurement and fails the length rule; no
 cap applies to long texts; repeated rows give repeated ledger rows; an empty table gives an empty ledger; columns other
@@ -14,14 +15,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import SEPARATORS, WORD, table, text_rows
+from quern.llm.common import SEPARATORS, WORD, staged, table, text_rows
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_caps_words")
 SYMBOLS = "#*$%&|<>"
 
+#: To be changed with RULES: stored bits mean rules of this version.
+RULES_VERSION = "rules-1"
 #: Bit i of fail_bits is rule i. The expressions use the measurements alone, in Spark SQL and in DuckDB alike.
 RULES: tuple[tuple[str, str], ...] = (
     ("too_short", "n_words < 50"),
@@ -39,6 +42,7 @@ class Policy:
 
     version: str
     rules: tuple[str, ...]
+    rules_version: str = RULES_VERSION
 
     @property
     def mask(self) -> int:
@@ -79,27 +83,42 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def rule_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, the measurements and fail_bits (bigint): one pass over the texts, no shuffle."""
+    """id, the measurements, fail_bits (bigint) and rules_version: one pass over the texts, no shuffle."""
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = slim.schema["_id"].dataType.simpleString()
     made = slim.mapInArrow(_measured, f"_id {kind}, " + ", ".join(f"{m} bigint" for m in MEASURES))
     bits = " + ".join(f"(case when {rule} then {1 << i} else 0 end)" for i, (_, rule) in enumerate(RULES))
-    return made.withColumn("fail_bits", F.expr(bits).cast("bigint")).withColumnRenamed("_id", id_col)
+    return made.withColumn("fail_bits", F.expr(bits).cast("bigint")).withColumn("rules_version", F.lit(RULES_VERSION)).withColumnRenamed("_id", id_col)
+
+
+def stored_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """The ledger as a table of the shared folder, or of path, from which any number of policies and ablations are read."""
+    ledger = rule_ledger(docs, id_col, text_col)
+    if path is None:
+        return staged(ledger, "ledger")
+    ledger.write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def _bits_for(policy: Policy) -> Column:
+    """fail_bits under the policy's mask; an error on rows whose bits another version of the rules has set."""
+    told = F.concat(F.lit(f"policy {policy.version} is for {policy.rules_version}, the ledger has "), F.coalesce("rules_version", F.lit("none")))
+    return F.when(F.col("rules_version").eqNullSafe(policy.rules_version), F.col("fail_bits").bitwiseAND(F.lit(policy.mask))).otherwise(F.raise_error(told).cast("bigint"))
 
 
 def apply_policy(ledger: DataFrame, policy: Policy, name: str = "kept") -> DataFrame:
-    return ledger.withColumn(name, F.col("fail_bits").bitwiseAND(F.lit(policy.mask)) == 0)
+    """The ledger with a verdict column, and the policy's version as <name>_policy."""
+    return ledger.withColumn(name, _bits_for(policy) == 0).withColumn(f"{name}_policy", F.lit(policy.version))
 
 
 def ablation(ledger: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
     """Per rule of a policy: how many documents fail it, fail it alone, and would be kept without it.
 
     The ledger is first counted by its bit pattern (at most 2 ** rules rows), then the patterns are folded per rule."""
-    counts = ledger.groupBy("fail_bits").agg(F.count("*").alias("n"))
+    counts = ledger.groupBy("fail_bits", "rules_version").agg(F.count("*").alias("n"))
     names = [name for name, _ in RULES]
     rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(1 << names.index(r)).cast("bigint").alias("bit")) for r in policy.rules])
-    bits = F.col("fail_bits").bitwiseAND(F.lit(policy.mask))
-    per = counts.select("n", bits.alias("bits"), F.explode(rules).alias("r")).select("n", "bits", "r.*")
+    per = counts.select("n", _bits_for(policy).alias("bits"), F.explode(rules).alias("r")).select("n", "bits", "r.*")
     hit = per["bits"].bitwiseAND(per["bit"]) != 0
     return per.groupBy("rule").agg(
         F.sum(F.when(hit, per["n"]).otherwise(0)).alias("n_failed"),
@@ -109,9 +128,9 @@ def ablation(ledger: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = rule_ledger(table(spark, sf_dir, "documents"))
+    ledger = stored_ledger(table(spark, sf_dir, "documents"))
     judged = apply_policy(apply_policy(ledger, BASE, "_base"), PRODUCTION)
-    return judged.select("doc_id", *MEASURES[:5], (~F.col("_base")).alias("base_failed"), "kept", "fail_bits")
+    return judged.select("doc_id", *MEASURES[:5], (~F.col("_base")).alias("base_failed"), "kept", "fail_bits", "rules_version", "kept_policy")
 
 
 _BITS = " + ".join(f"(case when {rule} then {1 << i} else 0 end)" for i, (_, rule) in enumerate(RULES))
@@ -134,6 +153,6 @@ m AS (
   FROM w LEFT JOIN rep USING (rid)),
 b AS (SELECT *, ({_BITS})::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & {BASE.mask}) <> 0 AS base_failed,
-       (fail_bits & {PRODUCTION.mask}) = 0 AS kept, fail_bits
+       (fail_bits & {PRODUCTION.mask}) = 0 AS kept, fail_bits, '{RULES_VERSION}' AS rules_version, '{PRODUCTION.version}' AS kept_policy
 FROM b
 """
