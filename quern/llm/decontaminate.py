@@ -13,7 +13,7 @@ shingle hashes meet the sketches in a shuffled join and candidates are verified
 Defined results: words are maximal runs of letters and digits, lower-cased; an item of one to four words is one shingle
 (its whole sequence) and is looked for as such; null or empty items and documents match nothing; repeated rows give
 repeated results in the document table and one row for each (id, item) pair in the pairs; empty tables give no pairs.
-Columns other than ids and texts are never read.
+Ids of documents and items may be of any type. Columns other than ids and texts are never read.
 """
 
 from __future__ import annotations
@@ -26,11 +26,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from quern.llm.common import row_key, table, text_rows
 
 WORDS, THRESHOLD = 5, 0.8
-BROADCAST_CHARS = 16_000_000
+BROADCAST_CHARS = 4_000_000
 _TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -69,7 +71,7 @@ def _contained(item: set[str], words: list[str], whole: dict[int, set[str]]) ->
 class _Search:
     """Pairs of the broadcast items in batches of documents."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float):
+    def __init__(self, items: list[tuple], threshold: float):
         self.threshold = threshold
         self.items = [(i, s) for i, text in items if (s := shingles(tokens(text)))]
         self.sizes = sorted({min(WORDS, next(iter(s)).count(" ") + 1) for _, s in self.items})
@@ -79,7 +81,7 @@ class _Search:
                 self.table.setdefault(h, []).append(at)
         self.keys = self.table.keys()
 
-    def found(self, text: str | None) -> list[tuple[int, int, int]]:
+    def found(self, text: str | None) -> list[tuple]:
         words = tokens(text)
         whole: dict[int, set[str]] = {}
         at: set[int] = set()
@@ -97,7 +99,8 @@ class _Search:
         return got
 
 
-def _pairs(spark: SparkSession, slim: DataFrame, items: list[tuple[int, str]], threshold: float) -> DataFrame:
+def _pairs(spark: SparkSession, slim: DataFrame, items: list[tuple], item_kind: DataType, threshold: float) -> DataFrame:
+    item_type = to_arrow_type(item_kind)
     shared = spark.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,10 +114,10 @@ def _pairs(spark: SparkSession, slim: DataFrame, items: list[tuple[int, str]], t
                     n.append(hits)
                     size.append(of)
             keys = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(item, pa.int64()), pa.array(n, pa.int64()), pa.array(size, pa.int64())], ["_id", "_rk", "_rk2", "item_id", "n_shared", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(item, item_type), pa.array(n, pa.int64()), pa.array(size, pa.int64())], ["_id", "_rk", "_rk2", "item_id", "n_shared", "n_shingles"])
 
     kind = slim.schema["_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"_id {kind}, _rk bigint, _rk2 int, item_id bigint, n_shared bigint, n_shingles bigint")
+    return slim.mapInArrow(run, f"_id {kind}, _rk bigint, _rk2 int, item_id {item_kind.simpleString()}, n_shared bigint, n_shingles bigint")
 
 
 def _hash_rows(of_items: bool, threshold: float):
@@ -159,18 +162,18 @@ def _joined_pairs(slim: DataFrame, items: DataFrame, threshold: float) -> DataFr
             rows = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(4)]
             yield pa.RecordBatch.from_arrays([*rows, pa.array(n, pa.int64()), pa.array(size, pa.int64())], ["_id", "_rk", "_rk2", "item_id", "n_shared", "n_shingles"])
 
-    return both.select("_id", "_rk", "_rk2", F.col("item_id").cast("bigint"), "_text", "_item").mapInArrow(verify, f"_id {kind}, _rk bigint, _rk2 int, item_id bigint, n_shared bigint, n_shingles bigint")
+    return both.select("_id", "_rk", "_rk2", "item_id", "_text", "_item").mapInArrow(verify, f"_id {kind}, _rk bigint, _rk2 int, item_id {item_kind}, n_shared bigint, n_shingles bigint")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
-    """_id, _rk, _rk2, item_id, n_shared, n_shingles: one row for each document row and item contained to threshold or more."""
+    """_id, _rk, _rk2, item_id (of the items' own type), n_shared, n_shingles: one row for each document row and item contained to threshold or more."""
     slim = docs.select(F.col(id_col).alias("_id"), *row_key(F.col(id_col), F.col(text_col)), F.col(text_col).alias("_text"))
     tests = items.select(F.col(item_id).alias("_id"), *row_key(F.col(item_id), F.col(item_text)), F.col(item_text).alias("_text"))
     size = tests.agg(F.sum(F.length("_text") + 16)).first()[0] or 0
     if size > broadcast_chars:
         return _joined_pairs(slim, tests, threshold)
     rows = [(r["_id"], r["_text"]) for r in tests.select("_id", "_text").distinct().collect()]  # bounded by the check above
-    return _pairs(docs.sparkSession, slim, rows, threshold)
+    return _pairs(docs.sparkSession, slim, rows, tests.schema["_id"].dataType, threshold)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
