@@ -16,6 +16,8 @@ content, and what may match a shard is sent to it.
    themselves become the keys, counted by partial aggregation, which no frequency makes heavy.
 5. The repeated windows go back to their documents; maximal covered spans are removed.
 
+remove_known does the same against an outside reference, whose shards' automata are broadcast one after the other.
+
 Words are compared as 64-bit hashes, windows and contexts by 64 bits more than that at each key.
 
 Defined results: a null or empty text has no words and nothing is removed; documents under SPAN words are left alone;
@@ -36,6 +38,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import row_key, staged, table, text_rows
 
 SPAN, ANCHOR, DENSE = 35, 8, 64
+#: Characters of a broadcast shard of an outside reference (remove_known): some 350,000 automaton states.
+SHARD_CHARS = 1_000_000
 _B = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
@@ -173,6 +177,23 @@ class SuffixAutomaton:
         return out
 
 
+    def covered(self, sequence: list[int], span: int) -> list[tuple[int, int]]:
+        """Maximal spans (start, end) of sequence made of matches of span elements or more with the automaton's sequences."""
+        state, have, spans = 0, 0, []
+        for i, c in enumerate(sequence):
+            while state and c not in self.next[state]:
+                state = self.link[state]
+                have = self.length[state]
+            if c in self.next[state]:
+                state, have = self.next[state][c], have + 1
+            if have >= span:
+                start = i + 1 - have
+                while spans and spans[-1][1] >= start:
+                    start = min(start, spans.pop()[0])
+                spans.append((start, i + 1))
+        return spans
+
+
 def repeated_windows(sequences: list[list[int]], weights: list[int], span: int = SPAN) -> list[int]:
     """By sequence, a bit mask of its windows that occur more than once among all of them."""
     automaton = SuffixAutomaton()
@@ -290,6 +311,59 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.select("_id", "_text", "spots").mapInArrow(_removed, f"_id {kind}, n_words bigint, n_removed bigint, kept_text string").withColumnRenamed("_id", id_col)
 
 
+def remove_known(docs: DataFrame, reference: DataFrame, id_col: str = "doc_id", text_col: str = "text", ref_text: str = "text", span: int = SPAN, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """id, n_words, n_removed, kept_text of every row, without the words of maximal spans of at least span words that some
+    reference text holds. For a reference that docs are not part of.
+
+    The reference's distinct texts are dealt by hash into shards of about shard_chars characters, counted beforehand. The
+    suffix automaton of each shard is broadcast, and all documents are streamed past it: a pass for each shard, so this
+    is for references of some shards. Null and empty texts hold nothing; repeated rows are treated alike."""
+    spark = docs.sparkSession
+    known = reference.select(F.col(ref_text).alias("_text")).filter("_text is not null").distinct()
+    total = known.agg(F.sum(F.length("_text") + 1)).first()[0] or 0
+    n_shards = max(1, -(-total // shard_chars))
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    kind = slim.schema["_id"].dataType.simpleString()
+    spots = F.array().cast("array<struct<start:int,end:int>>")
+    rows = slim.withColumn("spots", spots)
+    for shard in range(n_shards):
+        texts = known.filter(F.pmod(F.xxhash64("_text"), F.lit(n_shards)) == shard).collect()  # about shard_chars
+        automaton = SuffixAutomaton()
+        for r in texts:
+            automaton.add(word_hashes(split_words(r["_text"])).tolist(), 1)
+        rows = rows.mapInArrow(_matched(spark.sparkContext.broadcast(automaton), span), f"_id {kind}, _text string, spots array<struct<start:int,end:int>>")
+    return rows.mapInArrow(_cut_spots, f"_id {kind}, n_words bigint, n_removed bigint, kept_text string").withColumnRenamed("_id", id_col)
+
+
+def _matched(shared, span: int):
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = shared.value
+        for batch in text_rows(batches):
+            spots = []
+            for text, before in zip(batch.column("_text").to_pylist(), batch.column("spots").to_pylist(), strict=True):
+                found = automaton.covered(word_hashes(split_words(text)).tolist(), span)
+                spots.append(before + [{"start": s, "end": e} for s, e in found])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_text"), pa.array(spots, kind)], ["_id", "_text", "spots"])
+
+    return run
+
+
+def _cut_spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_rows(batches):
+        kept, total, gone = [], [], []
+        for text, spots in zip(batch.column("_text").to_pylist(), batch.column("spots").to_pylist(), strict=True):
+            words = split_words(text)
+            keep = np.ones(len(words), bool)
+            for s in spots:
+                keep[s["start"] : s["end"]] = False
+            total.append(len(words))
+            gone.append(int((~keep).sum()))
+            kept.append(b" ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k).decode("utf-8", "surrogatepass"))
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["_id", "n_words", "n_removed", "kept_text"])
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
