@@ -69,6 +69,11 @@ def test_ledger_policies(spark, empty):
     kept = {r["doc_id"]: r["kept"] for r in quality.apply_policy(ledger, quality.PRODUCTION).collect()}
     assert kept == {1: False, 2: True, 3: False, 4: False}
     got = {r["rule"]: tuple(r)[1:] for r in quality.ablation(ledger).collect()}
+    again = quality.stored_ledger(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert sorted_rows(again) == sorted_rows(ledger) and sorted_rows(quality.ablation(again)) == sorted_rows(quality.ablation(ledger))
+    assert {(r["rules_version"], r["kept_policy"]) for r in quality.apply_policy(again, quality.PRODUCTION).collect()} == {("rules-1", "web-1")}
+    with pytest.raises(Exception, match="is for rules-0"):
+        quality.apply_policy(again, quality.Policy("old", ("symbols",), "rules-0")).collect()
     assert got["symbols"] == (1, 1, 2) and got["too_short"] == (2, 1, 2) and got["repeated_trigrams"] == (1, 0, 1)
     assert quality.rule_ledger(empty).count() == 0
 
@@ -92,6 +97,23 @@ def test_substrings_dense_anchor(spark):
     assert got == {i: 36 for i in range(150)}
 
 
+def test_known_spans_brute(spark, empty):
+    rows, refs = corpus(9, 40), [r[1] for r in corpus(9, 5)[:5]] + [None, "", "one two"]
+    refs[0] = (refs[0] + " ") * 3
+    windows = {tuple(w[i : i + 10]) for w in map(words_of, refs) for i in range(len(w) - 9)}
+    reference = spark.createDataFrame([(t,) for t in [*refs, refs[0]]], "text string")
+    docs = spark.createDataFrame(rows, DOCS)
+    for chars in (10**6, 300):
+        got = substrings.remove_known(docs, reference, span=10, shard_chars=chars).collect()
+        want = []
+        for r in rows:
+            w = words_of(r[1])
+            gone = {i + k for i in range(len(w) - 9) if tuple(w[i : i + 10]) in windows for k in range(10)}
+            want.append((r[0], len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr) and any(x[2] for x in want)
+    assert {r["n_removed"] for r in substrings.remove_known(docs, empty).collect()} == {0}
+
+
 def test_automaton_counts():
     r = random.Random(3)
     for _ in range(200):
@@ -273,6 +295,42 @@ def test_urls(spark):
     assert urls.judge_urls(pages.limit(0), outcomes).count() == 0
 
 
+def test_url_levels(spark):
+    names = ["a.b.co.uk", "b.co.uk", "co.uk", "user:pw@a.b.com:8080", "10.0.0.1", "10.0.0.1:80", "[::1]:80", "x.com.", "localhost", "", "me@x.org"]
+    df = spark.createDataFrame([(n,) for n in names], "host string")
+    name = urls.name_of(df["host"])
+    got = [tuple(r) for r in df.select(urls.domain_of(name), urls.suffix_of(name)).collect()]
+    assert got[:4] == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("b.com", "com")]
+    assert got[4] == got[5] == ("10.0.0.1", "10.0.0.1") and got[7] == ("x.com", "com") and got[8:10] == [("localhost", "localhost"), ("", "")]
+    assert got[6][0] == got[6][1] and got[10] == ("x.org", "org")
+
+
+def test_beta_below(spark):
+    cases = [(0.3, 0.7), (1.0, 1.0), (2.5, 40.0), (30.0, 12.0), (0.05, 3.0), (400.0, 390.0)]
+    df = spark.createDataFrame(cases, "a double, b double")
+    x = (np.arange(4_000_000) + 0.5) / 4_000_000
+    for (a, b), r in zip(cases, df.select(urls.beta_below(df["a"], df["b"], 0.5)).collect()):
+        d = np.exp((a - 1) * np.log(x) + (b - 1) * np.log1p(-x) - max((a - 1) * np.log(x[len(x) // 2]), 0))
+        assert r[0] == pytest.approx(d[: len(x) // 2].sum() / d.sum(), abs=0.01)
+
+
+def test_mixing_carries_any_column(spark):
+    rows = [(i, f"t {i}", "s", i, [0.5], 2, "r", 1.0) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string, _pieces int, _cdf array<double>, _count int, _row string, _rate double")
+    out = mixing.poisson_replicate(docs)
+    assert out.columns == [*docs.columns, "copy_no", "order_key"]
+    assert {repr(tuple(r)[:-2]) for r in out.collect()} <= {repr(tuple(r)) for r in docs.collect()} and out.count() > 0
+
+
+def test_decontamination_ids_of_any_type(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([("d1", "x " + words), ("d2", "nothing here"), (None, words)], "doc_id string, text string")
+    items = spark.createDataFrame([("i-one", words), ("i-two", None)], "item_id string, text string")
+    for chars in (10**6, 0):
+        got = decontaminate.contained_items(docs, items, broadcast_chars=chars).select("_id", "item_id").collect()
+        assert sorted(map(tuple, got), key=repr) == [("d1", "i-one"), (None, "i-one")]
+
+
 def test_mixing(docs, empty):
     got = mixing.poisson_replicate(docs, weights={"src0": 3.0, "b": 1.0}).collect()
     assert {r["source"] for r in got} <= {"src0", "b", None} and [r["order_key"] for r in got] == sorted(r["order_key"] for r in got)
@@ -428,6 +486,18 @@ def test_secrets_brute(spark, empty):
     texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 40))) for _ in range(400)]
     rows = [(i, t, f"o{i % 3}", "en", 0.5, 1.5, 7, "k", "n") for i, t in enumerate([*texts, None, "", "a" * 100000, 'token = "' + "Q1w2" * 10])]
     names = secrets.KINDS
+    spans = {}
+    for i, t, owner, *_ in rows:  # owned spans: values of wide tokens under one owner and in two repositories at most
+        wide = [m for m in re.finditer(r"[A-Za-z0-9_-]{24,}", t or "") if re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0]) and re.search("[0-9]", m[0])]
+        value = lambda s: re.match(secrets.ASSIGN.replace("++", "+"), t[s[0] : s[2]])[2] if s[1] == 0 else t[s[0] : s[2]]  # noqa: E731, B023
+        spans[i] = [(s[0], s[1], s[2], value(s)) for s in brute_secrets(t)] + [(m.start(), 3, m.end(), m[0]) for m in wide], owner
+    owners = {}
+    for found, owner in spans.values():
+        for *_, v in found:
+            owners.setdefault(v, set()).add(owner)
+    want = {i: sorted({s[:3] for s in found if s[1] == 3 and len(owners[s[3]]) <= secrets.MAX_OWNERS}) for i, (found, _) in spans.items()}
+    got = {x["doc_id"]: [(s["start"], s["rank"], s["end"]) for s in x["owned"]] for x in secrets.scan_secrets(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want and any(want.values())
     for row in secrets.scan_secrets(spark.createDataFrame(rows, DOCS)).collect():
         assert [(s["start"], s["rank"], s["end"]) for s in row["base"]] == brute_secrets(rows[row["doc_id"]][1]), rows[row["doc_id"]][1]
     assert secrets.scan_secrets(empty).count() == 0 and names[3] == "owned"
