@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.operators.profile import ranked_values
 from quern.sources.views import SESSIONS_SQL, read, sessions
 
-MISS_TURN = 11
+#: The turn of a miss, and the turn from which hits count where the customer overrides an earlier wish.
+MISS_TURN, OVERRIDE_TURN = 11, 3
+
+
+def counts(hit: Column) -> Column:
+    return hit & ((F.col("scenario_type") != "intent_override") | (F.col("turn") >= OVERRIDE_TURN))
 
 
 def outcomes(rows: DataFrame) -> DataFrame:
-    """One row a session: first hit turn, rank at that hit, reciprocal rank."""
-    hit = F.col("hit")
+    """One row a session: first hit turn and the rank at that hit (W10). Where the scenario overrides an earlier wish, hits
+    before OVERRIDE_TURN don't count."""
+    hit = counts(F.col("hit"))
     return rows.groupBy("sample_id", "scenario_type").agg(F.min(F.when(hit, F.col("turn"))).alias("first_hit_turn"), F.min_by(F.when(hit, F.col("rank")), F.when(hit, F.col("turn"))).alias("hit_rank"))
 
 
@@ -32,7 +39,8 @@ def session_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics(outcomes(sessions(spark, sf_dir)))
 
 
-_OUT = f"""{SESSIONS_SQL}, o AS (SELECT sample_id, scenario_type, min(CASE WHEN hit THEN turn END) AS ft, arg_min(rank, turn) FILTER (WHERE hit) AS hr FROM sess GROUP BY ALL)"""
+_OUT = f"""{SESSIONS_SQL}, hs AS (SELECT * REPLACE (hit AND (scenario_type <> 'intent_override' OR turn >= {OVERRIDE_TURN}) AS hit) FROM sess),
+o AS (SELECT sample_id, scenario_type, min(CASE WHEN hit THEN turn END) AS ft, arg_min(rank, turn) FILTER (WHERE hit) AS hr FROM hs GROUP BY ALL)"""
 _METRICS = """SELECT scenario, count(*) AS n, round(avg((ft IS NOT NULL)::INT), 6) AS hit_rate, round(avg(coalesce(1.0 / hr, 0)), 6) AS mrr, round(avg(coalesce(ft, 11)), 6) AS mttc FROM (SELECT *, unnest([scenario_type, 'overall']) AS scenario FROM {}) GROUP BY 1"""
 SESSION_METRICS_SQL = f"""WITH {_OUT}, m AS ({_METRICS.format('o')}), e AS (SELECT *, round(least(1.0, greatest(0.0, (11 - mttc) / 10)), 6) AS efficiency FROM m)
 SELECT *, round(0.5 * hit_rate + 0.3 * mrr + 0.2 * efficiency, 6) AS score FROM e"""
@@ -103,7 +111,7 @@ NARROW = 3
 def paired(rows: DataFrame) -> DataFrame:
     """sample_id, y: hit of the full list less hit of its first NARROW results, of each session."""
     hit = lambda c: F.max(F.when(c, 1.0).otherwise(0.0))
-    return rows.groupBy("sample_id").agg((hit(F.col("hit")) - hit(F.col("hit") & (F.col("rank") <= NARROW))).alias("y"))
+    return rows.groupBy("sample_id").agg((hit(counts(F.col("hit"))) - hit(counts(F.col("hit")) & (F.col("rank") <= NARROW))).alias("y"))
 
 
 def bootstrap_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +119,8 @@ def bootstrap_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap(paired(sessions(spark, sf_dir)))
 
 
-DIFFERENCE_SQL = f"""WITH RECURSIVE {SESSIONS_SQL}, o AS (SELECT sample_id, max((hit IS TRUE)::INT) - max((hit AND rank <= {NARROW} IS TRUE)::INT) AS y FROM sess GROUP BY 1), k(i, p, c) AS (SELECT 0, 0.36787944117144233::DOUBLE, 0.36787944117144233::DOUBLE UNION ALL SELECT i + 1, p / (i + 1), c + p / (i + 1) FROM k WHERE i < 8),
+DIFFERENCE_SQL = f"""WITH RECURSIVE {SESSIONS_SQL}, hs AS (SELECT * REPLACE (hit AND (scenario_type <> 'intent_override' OR turn >= {OVERRIDE_TURN}) AS hit) FROM sess),
+o AS (SELECT sample_id, max((hit IS TRUE)::INT) - max(((hit AND rank <= {NARROW}) IS TRUE)::INT) AS y FROM hs GROUP BY 1), k(i, p, c) AS (SELECT 0, 0.36787944117144233::DOUBLE, 0.36787944117144233::DOUBLE UNION ALL SELECT i + 1, p / (i + 1), c + p / (i + 1) FROM k WHERE i < 8),
 d AS (SELECT y, r AS round, ('0x' || substr(md5('7:' || r || ':' || sample_id), 1, 12))::BIGINT / {1 << 48}.0 AS u FROM o, range(1, 201) AS t(r)),
 w AS (SELECT round, y, (SELECT count(*) FROM k WHERE u >= c) AS w FROM d), m AS (SELECT round, sum(w * y) / sum(w) AS m FROM w GROUP BY 1)
 SELECT count(*) AS rounds, round(avg(m), 6) AS mean, round(quantile_disc(m, 0.025), 6) AS low, round(quantile_disc(m, 0.975), 6) AS high FROM m"""
@@ -150,9 +159,10 @@ USAGE_SQL = f"""WITH {_USAGE} SELECT provider, count(*) AS turns, count(DISTINCT
 
 
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest-rank p50 and p95 by provider (A26), exact: a discrete percentile over value counts."""
+    """Nearest-rank p50 and p95 by provider (A26), exact."""
     e = usage_events(spark, sf_dir)
-    return e.groupBy("provider").agg(F.expr("percentile_disc(0.5) within group (order by latency_ms)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by latency_ms)").alias("p95"))
+    at = ranked_values(e, ["provider"], "latency_ms", {"p50": lambda n: F.ceil(0.5 * n), "p95": lambda n: F.ceil(0.95 * n)})
+    return at.select("provider", "p50", "p95")
 
 
 LATENCY_SQL = f"WITH {_USAGE} SELECT provider, quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95 FROM ev GROUP BY provider"

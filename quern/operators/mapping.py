@@ -7,15 +7,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators.dialogue import _RECOGNISED, recognise_messages
+from quern.operators.dialogue import _STATES, operations, turn_states
 from quern.operators.lookups import VOCABULARY_SQL, vocabulary
 from quern.operators.profile import TOKENS_SQL
 from quern.sources.views import CATALOG_SQL, catalog, read
 
-#: attribute, field, weight, authoritative. Fields are columns of field_texts().
-FIELDS = (("color", "title", 0.8, False), ("style", "title", 0.7, False), ("size", "size", 1.0, True), ("size", "title", 0.6, False), ("material", "category", 0.5, False), ("feature", "title", 0.6, False), ("feature", "category", 0.4, False))
+#: attribute, field, weight, authoritative. Fields are the text columns of a product.
+FIELDS = (("color", "title", 0.8, False), ("item", "title", 0.7, False), ("item", "category", 0.5, False), ("size", "size", 1.0, True), ("size", "title", 0.6, False), ("brand", "store", 1.0, True), ("brand", "title", 0.5, False))
 #: What a constraint without a hit is worth: unmet 0, pass 1, soft_unmet half the share of its tokens that the fields hold.
-POLICIES = {"color": "unmet", "size": "pass", "style": "soft_unmet", "material": "soft_unmet", "feature": "soft_unmet"}
+POLICIES = {"color": "unmet", "size": "soft_unmet", "item": "soft_unmet", "brand": "pass"}
 
 
 def contains_term(text: Column, term: Column) -> Column:
@@ -40,15 +40,17 @@ def constraint_hit(attribute: Column, value: Column, fields: dict[str, Column])
 
 
 def field_constraint_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """constraint_hit() of every constraint of a session against each product that its customer ordered; mean and number of
-    full hits by product. A session has at most ten constraints, so the join grows with the lines."""
-    lines, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
-    pairs = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("session_id"), F.col("l_partkey").alias("asin")).distinct()
-    wanted = recognise_messages(spark, sf_dir).filter(F.col("act").isin("hard", "soft", "replace")).select("session_id", "attribute", "value").distinct()
-    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("asin"), F.lower("p_name").alias("title"), F.col("p_size").cast("string").alias("size"), F.lower("p_type").alias("category"))
-    hit = constraint_hit(F.col("attribute"), F.col("value"), {f: F.col(f) for f in ("title", "size", "category")})
+    """constraint_hit() of every constraint of a session's last state against each product that the session saw; mean and
+    number of full hits by product. Sessions are short, so the join grows with the lines."""
+    states = turn_states(operations(spark, sf_dir))
+    last = states.groupBy("session_id").agg(F.max_by("cons", "turn").alias("cons"))
+    wanted = last.select("session_id", F.explode("cons").alias("c")).select("session_id", "c.attribute", "c.value")
+    pairs = states.select("session_id", "asin").distinct()
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("asin"), F.lower("p_name").alias("title"), F.col("p_size").cast("string").alias("size"), F.lower("p_type").alias("category"), F.lower("p_brand").alias("store"))
+    hit = constraint_hit(F.col("attribute"), F.col("value"), {f: F.col(f) for f in ("title", "size", "category", "store")})
     scored = pairs.join(wanted, "session_id").join(part, "asin").select("asin", hit.alias("hit"))
-    return scored.groupBy("asin").agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("mean_hit"), F.count_if(F.col("hit") >= 1).alias("n_full"))
+    micro = F.round(F.col("hit") * 1_000_000).cast("bigint")  # whole millionths, so that the mean doesn't hang on the order of a sum
+    return scored.groupBy("asin").agg(F.count("*").alias("n"), F.sum(micro).alias("s"), F.count_if(F.col("hit") >= 1).alias("n_full")).select("asin", "n", (F.expr("(2 * s + n) div (2 * n)") / 1_000_000).alias("mean_hit"), "n_full")
 
 
 def _sql_hit(f: str) -> str:
@@ -58,13 +60,13 @@ def _sql_hit(f: str) -> str:
 _BEST = "greatest(0.0, " + ", ".join(f"CASE WHEN attribute = '{a}' AND {_sql_hit(f)} THEN {w} ELSE 0.0 END" for a, f, w, _ in FIELDS) + ")"
 _SURE = " OR ".join(f"(attribute = '{a}' AND {_sql_hit(f)})" for a, f, _, sure in FIELDS if sure)
 _TOKENS = f"list_distinct(list_slice({TOKENS_SQL.format('value')}, 1, 6))"
-HITS_SQL = f"""WITH {_RECOGNISED}, w AS (SELECT DISTINCT session_id, attribute, value FROM rec WHERE act IN ('hard', 'soft', 'replace')),
-pr AS (SELECT DISTINCT o_custkey AS session_id, l_partkey AS asin FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-f AS (SELECT p_partkey AS asin, lower(p_name) AS title, p_size::VARCHAR AS size, lower(p_type) AS category FROM part),
+_MISSING = " ".join(f"WHEN attribute = '{a}' THEN {'1.0' if p == 'pass' else '0.0'}" for a, p in POLICIES.items() if p != "soft_unmet")
+HITS_SQL = f"""WITH RECURSIVE {_STATES}, l AS (SELECT session_id, arg_max(cons, turn) AS cons FROM states GROUP BY 1), w AS (SELECT session_id, unnest(cons, recursive := true) FROM l),
+pr AS (SELECT DISTINCT session_id, asin FROM states), f AS (SELECT p_partkey AS asin, lower(p_name) AS title, p_size::VARCHAR AS size, lower(p_type) AS category, lower(p_brand) AS store FROM part),
 j AS (SELECT *, {_TOKENS} AS toks FROM pr JOIN w USING (session_id) JOIN f USING (asin)),
-h AS (SELECT asin, CASE WHEN value = '' THEN 0.5 WHEN {_SURE} THEN 1.0 WHEN {_BEST} > 0 THEN {_BEST} WHEN attribute = 'color' THEN 0.0 WHEN attribute = 'size' THEN 1.0
-  WHEN len(toks) = 0 THEN 0.0 ELSE len(list_filter(toks, lambda t: contains(concat_ws(' ', title, size, category), t))) / len(toks) * 0.5 END AS hit FROM j)
-SELECT asin, count(*) AS n, round(avg(hit), 6) AS mean_hit, count(*) FILTER (WHERE hit >= 1) AS n_full FROM h GROUP BY asin"""
+h AS (SELECT asin, CASE WHEN value = '' THEN 0.5 WHEN {_SURE} THEN 1.0 WHEN {_BEST} > 0 THEN {_BEST} {_MISSING}
+  WHEN len(toks) = 0 THEN 0.0 ELSE len(list_filter(toks, lambda t: contains(concat_ws(' ', title, size, category, store), t))) / len(toks) * 0.5 END AS hit FROM j)
+SELECT asin, count(*) AS n, ((2 * sum(round(hit * 1000000)::BIGINT) + count(*)) // (2 * count(*)))::BIGINT / 1000000.0::DOUBLE AS mean_hit, count(*) FILTER (WHERE hit >= 1) AS n_full FROM h GROUP BY asin"""
 
 #: alias, canonical; parts of a canonical are joined by underscores. The order decides.
 ALIASES = (("widget", "small_widgets"), ("bolt", "fasteners_bolts"), ("ring", "rings_seals"), ("old", "vintage_parts"), ("large", "large_scale_parts"), ("gear", "gears_drives"))
@@ -91,38 +93,54 @@ f AS (SELECT asin, word, min(i * 100 + k) AS spot FROM p JOIN a ON contains(phra
 r AS (SELECT asin, word, spot, row_number() OVER (PARTITION BY asin ORDER BY spot) AS n FROM f)
 SELECT asin, coalesce((SELECT string_agg(word, ' ' ORDER BY spot) FROM r WHERE r.asin = p.asin AND n <= {MAX_EXTRA}), '') AS added FROM p"""
 
-LETTER = "(?:xxxs|xxs|xs|s|m|l|xl|xxl|xxxl|2xl|3xl|4xl|5xl|2x|3x|4x|5x)"
-#: Sizes of clothes in free text, in the order of precedence. Fixed values.
-TEXT_SIZES = (
-    ("letter_with_context", rf"(?i)\bsizes?\s*[:=\-]?\s*{LETTER}\b"),
-    ("letter_range", rf"(?i)\b{LETTER}\s*[/\-–—]\s*{LETTER}\b"),
-    ("us_size", r"(?i)\bus\s*(?:size\s*)?[:=\-]?\s*\d{1,2}(?:\.5)?\b"),
+#: Letter sizes, size words, units of length with their signs, and the words before a number that make it a size.
+LETTERS = ("xs", "s", "m", "l", "xl")
+WORDS = ("small", "medium", "large")
+UNITS = ("inch", "inches", "in", "cm", "mm", "ft", "feet")
+SIGNS = "\"'′″”"
+NAMED = ("size", "shoe size", "waist", "inseam")
+#: Words that tell of a package or a part, not of a worn size.
+UNWORN = ("inch", "cm", "mm", "package", "dimension", "length", "height")
+
+#: xs to xl, more x before s and l, or a number of them; patterns are made from the tables above.
+LETTER = f"(?:[2-5]xl?|x{{0,3}}[{LETTERS[1]}{LETTERS[3]}]|{LETTERS[2]})"
+NUMBER = r"[0-9]{1,2}(?:\.5)?"
+LENGTH = rf"(?:(?:{'|'.join(UNITS)})\b|[{SIGNS}]|[x×] ?[0-9])"
+
+
+def _after(words: tuple[str, ...], what: str) -> str:
+    """What follows one of the words, with a colon, an equals sign or a dash between at most."""
+    return rf"(?i)\b(?:{'|'.join(words)}) ?[-:=]? ?{what}"
+
+
+SIZE_FORMS = (
+    ("letter", _after(("sizes?",), rf"{LETTER}\b")),
+    ("letter_range", rf"(?i)\b{LETTER} ?[-/–] ?{LETTER}\b"),
+    ("us_number", rf"(?i)\bus(?: size)? ?[:=-]? ?{NUMBER}\b"),
 )
-NUMERIC_SIZE = r"(?i)\b(?:size|shoe size|waist|inseam)\s*[:=\-]?\s*\d{1,2}(?:\.5)?\b"
-DIMENSION_AFTER = r"""(?i)^\s*(?:["'″”]|inch(?:es)?|in\b|cm\b|mm\b|feet\b|ft\b|x\s*\d|×\s*\d)"""
-DIMENSION = r"""(?i)\d+(?:\.\d+)?\s*(?:inch(?:es)?|cm|mm|["'″”])|\d+(?:\.\d+)?\s*[x×]\s*\d+(?:\.\d+)?"""
-NOT_WORN = ("inch", "cm", "mm", "watch box", "package", "dimension", "length", "height")
+NUMERIC = _after(NAMED, rf"{NUMBER}\b")
 
 
 def text_size(text: Column) -> Column:
     """Kind of the size that a free text names; null without one. A number that a unit of length follows is none."""
-    after = F.regexp_extract(text, rf"(?s){NUMERIC_SIZE}(.{{0,25}})", 1)
-    kind = F.when(text.rlike(NUMERIC_SIZE) & ~after.rlike(DIMENSION_AFTER), F.lit("numeric_with_context"))
-    for name, pattern in reversed(TEXT_SIZES):
+    beyond = F.regexp_extract(text, rf"(?s){NUMERIC}(.{{0,25}})", 1)
+    kind = F.when(text.rlike(NUMERIC) & ~beyond.rlike(rf"(?i)^ ?{LENGTH}"), F.lit("number"))
+    for name, pattern in reversed(SIZE_FORMS):
         kind = F.when(text.rlike(pattern), F.lit(name)).otherwise(kind)
     return kind
 
 
+LETTER_FIELD = rf"\b{LETTER}\b|\b(?:(?:x-|extra )?(?:{'|'.join(WORDS)}))\b"
+LENGTH_FIELD = rf"(?i)[0-9] ?{LENGTH}"
+
+
 def structured_size(text: Column) -> Column:
     """Kind of the size in a field for sizes: letters, a number, or a number with a width; null for lengths and others."""
-    low = F.lower(text)
-    unworn = text.rlike(DIMENSION)
-    for word in NOT_WORN:
-        unworn = unworn | F.contains(low, F.lit(word))
-    return (
-        F.when(unworn, None).when(low.rlike(rf"\b{LETTER}\b|\b(?:small|medium|large|x-small|x-large|extra small|extra large)\b"), "structured_letter_size")
-        .when(low.rlike(r"^\s*\d{1,2}(?:\.5)?\s*$"), "structured_numeric_size").when(low.rlike(r"^\s*\d{1,2}(?:\.5)?\s*[a-z]?\s*$"), "structured_numeric_width")
-    )
+    low = F.lower(F.trim(text))
+    length = low.rlike(LENGTH_FIELD)
+    for word in UNWORN:
+        length = length | F.contains(low, F.lit(word))
+    return F.when(length, None).when(low.rlike(LETTER_FIELD), "letter_field").when(low.rlike(rf"^{NUMBER}$"), "number_field").when(low.rlike(rf"^{NUMBER} ?[a-z]$"), "width_field")
 
 
 def size_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,12 +156,11 @@ def _q(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-_TEXT_KIND = " ".join(f"WHEN regexp_matches(text, {_q(p)}) THEN '{n}'" for n, p in TEXT_SIZES)
-_STRUCTURED = f"""CASE WHEN regexp_matches(v, {_q(DIMENSION)}) OR {" OR ".join(f"contains(lower(v), '{w}')" for w in NOT_WORN)} THEN NULL
-  WHEN regexp_matches(lower(v), '\\b{LETTER}\\b|\\b(?:small|medium|large|x-small|x-large|extra small|extra large)\\b') THEN 'structured_letter_size'
-  WHEN regexp_full_match(lower(v), '\\s*\\d{{1,2}}(?:\\.5)?\\s*') THEN 'structured_numeric_size' WHEN regexp_full_match(lower(v), '\\s*\\d{{1,2}}(?:\\.5)?\\s*[a-z]?\\s*') THEN 'structured_numeric_width' END"""
-SIZES_SQL = f"""WITH k AS (SELECT 'text' AS field, CASE {_TEXT_KIND} WHEN regexp_matches(text, {_q(NUMERIC_SIZE)}) AND NOT regexp_matches(regexp_extract(text, {_q(NUMERIC_SIZE + "(.{0,25})")}, 1, 's'), {_q(DIMENSION_AFTER)}) THEN 'numeric_with_context' END AS kind FROM documents
-UNION ALL SELECT 'size', {_STRUCTURED} FROM (SELECT p_size::VARCHAR AS v FROM part) UNION ALL SELECT 'title', {_STRUCTURED} FROM (SELECT p_name AS v FROM part)) SELECT field, kind, count(*) AS n FROM k GROUP BY ALL"""
+_TEXT_KIND = " ".join(f"WHEN regexp_matches(text, {_q(p)}) THEN '{n}'" for n, p in SIZE_FORMS)
+_STRUCTURED = f"""CASE WHEN regexp_matches(v, {_q(LENGTH_FIELD)}) OR {" OR ".join(f"contains(v, '{w}')" for w in UNWORN)} THEN NULL WHEN regexp_matches(v, {_q(LETTER_FIELD)}) THEN 'letter_field'
+  WHEN regexp_full_match(v, {_q(NUMBER)}) THEN 'number_field' WHEN regexp_full_match(v, {_q(NUMBER + " ?[a-z]")}) THEN 'width_field' END"""
+SIZES_SQL = f"""WITH k AS (SELECT 'text' AS field, CASE {_TEXT_KIND} WHEN regexp_matches(text, {_q(NUMERIC)}) AND NOT regexp_matches(regexp_extract(text, {_q(NUMERIC + "(.{0,25})")}, 1, 's'), {_q("(?i)^ ?" + LENGTH)}) THEN 'number' END AS kind FROM documents
+UNION ALL SELECT 'size', {_STRUCTURED} FROM (SELECT p_size::VARCHAR AS v FROM part) UNION ALL SELECT 'title', {_STRUCTURED} FROM (SELECT lower(trim(p_name)) AS v FROM part)) SELECT field, kind, count(*) AS n FROM k GROUP BY ALL"""
 
 #: Canonicals that are noise unless something vouches for them.
 NOISE = (("color", "hot"), ("color", "red"), ("size", "large"), ("style", "widget"), ("style", "unheard"))
@@ -186,13 +203,13 @@ def map_taxonomy(paths: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def taxonomy_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Product weight by canonical line, with what stays unmapped; every fifth size stands for a path of its root only."""
-    path = F.when(F.col("size") % 5 == 0, F.array(F.lit("Parts"))).when(F.col("size") % 7 == 0, F.array(F.lit("Odd"))).otherwise(F.col("categories"))
+    """Product weight by canonical line over the products' whole paths, brand and title words last, with what stays unmapped."""
+    path = F.concat("categories", F.array("store"), F.split("title", " "))
     return map_taxonomy(catalog(spark, sf_dir).select(path.alias("path"), F.lit(1).alias("weight")), spark.createDataFrame(list(NODES), "node string, canonical string, priority int"))
 
 
 TAXONOMY_SQL = f"""WITH {CATALOG_SQL}, k(node, canonical, priority) AS (VALUES {", ".join(f"('{n}', {repr(c) if c else 'NULL'}, {p})" for n, c, p in NODES)}),
-p AS (SELECT asin, CASE WHEN size % 5 = 0 THEN ['Parts'] WHEN size % 7 = 0 THEN ['Odd'] ELSE categories END AS path FROM catalog), e AS (SELECT asin, lower(unnest(path)) AS node, generate_subscripts(path, 1) AS pos FROM p),
+p AS (SELECT asin, list_concat(list_append(categories, store), string_split(title, ' ')) AS path FROM catalog), e AS (SELECT asin, lower(unnest(path)) AS node, generate_subscripts(path, 1) AS pos FROM p),
 b AS (SELECT asin, arg_max(canonical, priority * 1000 + pos) FILTER (WHERE canonical IS NOT NULL) AS canonical, bool_or(k.node IS NOT NULL) AS known FROM e LEFT JOIN k USING (node) GROUP BY 1)
 SELECT canonical, CASE WHEN canonical IS NOT NULL THEN 'mapped' WHEN known THEN 'noise' ELSE 'unmapped' END AS outcome, count(*) AS weight FROM b GROUP BY ALL"""
 

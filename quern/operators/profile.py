@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
@@ -27,12 +27,30 @@ CATALOG_PROFILE_SQL = f"""WITH {CATALOG_SQL} SELECT count(*) AS n_products, coun
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
+def ranked_values(df: DataFrame, by: list[str], col: str, ranks: dict) -> DataFrame:
+    """by, n, and the values of col at the given ranks (from 1; name to a function of n) of each group, nulls left out.
+
+    Rows are counted by value first. The counts are range-partitioned by group and value, each range's total is added up
+    over the ranges (one row a group and range), and running sums inside a range find the ranks: no group and no list of
+    values is ever in one buffer, however many distinct values it has."""
+    keys = [F.col(b) for b in by]
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("_v")).agg(F.count("*").alias("_c"))
+    parts = counts.repartitionByRange(*keys, F.col("_v")).withColumn("_part", F.spark_partition_id())
+    totals = parts.groupBy(*by, "_part").agg(F.sum("_c").alias("_t"))
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = totals.select(*by, "_part", F.sum("_t").over(w).alias("n"), (F.sum("_t").over(w.orderBy("_part")) - F.col("_t")).alias("_b"))
+    inside = parts.withColumn("_s", F.sum("_c").over(Window.partitionBy(*by, "_part").orderBy("_v"))).join(before, [*by, "_part"])
+    low, high = F.col("_b") + F.col("_s") - F.col("_c"), F.col("_b") + F.col("_s")
+    n = F.col("n")
+    hits = [F.max(F.when((f(n) > low) & (f(n) <= high), F.col("_v"))).alias(name) for name, f in ranks.items()]
+    return inside.groupBy(*by, "n").agg(*hits)
+
+
 def floor_quantiles(df: DataFrame, col: str, quantiles=QUANTILES) -> DataFrame:
-    """Value at the floor index n * p of the sorted column (A3). The index becomes a discrete percentile of known n, so
-    the values are aggregated as counts and never sorted in one task."""
-    n = df.filter(F.col(col).isNotNull()).count()
-    parts = [F.struct(F.lit(p).alias("p"), F.expr(f"percentile_disc({min(1.0, (int(n * p) + 0.5) / max(n, 1))!r}) within group (order by {col})").alias("value")) for p in quantiles]
-    return df.agg(F.array(*parts).alias("q")).select(F.explode("q").alias("q")).select("q.p", "q.value")
+    """Value at the floor index n * p of the sorted column (A3)."""
+    at = ranked_values(df, [], col, {f"q{i}": (lambda n, p=p: F.least(n, F.floor(n * p) + 1)) for i, p in enumerate(quantiles)})
+    rows = F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"q{i}").alias("value")) for i, p in enumerate(quantiles)])
+    return at.select(F.explode(rows).alias("q")).select("q.p", "q.value")
 
 
 def price_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.operators.dialogue import _RECOGNISED, recognise_messages
+from quern.operators.dialogue import _STATES, operations, turn_states
 from quern.operators.signals import _VALUES_SQL, CATEGORY_SIGNALS_SQL, PRIORS, attribute_values, category_signals, weights
 from quern.sources.views import CATALOG_SQL, catalog
 
@@ -73,7 +73,7 @@ def spread_signals(spread: DataFrame) -> DataFrame:
 def _pools(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = catalog(spark, sf_dir)
     pool = c.select(F.lower("category").alias("pool_id"), F.col("asin").alias("id"), F.log1p(F.col("rating_number").cast("double")).alias("score"))
-    values = attribute_values(c.filter("size % 5 <> 0 or size is null"))
+    values = attribute_values(c)
     return pool, values.groupBy(F.col("asin").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("attribute", "value"))).alias("vals"))
 
 
@@ -83,9 +83,9 @@ def question_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VALUE_OF = "CASE s.{0} " + " ".join(f"WHEN '{a}' THEN {a}_v" for a in ATTRIBUTES) + " END"
-_SIGNALS_SQL = f"""WITH {CATALOG_SQL}, {_VALUES_SQL.replace("FROM catalog)", "FROM catalog WHERE size % 5 <> 0 OR size IS NULL)")},
+_SIGNALS_SQL = f"""WITH {CATALOG_SQL}, {_VALUES_SQL},
 x AS (SELECT lower(category) AS pool_id, asin, ln(1 + rating_number) AS s, count(*) OVER (PARTITION BY lower(category)) AS n FROM catalog), y AS (SELECT *, exp(s - max(s) OVER (PARTITION BY pool_id)) AS e FROM x),
-z AS (SELECT *, 0.75 * e / sum(e) OVER (PARTITION BY pool_id) + 0.25 / n AS p FROM y),
+z AS (SELECT *, 0.25 * e / sum(e) OVER (PARTITION BY pool_id) + 0.75 / n AS p FROM y),
 wide AS (SELECT asin, {", ".join(f"max(CASE attribute WHEN '{a}' THEN value END) AS {a}_v" for a in ATTRIBUTES)} FROM val GROUP BY asin),
 s(asked, a, b) AS (VALUES {", ".join(f"('{_name(x)}', '{x[0]}', " + (f"'{x[1]}')" if x[1] else "NULL)") for x in ASKABLE)}),
 t AS (SELECT z.pool_id, z.asin, n, p, asked, {_VALUE_OF.format("a")} AS va, {_VALUE_OF.format("b")} AS vb FROM z LEFT JOIN wide USING (asin) CROSS JOIN s),
@@ -111,66 +111,86 @@ def best_attribute_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PLACE = "CASE asked " + " ".join(f"WHEN '{_name(s)}' THEN {i}" for i, s in enumerate(ASKABLE)) + " END"
 PAIR_SQL = f"""{_SIGNALS_SQL} SELECT pool_id, asked, shrink, resolve10 FROM (SELECT *, row_number() OVER (PARTITION BY pool_id ORDER BY shrink DESC, {_PLACE}) AS k FROM sig WHERE contains(asked, '+')) WHERE k = 1"""
 
-#: Attribute of the catalogue signals by the attribute class of a message.
+#: Attribute of the dialogue states by that of the catalogue signals.
 CLASS_OF = {"color_word": "color", "size": "size", "store": "brand"}
+#: Questions of a session, its last turn, least ask utility, stop utility.
 MAX_QUESTIONS, MAX_TURN, LEAST_ASK, STOP_AT = 3, 10, 0.2, 0.65
 
 
 def decide(turns: DataFrame, signals: DataFrame) -> DataFrame:
-    """Ask or stop at each turn, why, and what (Q6, Q9, O2).
+    """Ask or stop at each turn, why, and what.
 
-    turns: session_id, turn, category, known, set_attributes (classes answered so far), act, confidence; signals as of
-    category_signals(). Guards come first, then the stop utility, then the attribute of the largest ask utility, the first
-    of equals. A category without signals takes those of all products."""
+    turns: session_id, turn, category, known, set_attributes, declined (arrays), no_more, confidence; signals as of
+    category_signals(). A question that was asked counts from the next turn on, so the turns of a session are folded in
+    order. Guards come first (no more preferences, questions used up, last turn), then the stop utility, then the attribute
+    of the largest ask utility, the first of equals. A category without signals takes those of all products."""
     names = F.create_map(*[F.lit(x) for kv in CLASS_OF.items() for x in kv])
     places = F.create_map(*[F.lit(x) for i, a in enumerate(CLASS_OF) for x in (a, -i)])
     by = signals.groupBy(F.lower("category").alias("category")).agg(F.collect_list(F.struct("attribute", "gain", "answer_probability")).alias("sig"))
     have = turns.join(by, "category", "left").withColumn("every", F.lit("__all__"))
     have = have.join(F.broadcast(by.filter("category = '__all__'").select(F.col("category").alias("every"), F.col("sig").alias("all_sig"))), "every", "left")  # one row
-    late = (F.col("turn") - 1) / 9.0
-    vague = F.when(F.col("act") == "ambiguous", 1.0).otherwise(0.0)
+    fields = ["turn", "known", "set_attributes", "declined", "no_more", "confidence"]
+    per = have.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(*fields, F.coalesce("sig", "all_sig").alias("sig")))).alias("ts"))
+    full = lambda v: F.least(F.lit(1.0), v)
+    flag = lambda c: F.when(c, 1.0).otherwise(0.0)
 
-    def worth(s: Column) -> Column:
-        old = F.array_contains("set_attributes", names[s["attribute"]])
-        fresh, again = F.when(old, 0.0).otherwise(1.0), F.when(old, 1.0).otherwise(0.0)
-        value = 0.3 * s["gain"] + 0.25 * fresh + 0.15 * s["answer_probability"] + 0.2 * vague - 0.4 * again - 0.15 * late
-        return F.struct(F.round(value, 6).alias("u"), places[s["attribute"]].alias("i"), s["attribute"].alias("attribute"))
+    def step(a, t):
+        asked, late, vague = a["asked"], (t["turn"] - 1) / 9.0, flag(t["confidence"] < 0.65)
 
-    top = F.array_max(F.transform(F.coalesce("sig", "all_sig"), worth))
-    asked = F.size("set_attributes")
-    full = lambda v: F.least(F.lit(1.0), v)
-    stop = F.round(0.35 * full(F.col("known") / 4.0) + 0.25 * F.col("confidence") + 0.15 * full(asked / float(MAX_QUESTIONS)) + 0.25 * full(F.col("turn") / 10.0) - 0.3 * vague, 6)
-    x = have.withColumn("top", top).withColumn("stop_utility", stop)
-    reason = (
-        F.when(F.col("turn") >= MAX_TURN, "turn_limit").when(asked >= MAX_QUESTIONS, "max_questions").when(F.col("stop_utility") >= STOP_AT, "stop_utility_reached")
-        .when(F.col("top.u") < LEAST_ASK, "ask_utility_too_low").otherwise("highest_ask_utility")
-    )
-    x = x.withColumn("reason", reason)
-    return x.select("session_id", "turn", "reason", F.when(F.col("reason") == "highest_ask_utility", F.col("top.attribute")).alias("asked"), F.col("top.u").alias("ask_utility"), "stop_utility")
+        def worth(s):
+            own = names[s["attribute"]]
+            value = (
+                0.3 * s["gain"] + 0.25 * flag(~F.array_contains(t["set_attributes"], own)) + 0.15 * s["answer_probability"] + 0.2 * vague
+                - 0.4 * flag(F.array_contains(asked, own)) - 0.6 * flag(F.array_contains(t["declined"], own)) - 0.15 * late
+            )
+            return F.struct(F.round(value, 9).alias("u"), places[s["attribute"]].alias("i"), s["attribute"].alias("attribute"))
+
+        top = F.array_max(F.transform(t["sig"], worth))
+        stop = F.round(0.35 * full(t["known"] / 4.0) + 0.25 * t["confidence"] + 0.15 * full(F.size(asked) / float(MAX_QUESTIONS)) + 0.25 * full(t["turn"] / 10.0) - 0.3 * vague, 6)
+        reason = (
+            F.when(t["no_more"], "no_more_preferences").when(F.size(asked) >= MAX_QUESTIONS, "max_questions").when(t["turn"] >= MAX_TURN, "turn_limit").when(stop >= STOP_AT, "stop_utility_reached")
+            .when(top["u"] < LEAST_ASK, "ask_utility_too_low").otherwise("highest_ask_utility")
+        )
+        q = F.when(reason == "highest_ask_utility", top["attribute"])
+        row = F.struct(t["turn"].alias("turn"), reason.alias("reason"), q.alias("asked"), top["u"].alias("ask_utility"), stop.alias("stop_utility"))
+        return F.struct(F.when(q.isNotNull(), F.array_union(asked, F.array(names[q]))).otherwise(asked).alias("asked"), F.array_append(a["rows"], row).alias("rows"))
+
+    zero = F.struct(F.array().cast("array<string>").alias("asked"), F.array().cast("array<struct<turn:int,reason:string,asked:string,ask_utility:double,stop_utility:double>>").alias("rows"))
+    return per.select("session_id", F.explode(F.aggregate("ts", zero, step, lambda a: a["rows"])).alias("r")).select("session_id", "r.*")
 
 
 def question_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """decide() for every turn of every session. A session has at most ten turns, which bounds its windows."""
-    w = Window.partitionBy("session_id").orderBy("turn")
-    set_now = F.when(F.col("act").isin("hard", "soft", "replace"), F.col("attribute"))
-    t = recognise_messages(spark, sf_dir).select(
-        "session_id", "turn", "act", "confidence", F.coalesce(F.last(F.when(F.col("act") == "search", F.col("value")), True).over(w), F.lit("__all__")).alias("category"),
-        F.count(set_now).over(w).alias("known"), F.collect_set(set_now).over(w).alias("set_attributes"),
-    )
+    """decide() for every turn of every session."""
+    s = turn_states(operations(spark, sf_dir))
+    attributes = F.transform("cons", lambda c: c["attribute"])
+    t = s.select("session_id", "turn", F.coalesce("category", F.lit("__all__")).alias("category"), F.size("cons").alias("known"), attributes.alias("set_attributes"), "declined", "no_more", "confidence")
     return decide(t, category_signals(spark, sf_dir))
 
 
-_CLASS = "CASE attribute " + " ".join(f"WHEN '{a}' THEN '{c}'" for a, c in CLASS_OF.items()) + " END"
-_I = "CASE attribute " + " ".join(f"WHEN '{a}' THEN {i}" for i, a in enumerate(CLASS_OF)) + " END"
-DECISIONS_SQL = f"""WITH {_RECOGNISED}, sig AS ({CATEGORY_SIGNALS_SQL}),
-t AS (SELECT session_id, turn, act, confidence, coalesce(last_value(CASE WHEN act = 'search' THEN value END IGNORE NULLS) OVER w, '__all__') AS category, count(*) FILTER (WHERE act IN ('hard', 'soft', 'replace')) OVER w AS known,
-  coalesce(list_distinct(list(attribute) FILTER (WHERE act IN ('hard', 'soft', 'replace')) OVER w), []) AS had, CASE WHEN act = 'ambiguous' THEN 1.0 ELSE 0.0 END AS vague FROM rec WINDOW w AS (PARTITION BY session_id ORDER BY turn)),
-c AS (SELECT t.*, CASE WHEN category IN (SELECT lower(category) FROM sig) THEN category ELSE '__all__' END AS used FROM t),
-u AS (SELECT c.*, attribute AS q, {_I} AS i, round(0.3 * gain + 0.15 * answer_probability + 0.2 * vague + CASE WHEN list_contains(had, {_CLASS}) THEN -0.4 ELSE 0.25 END - 0.15 * (turn - 1) / 9.0, 6) AS u FROM c JOIN sig ON lower(sig.category) = used),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, turn ORDER BY u DESC, i) AS k FROM u) WHERE k = 1),
-s AS (SELECT *, round(0.35 * least(1, known / 4.0) + 0.25 * confidence + 0.15 * least(1, len(had) / {MAX_QUESTIONS}.0) + 0.25 * least(1, turn / 10.0) - 0.3 * vague, 6)::DOUBLE AS stop_utility FROM b),
-r AS (SELECT *, CASE WHEN turn >= {MAX_TURN} THEN 'turn_limit' WHEN len(had) >= {MAX_QUESTIONS} THEN 'max_questions' WHEN stop_utility >= {STOP_AT} THEN 'stop_utility_reached' WHEN u < {LEAST_ASK} THEN 'ask_utility_too_low' ELSE 'highest_ask_utility' END AS reason FROM s)
-SELECT session_id, turn, reason, CASE WHEN reason = 'highest_ask_utility' THEN q END AS asked, u::DOUBLE AS ask_utility, stop_utility FROM r"""
-
-QUERIES = {f.__name__: f for f in (question_signals, best_attribute_pair, question_decisions)}
-SQL = dict(zip(QUERIES, (QUESTION_SQL, PAIR_SQL, DECISIONS_SQL), strict=True))
+_CLASS = "CASE x.attribute " + " ".join(f"WHEN '{a}' THEN '{c}'" for a, c in CLASS_OF.items()) + " END"
+_I = "CASE x.attribute " + " ".join(f"WHEN '{a}' THEN {i}" for i, a in enumerate(CLASS_OF)) + " END"
+_UTILITIES = f"""list_sort(list_transform(sig, lambda x: {{'u': -round(0.3 * x.gain + CASE WHEN list_contains(had, {_CLASS}) THEN 0 ELSE 0.25 END + 0.15 * x.answer_probability + 0.2 * vague
+  - CASE WHEN list_contains(asked, {_CLASS}) THEN 0.4 ELSE 0 END - CASE WHEN list_contains(declined, {_CLASS}) THEN 0.6 ELSE 0 END - 0.15 * (turn - 1) / 9.0, 9), 'i': {_I}, 'attribute': x.attribute, 'class': {_CLASS}}}))[1]"""
+DECISIONS_SQL = f"""WITH RECURSIVE {_STATES}, sg AS ({CATEGORY_SIGNALS_SQL}), sl AS (SELECT lower(category) AS category, list({{'attribute': attribute, 'gain': gain, 'answer_probability': answer_probability}}) AS sig FROM sg GROUP BY 1),
+tt AS (SELECT session_id, turn, len(cons) AS known, list_transform(cons, lambda c: c.attribute) AS had, declined, no_more, confidence, CASE WHEN confidence < 0.65 THEN 1.0 ELSE 0.0 END AS vague, coalesce(a.sig, (SELECT sig FROM sl WHERE category = '__all__')) AS sig
+  FROM states LEFT JOIN sl a ON a.category = coalesce(states.category, '__all__')),
+dc AS (SELECT session_id, 0 AS turn, []::VARCHAR[] AS asked, NULL::VARCHAR AS reason, NULL::VARCHAR AS q, 0.0::DOUBLE AS u, 0.0::DOUBLE AS stop FROM (SELECT DISTINCT session_id FROM states)
+  UNION ALL
+  SELECT session_id, turn, CASE WHEN reason = 'highest_ask_utility' AND NOT list_contains(asked, top.class) THEN list_append(asked, top.class) ELSE asked END, reason, CASE WHEN reason = 'highest_ask_utility' THEN top.attribute END, -top.u, stop
+  FROM (SELECT *, CASE WHEN no_more THEN 'no_more_preferences' WHEN len(asked) >= {MAX_QUESTIONS} THEN 'max_questions' WHEN turn >= {MAX_TURN} THEN 'turn_limit' WHEN stop >= {STOP_AT} THEN 'stop_utility_reached' WHEN -top.u < {LEAST_ASK} THEN 'ask_utility_too_low' ELSE 'highest_ask_utility' END AS reason
+    FROM (SELECT *, {_UTILITIES} AS top, round(0.35 * least(1, known / 4.0) + 0.25 * confidence + 0.15 * least(1, len(asked) / {MAX_QUESTIONS}.0) + 0.25 * least(1, turn / 10.0) - 0.3 * vague, 6)::DOUBLE AS stop
+      FROM (SELECT t.*, dc.asked FROM dc JOIN tt t ON t.session_id = dc.session_id AND t.turn = dc.turn + 1))))
+SELECT session_id, turn, reason, q AS asked, u AS ask_utility, stop AS stop_utility FROM dc WHERE turn > 0"""
+
+
+def question_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns by reason and asked attribute, with the share of all turns."""
+    d = question_decisions(spark, sf_dir).groupBy("reason", "asked").agg(F.count("*").alias("n"))
+    total = d.agg(F.sum("n").alias("total"))  # one row
+    return d.join(F.broadcast(total)).select("reason", "asked", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+
+
+STATISTICS_SQL = f"""WITH d AS ({DECISIONS_SQL}) SELECT reason, asked, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM d GROUP BY reason, asked"""
+
+QUERIES = {f.__name__: f for f in (question_signals, best_attribute_pair, question_decisions, question_statistics)}
+SQL = dict(zip(QUERIES, (QUESTION_SQL, PAIR_SQL, DECISIONS_SQL, STATISTICS_SQL), strict=True))

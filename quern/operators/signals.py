@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators.profile import TOKENS_SQL
+from quern.operators.profile import TOKENS_SQL, ranked_values
 from quern.sources.views import CATALOG_SQL, catalog
 
 #: Prior probability that a customer answers about an attribute.
@@ -49,22 +49,28 @@ SELECT category, attribute, round(coverage, 6) AS coverage, round(entropy, 6) AS
 def budget_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price quartiles by category (linear interpolation) and the bucket of each product, counted."""
     c = catalog(spark, sf_dir).filter("price is not null")
-    q = c.groupBy("category").agg(F.expr("percentile(price, array(0.25, 0.75))").alias("q"))
-    bucket = F.when(F.col("price") <= F.col("q")[0], "low").when(F.col("price") <= F.col("q")[1], "mid").otherwise("high")
-    return c.join(q, "category").groupBy("category", F.round(F.col("q")[0], 4).alias("q25"), F.round(F.col("q")[1], 4).alias("q75"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    place = lambda p: lambda n: (n - 1) * p
+    ranks = {f"{name}{end}": (lambda n, p=p, f=f: f(place(p)(n)) + 1) for name, p in (("a", 0.25), ("b", 0.75)) for end, f in (("0", F.floor), ("1", F.ceil))}
+    at = ranked_values(c, ["category"], "price", ranks)
+    between = lambda x, p: F.col(f"{x}0") + (F.col(f"{x}1") - F.col(f"{x}0")) * (place(p)(F.col("n")) - F.floor(place(p)(F.col("n"))))
+    q = at.select("category", between("a", 0.25).alias("a"), between("b", 0.75).alias("b"))
+    bucket = F.when(F.col("price") <= F.col("a"), "low").when(F.col("price") <= F.col("b"), "mid").otherwise("high")
+    return c.join(q, "category").groupBy("category", F.round("a", 4).alias("q25"), F.round("b", 4).alias("q75"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
 BUDGET_SQL = """WITH q AS (SELECT p_type AS category, quantile_cont(p_retailprice, 0.25) AS a, quantile_cont(p_retailprice, 0.75) AS b FROM part WHERE p_retailprice IS NOT NULL GROUP BY 1)
 SELECT category, round(a, 4) AS q25, round(b, 4) AS q75, CASE WHEN p_retailprice <= a THEN 'low' WHEN p_retailprice <= b THEN 'mid' ELSE 'high' END AS bucket, count(*) AS n FROM part JOIN q ON p_type = category GROUP BY ALL"""
 
 
-def weights(pool: DataFrame, alpha: float = 0.25) -> DataFrame:
-    """pool with n, its size, and p, a mix of the softmax of the scores and the uniform share (W5). Sizes and sums come from
-    aggregates that are joined back, so that a pool of very many candidates is no single window."""
-    size = pool.groupBy("pool_id").agg(F.count("*").alias("n"), F.max("score").alias("top"))
-    x = pool.join(size, "pool_id").withColumn("soft", F.exp(F.col("score") - F.col("top")))
-    total = pool.join(size, "pool_id").groupBy("pool_id").agg(F.sum(F.exp(F.col("score") - F.col("top"))).alias("z"))
-    return x.join(total, "pool_id").withColumn("p", (1 - alpha) * F.col("soft") / F.col("z") + alpha / F.col("n")).drop("top", "soft", "z")
+def weights(pool: DataFrame, alpha: float = 0.25, temperature: float = 1.0) -> DataFrame:
+    """pool with n, its size, and p: alpha parts of the softmax of score / temperature, the rest of the uniform share (W5). A
+    pool with a score that is missing or not finite is uniform. Sizes and sums come from aggregates that are joined back,
+    so that a pool of very many candidates is no single window."""
+    fine = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))
+    size = pool.groupBy("pool_id").agg(F.count("*").alias("n"), F.max("score").alias("top"), F.bool_and(fine).alias("fine"))
+    x = pool.join(size, "pool_id").withColumn("soft", F.when(F.col("fine"), F.exp((F.col("score") - F.col("top")) / temperature)).otherwise(1.0))
+    total = x.groupBy("pool_id").agg(F.sum("soft").alias("z"))
+    return x.join(total, "pool_id").withColumn("p", alpha * F.col("soft") / F.col("z") + (1 - alpha) / F.col("n")).drop("top", "soft", "z", "fine")
 
 
 def pool_signals(pool: DataFrame, values: DataFrame, alpha: float = 0.25) -> DataFrame:
@@ -89,13 +95,13 @@ def candidate_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question value of each attribute for the pool of each product type."""
     c = catalog(spark, sf_dir)
     pool = c.select(F.lower("category").alias("pool_id"), F.col("asin").alias("id"), F.log1p(F.col("rating_number").cast("double")).alias("score"))
-    values = attribute_values(c.filter("size % 5 <> 0 or size is null")).select(F.col("asin").alias("id"), "attribute", "value")
+    values = attribute_values(c).select(F.col("asin").alias("id"), "attribute", "value")
     return pool_signals(pool, values)
 
 
-CANDIDATE_SIGNALS_SQL = f"""WITH {CATALOG_SQL}, {_VALUES_SQL.replace('FROM catalog)', 'FROM catalog WHERE size % 5 <> 0 OR size IS NULL)')},
+CANDIDATE_SIGNALS_SQL = f"""WITH {CATALOG_SQL}, {_VALUES_SQL},
 x AS (SELECT lower(category) AS pool_id, asin, ln(1 + rating_number) AS s, count(*) OVER (PARTITION BY lower(category)) AS n FROM catalog),
-y AS (SELECT *, exp(s - max(s) OVER (PARTITION BY pool_id)) AS e FROM x), z AS (SELECT *, 0.75 * e / sum(e) OVER (PARTITION BY pool_id) + 0.25 / n AS p FROM y),
+y AS (SELECT *, exp(s - max(s) OVER (PARTITION BY pool_id)) AS e FROM x), z AS (SELECT *, 0.25 * e / sum(e) OVER (PARTITION BY pool_id) + 0.75 / n AS p FROM y),
 j AS (SELECT a.pool_id, t.attribute, a.n, a.p, v.value, CASE WHEN v.value IS NULL THEN a.n ELSE a.n - count(v.value) OVER (PARTITION BY a.pool_id, t.attribute) + count(*) OVER (PARTITION BY a.pool_id, t.attribute, v.value) END AS rem
       FROM z a CROSS JOIN (SELECT DISTINCT attribute FROM val) t LEFT JOIN val v ON v.asin = a.asin AND v.attribute = t.attribute)
 SELECT pool_id, attribute, round(sum(p * rem), 4) AS expected, round(greatest(0, least(1, 1 - sum(p * rem) / any_value(n))), 6) AS shrink, round(greatest(0, least(1, sum(CASE WHEN rem <= 10 THEN p ELSE 0 END))), 6) AS resolve10,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROOT = "Parts"
@@ -32,19 +32,18 @@ CATALOG_SQL = f"""catalog AS (
 
 
 def sessions(spark: SparkSession, sf_dir: str, top: int = 10) -> DataFrame:
-    """Stored evaluation outcomes: one row a user and day of events. The turn is the place in the session; a purchase is
-    a hit. sample_id, scenario_type, turn, hit."""
-    e = read(spark, sf_dir, "events").withColumn("sample_id", F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMMdd")))
-    from pyspark.sql import Window
-
-    turn = F.row_number().over(Window.partitionBy("sample_id").orderBy("ts", "event_id"))
+    """Stored evaluation outcomes: one row a turn of a user's day of events, in successive sessions of MAX_TURNS turns. A
+    purchase is a hit. sample_id, scenario_type, turn, hit, rank."""
+    e = read(spark, sf_dir, "events").withColumn("_day", F.date_format("ts", "yyyyMMdd"))
+    place = F.row_number().over(Window.partitionBy("user_id", "_day").orderBy("ts", "event_id")) - 1
     scenario = F.element_at(F.array(*map(F.lit, SCENARIOS)), F.pmod("user_id", F.lit(len(SCENARIOS))).cast("int") + 1)
-    rows = e.select("sample_id", scenario.alias("scenario_type"), turn.alias("turn"), (F.col("event_type") == "purchase").alias("hit"), (F.pmod("event_id", F.lit(top)) + 1).alias("rank"))
-    return rows.filter(F.col("turn") <= MAX_TURNS)
+    x = e.withColumn("_place", place)
+    name = F.concat_ws("-", "user_id", F.floor(F.col("_place") / MAX_TURNS), "_day")
+    return x.select(name.alias("sample_id"), scenario.alias("scenario_type"), (F.col("_place") % MAX_TURNS + 1).alias("turn"), (F.col("event_type") == "purchase").alias("hit"), (F.pmod("event_id", F.lit(top)) + 1).alias("rank"))
 
 
+#: Scenario names, turns of a session.
 SCENARIOS, MAX_TURNS = ("buying", "browsing", "intent_override", "boundary"), 10
 SESSIONS_SQL = f"""sess AS (
-  SELECT * FROM (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS sample_id, {list(SCENARIOS)}[user_id % {len(SCENARIOS)} + 1] AS scenario_type,
-         row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y%m%d') ORDER BY ts, event_id) AS turn, event_type = 'purchase' AS hit, event_id % 10 + 1 AS rank FROM events)
-  WHERE turn <= {MAX_TURNS})"""
+  SELECT user_id || '-' || (place // {MAX_TURNS}) || '-' || day AS sample_id, {list(SCENARIOS)}[user_id % {len(SCENARIOS)} + 1] AS scenario_type, place % {MAX_TURNS} + 1 AS turn, event_type = 'purchase' AS hit, event_id % 10 + 1 AS rank
+  FROM (SELECT *, strftime(ts, '%Y%m%d') AS day, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y%m%d') ORDER BY ts, event_id) - 1 AS place FROM events))"""

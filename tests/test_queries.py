@@ -125,9 +125,9 @@ def test_question_spread_by_hand(spark):
 def test_sizes_and_requirements(spark):
     texts = ["Size: XL shirt", "fits S/M", "US 8.5 shoe", "waist 32", "size 17 inch", "nothing", None, ""]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    assert [r[0] for r in df.select(mapping.text_size(F.col("t"))).collect()] == ["letter_with_context", "letter_range", "us_size", "numeric_with_context", None, None, None, None]
+    assert [r[0] for r in df.select(mapping.text_size(F.col("t"))).collect()] == ["letter", "letter_range", "us_number", "number", None, None, None, None]
     fields = spark.createDataFrame([(t,) for t in ["8", "9 W", "x-large", "12 cm", "9 x 6", None]], "t string")
-    assert [r[0] for r in fields.select(mapping.structured_size(F.col("t"))).collect()] == ["structured_numeric_size", "structured_numeric_width", "structured_letter_size", None, None, None]
+    assert [r[0] for r in fields.select(mapping.structured_size(F.col("t"))).collect()] == ["number_field", "width_field", "letter_field", None, None, None]
     needs = spark.createDataFrame([({"dense": True},), ({"llm": False},), (None,)], "n map<string,boolean>")
     assert [r[0] for r in needs.select(mapping.requirements_met(F.col("n"), {"dense": False, "llm": False})).collect()] == [False, True, True]
     rows, known = spark.createDataFrame([("a",), ("b",), (None,)], "config_id string"), spark.createDataFrame([("a",)], "config_id string")
