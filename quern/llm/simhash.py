@@ -45,7 +45,7 @@ WORDS, SEED, RADIUS = 3, 42, 3
 DENSE = 2048
 #: one_of_each: shingle size and least Jaccard similarity of near copies, radius of candidates, and (see above) sizes.
 COPY_WORDS, SIMILAR, NEAR = 5, 0.8, 12
-BLOCKS, ALL, DEAL, CLOSEST, WIDE, WIDE_NEAR = 10, 16, 1024, 3, 8, 98
+BLOCKS, ALL, DEAL, CLOSEST, WIDE, WIDE_NEAR = 10, 8, 1024, 3, 8, 98
 
 
 def fingerprint(text: str | None) -> int:
@@ -425,6 +425,7 @@ def _found(live: DataFrame, salt: int, wide: DataFrame | None) -> DataFrame:
     else:
         keyed = live.join(wide, "node").select(_block_keys(3).alias("key"), F.lit(0).cast("bigint").alias("sub"), "node", "fp", "wide")
     found = keyed.repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(_candidates(wide is not None), "node bigint, other bigint, star boolean, far int")
+    found = staged(found, "found")  # read twice below
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "star"]
     sure = found.filter("not star").select(*pair)
     near = found.filter("star").groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct("far", "other"))), 1, CLOSEST + 1).alias("best"))
@@ -432,6 +433,11 @@ def _found(live: DataFrame, salt: int, wide: DataFrame | None) -> DataFrame:
     return staged(sure.union(near).groupBy("a", "b").agg(F.min("star").alias("star")), "candidates")
 
 
+def _both(pairs: DataFrame) -> DataFrame:
+    """The distinct nodes of pairs."""
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near copies: of each group the row with the smallest id. Texts are read, never shuffled,
     while the lists of dropped rows and of compared texts are small enough to broadcast."""
@@ -451,7 +457,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     live, wide, known, lost, salt = nodes.select("node", "fp"), None, None, None, 0
     while True:
         found = _found(live, salt, wide)
-        wanted = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = _both(found)
         if known is not None:  # later rounds look at some of the same texts
             wanted = wanted.join(known.select("node"), "node", "left_anti")
         more = texts_of(wanted).mapInArrow(_arrays(lambda x: x), "node bigint, made array<bigint>").dropDuplicates(["node"])
@@ -460,7 +466,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         both, least = F.size(F.array_intersect("x", "y")), round(100 * SIMILAR)
         links = staged(found.join(left, "a").join(right, "b").filter(100 * both >= least * (F.size("x") + F.size("y") - both)).select("a", "b", "star"), "links")
         n_star, n_links = found.filter("star").count(), links.filter("star").count()
-        starred = staged(found.filter("star").select(F.explode(F.array("a", "b")).alias("node")).distinct(), "starred") if n_star else None
+        starred = staged(_both(found.filter("star")), "starred") if n_star else None
         if not links.isEmpty():
             labels = components(links.select("a", "b")).join(nodes, "node")
             best = labels.groupBy(F.col("label").alias("_l")).agg(F.min(F.struct(F.col("first").isNull().alias("null"), "first", "node")).alias("best"))
