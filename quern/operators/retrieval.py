@@ -10,34 +10,39 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators.profile import TOKENS_SQL
+from quern.sources.staging import stored
 from quern.sources.views import CATALOG_SQL, catalog, read
 
 #: Okapi constants, and field weights.
 K1, B = 1.5, 0.75
 FIELDS = {"title": 6.0, "body": 1.0}
-QUERY_TERMS, TOP_K, RRF_K = 24, 10, 60
+TOP_K, RRF_K = 10, 60
 
 
-def postings(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFrame:
-    """id, field, term, tf, dl: one row a term of a document's field. The inverted index as a table."""
+def postings(docs: DataFrame, id_col: str, fields: dict[str, Column], terms: DataFrame) -> DataFrame:
+    """id, field, term, tf, dl: the postings of the given terms, stored, and one row with the empty term for each document and
+    field, from which counts and mean lengths follow. Texts are tokenised in this one pass, whatever reads the postings."""
     parts = F.array(*[F.struct(F.lit(n).alias("field"), T.tokens(c).alias("t")) for n, c in fields.items()])
-    long = docs.select(F.col(id_col).alias("id"), F.explode(parts).alias("x")).select("id", "x.field", F.size("x.t").alias("dl"), F.explode("x.t").alias("term"))
-    return long.groupBy("id", "field", "term", "dl").agg(F.count("*").alias("tf"))
+    long = docs.select(F.col(id_col).alias("id"), F.explode(parts).alias("x")).select("id", "x.field", F.size("x.t").alias("dl"), F.explode(F.concat("x.t", F.array(F.lit("")))).alias("term"))
+    wanted = terms.select("term").distinct().union(docs.sparkSession.createDataFrame([("",)], "term string"))
+    return stored(long.join(wanted, "term", "left_semi").groupBy("id", "field", "term", "dl").agg(F.count("*").alias("tf")), "postings")
 
 
-def bm25(index: DataFrame, queries: DataFrame, n_docs: int, avgdl: dict[str, float], weights: dict[str, float]) -> DataFrame:
-    """query_id, id, score: weighted Okapi over fields; each distinct query term counts once.
+def query_terms(queries: DataFrame) -> DataFrame:
+    """query_id, term: the distinct tokens of each query."""
+    return queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
 
-    Only terms of the queries survive the first join, before any aggregation."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(F.slice(T.tokens(F.col("query")), 1, QUERY_TERMS))).alias("term"))
-    wanted = index.join(terms.select("term").distinct(), "term", "left_semi")
+
+def bm25(index: DataFrame, terms: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """query_id, id, score: weighted Okapi over fields; each distinct query term counts once."""
+    sizes = index.filter("term = ''").groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    wanted = index.filter("term <> ''")
     df = wanted.groupBy("field", "term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    avg = F.create_map(*[F.lit(x) for kv in avgdl.items() for x in kv])[F.col("field")]
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("field")]
     tf = F.col("tf").cast("double")
-    part = weight * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avg))
-    scored = wanted.join(df, ["field", "term"]).select("term", "id", part.alias("part"))
+    part = weight * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = wanted.join(df, ["field", "term"]).join(F.broadcast(sizes), "field").select("term", "id", part.alias("part"))  # sizes: a row a field
     return scored.join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
@@ -47,18 +52,15 @@ def top_k(scored: DataFrame, k: int, partition: str = "query_id", order: tuple =
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(partition).orderBy(*by))).filter(F.col("rank") <= k)
 
 
-def _index(spark: SparkSession, sf_dir: str):
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Stored postings of the benchmark passages' terms, and those terms."""
     docs = read(spark, sf_dir, "documents").filter("text is not null")
-    fields = {"title": F.substring_index("text", ".", 1), "body": F.col("text")}
-    index = postings(docs, "doc_id", fields)
-    totals = docs.agg(F.count("*").alias("n"), *[F.avg(F.size(T.tokens(c)).cast("double")).alias(n) for n, c in fields.items()]).first()  # one row
-    return index, totals["n"], {n: totals[n] or 1.0 for n in fields}
+    terms = query_terms(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
+    return postings(docs, "doc_id", {"title": F.substring_index("text", ".", 1), "body": F.col("text")}, terms), terms
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, n, avgdl = _index(spark, sf_dir)
-    queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return bm25(index, queries, n, avgdl, FIELDS)
+    return bm25(*_index(spark, sf_dir), FIELDS)
 
 
 def bm25_okapi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +68,7 @@ def bm25_okapi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_bm25(spark, sf_dir), TOP_K).select("query_id", "id", "score", "rank")
 
 
-_BM25_CTES = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({TOKENS_SQL.format('text')}[1:{QUERY_TERMS}])) AS term FROM benchmark),
+_BM25_CTES = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({TOKENS_SQL.format('text')})) AS term FROM benchmark),
 f AS (SELECT doc_id AS id, 'title' AS field, 6.0::DOUBLE AS w, {TOKENS_SQL.format("split_part(text, '.', 1)")} AS t FROM documents WHERE text IS NOT NULL
       UNION ALL SELECT doc_id, 'body', 1.0::DOUBLE, {TOKENS_SQL.format('text')} FROM documents WHERE text IS NOT NULL),
 a AS (SELECT field, avg(len(t)) AS avgdl, count(*) AS n FROM f GROUP BY field),
@@ -77,24 +79,39 @@ bm AS (SELECT query_id, id, round(sum(w * ln(1 + (n - df + 0.5) / (df + 0.5)) *
 BM25_SQL = f"WITH {_BM25_CTES} SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm) WHERE rank <= {TOP_K}"
 
 
-def _relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage verbatim: candidates by the passage's words, verified by containment."""
-    docs = read(spark, sf_dir, "documents").filter("text is not null")
-    items = read(spark, sf_dir, "benchmark").filter("length(text) > 0")
+def verbatim(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """query_id, id: documents (doc_id, text) that hold a passage (item_id, text) as a substring.
+
+    A passage of three words or more has inner words that the document has as words too: the rarest of them gives the
+    candidates. Shorter ones may lie inside words, so their first characters, up to three, are looked for among the
+    documents' character sequences of that length, which is done only where there are such passages."""
+    docs, items = docs.filter("text is not null"), items.filter("length(text) > 0")
     words = lambda c: F.filter(F.split(c, " "), lambda w: F.length(w) > 0)
-    item_words = items.select("item_id", F.col("text").alias("passage"), F.explode(F.array_distinct(F.slice(words(F.col("text")), 2, 1000))).alias("w"))
-    in_docs = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("w")).join(item_words.select("w").distinct(), "w", "left_semi")
-    df = in_docs.groupBy("w").agg(F.count("*").alias("df"))
-    inner = item_words.filter(~F.endswith("passage", F.concat(F.lit(" "), "w")))
-    rarest = inner.join(df, "w").groupBy("item_id", "passage").agg(F.min_by("w", F.struct("df", "w")).alias("w"))
-    pairs = in_docs.join(rarest, "w").join(docs.select(F.col("doc_id").alias("_d"), "text"), F.col("doc_id") == F.col("_d"))
-    return pairs.filter(F.contains("text", F.col("passage"))).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"))
+    named = items.select("item_id", F.col("text").alias("passage"), words(F.col("text")).alias("ws"))
+    texts = docs.select(F.col("doc_id").alias("_d"), "text")
+    inner = named.filter("size(ws) > 2").select("item_id", "passage", F.explode(F.array_distinct(F.slice("ws", 2, F.size("ws") - 2))).alias("w"))
+    in_docs = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("w")).join(inner.select("w").distinct(), "w", "left_semi")
+    in_docs = stored(in_docs, "words")
+    rarest = inner.join(in_docs.groupBy("w").agg(F.count("*").alias("df")), "w").groupBy("item_id", "passage").agg(F.min_by("w", F.struct("df", "w")).alias("w"))
+    pairs = in_docs.join(rarest, "w").select("item_id", "passage", "doc_id")
+    few = named.filter("size(ws) <= 2").select("item_id", "passage", F.substring("passage", 1, 3).alias("w"))
+    if not few.isEmpty():
+        for n in (1, 2, 3):
+            cut = F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring(F.col("text"), i, F.lit(n)))  # noqa: B023
+            grams = docs.filter(F.length("text") >= n).select("doc_id", F.explode(F.array_distinct(cut)).alias("w"))
+            pairs = pairs.union(grams.join(few.filter(F.length("w") == n), "w").select("item_id", "passage", "doc_id"))
+    both = pairs.join(texts, F.col("doc_id") == F.col("_d"))
+    return both.filter(F.contains("text", F.col("passage"))).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id")).distinct()
+
+
+def _relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verbatim(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit rate and mean reciprocal rank at TOP_K of BM25 on the passages found verbatim in documents (flagship; W10, A22)."""
     ranked = top_k(_bm25(spark, sf_dir), TOP_K)
-    relevant = _relevance(spark, sf_dir).distinct()
+    relevant = stored(_relevance(spark, sf_dir), "relevant")
     hits = ranked.join(relevant, ["query_id", "id"]).groupBy("query_id").agg(F.min("rank").alias("best"))
     judged = relevant.select("query_id").distinct().join(hits, "query_id", "left")
     return judged.agg(F.count("*").alias("n_queries"), F.round(F.avg(F.when(F.col("best").isNotNull(), 1.0).otherwise(0.0)), 6).alias("hit_rate"), F.round(F.avg(F.coalesce(1 / F.col("best"), F.lit(0.0))), 6).alias("mrr"))
@@ -105,22 +122,27 @@ rel AS (SELECT DISTINCT item_id AS query_id, doc_id AS id FROM benchmark b JOIN
 h AS (SELECT query_id, min(rank) AS best FROM rk JOIN rel USING (query_id, id) WHERE rank <= {TOP_K} GROUP BY 1)
 SELECT count(*) AS n_queries, round(avg((best IS NOT NULL)::INT), 6) AS hit_rate, round(avg(coalesce(1.0 / best, 0)), 6) AS mrr FROM (SELECT DISTINCT query_id FROM rel) LEFT JOIN h USING (query_id)"""
 
+def category_shares(wanted: DataFrame, categories: DataFrame) -> DataFrame:
+    """query_id, cat, share of the wanted words (query_id, words) that occur in the category as substrings, over half of them
+    (F1). Words of two letters or more meet categories by their first two letters, so only such pairs are compared."""
+    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
+    by_two = categories.select("cat", F.explode(pairs(F.col("cat"))).alias("g"))
+    met = wanted.select("query_id", "words", F.explode("words").alias("w")).withColumn("g", F.substring("w", 1, 2)).join(by_two, "g").select("query_id", "words", "cat").distinct()
+    return met.withColumn("share", T.token_share(F.col("cat"), F.col("words"))).filter(F.col("share") > 0.5).select("query_id", "cat", "share")
+
+
 def category_route(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
-    """Products by share of the wanted type's tokens in their category plus 0.01 ln(1 + ratings).
-
-    One row a wanted type: the queries are the distinct types with the second word of their title as the constraint."""
-    c = catalog(spark, sf_dir)
-    wanted = c.select(F.lower("category").alias("query_id")).distinct().withColumn("words", T.tokens(F.col("query_id")))
-    by_token = c.select("asin", "price", "rating_number", F.lower("category").alias("cat")).withColumn("w", F.explode(F.array_distinct(T.tokens(F.col("cat")))))
-    pairs = wanted.select("query_id", "words", F.explode("words").alias("w")).join(by_token, "w").dropDuplicates(["query_id", "asin"])
-    share = T.token_share(F.col("cat"), F.col("words"))
-    scored = pairs.withColumn("share", share).filter((F.col("share") > 0.5) & (F.col("price").isNull() | (F.col("price") <= 1500)))
-    scored = scored.withColumn("score", F.round(F.col("share") + 0.01 * F.log1p(F.col("rating_number").cast("double")), 6)).withColumnRenamed("asin", "id")
+    """Products by share of the wanted type's tokens in their category plus 0.01 ln(1 + ratings) (R4, F1, W2); one query a
+    distinct type. Categories are matched first, products join by the whole category."""
+    c = catalog(spark, sf_dir).select("asin", "rating_number", F.lower("category").alias("cat"))
+    cats = c.select("cat").distinct()
+    shares = category_shares(cats.select(F.col("cat").alias("query_id"), T.tokens(F.col("cat")).alias("words")), cats)
+    scored = shares.join(c, "cat").withColumn("score", F.round(F.col("share") + 0.01 * F.log1p(F.col("rating_number").cast("double")), 6)).withColumnRenamed("asin", "id")
     return top_k(scored, k).select("query_id", "id", "score", "rank")
 
 
 CATEGORY_ROUTE_SQL = f"""WITH {CATALOG_SQL}, w AS (SELECT DISTINCT lower(category) AS query_id, {TOKENS_SQL.format('category')} AS words FROM catalog),
-s AS (SELECT query_id, asin AS id, len(list_filter(words, lambda x: contains(lower(category), x))) / len(words) AS share, rating_number FROM w, catalog WHERE (price IS NULL OR price <= 1500) AND len(list_intersect(words, {TOKENS_SQL.format('category')})) > 0),
+s AS (SELECT query_id, asin AS id, len(list_filter(words, lambda x: contains(lower(category), x))) / len(words) AS share, rating_number FROM w, catalog),
 r AS (SELECT query_id, id, round(share + 0.01 * ln(1 + rating_number), 6) AS score FROM s WHERE share > 0.5)
 SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM r) WHERE rank <= 20"""
 
@@ -182,9 +204,8 @@ def reciprocal_rank_fusion(routes: dict[str, DataFrame], k: int = RRF_K, weights
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fusion of the BM25 route and a term-overlap route over the benchmark passages."""
-    scored = _bm25(spark, sf_dir)
-    index, _, _ = _index(spark, sf_dir)
-    terms = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.slice(T.tokens(F.col("text")), 1, QUERY_TERMS))).alias("term"))
+    index, terms = _index(spark, sf_dir)
+    scored = bm25(index, terms, FIELDS)
     overlap = index.filter("field = 'title'").join(terms, "term").groupBy("query_id", "id").agg(F.count("*").alias("score"))
     fused = reciprocal_rank_fusion({"bm25": top_k(scored, 20), "title": top_k(overlap, 20)}, weights={"bm25": 1.0, "title": 0.8})
     ranked = top_k(fused.withColumnRenamed("rrf", "score"), TOP_K)
@@ -204,7 +225,7 @@ SELECT query_id, id, score, routes, rank, round(score / max(score) OVER (PARTITI
 
 def rule_score(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     """Constraint coverage, pair bonus, category match, popularity and the weighted rule score of the candidates of each
-    wanted type (R15-R21, F13 input). Hard constraint: the colour or size word; soft: a low price."""
+    wanted type for two fixed constraints, a colour word and a low price (R19); ranking.py has the real constraints."""
     c = catalog(spark, sf_dir).withColumn("query_id", F.lower("category"))
     text = F.lower(F.concat_ws(" ", "title", "category", "store"))
     hard, soft = F.contains(text, F.lit("red")).cast("double"), (F.col("price") <= 1200).cast("double")
@@ -224,7 +245,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
 
 
 def fingerprint_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products by their whole set of title words, with the tier of the bonus; constraint_pairs() counts by every pair."""
+    """Products by their whole set of title words, with the tier of the bonus."""
     c = catalog(spark, sf_dir).select("asin", F.explode(F.array_distinct(T.tokens(F.col("title")))).alias("key"))
     own = c.groupBy("asin").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     counts = own.groupBy(F.array_join("keys", " ").alias("combination")).agg(F.count("*").alias("n_products"))
