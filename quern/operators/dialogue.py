@@ -205,7 +205,12 @@ def fold_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 FOLD_SQL = f"""WITH RECURSIVE {_STATES}, l AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS k FROM states)
 SELECT session_id, turn AS turns, version, category, {_sql_listed(True)} AS hard, {_sql_listed(False)} AS soft, array_to_string(list_sort(declined), ',') AS declined, no_more FROM l WHERE k = 1"""
 
-_COUNTS = [F.size(F.filter("cons", lambda c: c["hard"])).alias("n_hard"), F.size(F.filter("cons", lambda c: ~c["hard"])).alias("n_soft")]
+
+
+def _counts() -> list[Column]:
+    return [F.size(F.filter("cons", lambda c: c["hard"])).alias("n_hard"), F.size(F.filter("cons", lambda c: ~c["hard"])).alias("n_soft")]
+
+
 _SQL_COUNTS = "len(list_filter(cons, lambda c: c.hard))::INT AS n_hard, len(list_filter(cons, lambda c: NOT c.hard))::INT AS n_soft"
 
 
@@ -213,7 +218,7 @@ def retrieval_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The context of each turn's recommendation: probe, exploit or recover by the present state, the buying or browsing track
     with its confidence, and how many results to release (D7, D8, R13, F13). Counts are of the state's distinct
     constraints, so what an override removed counts no more."""
-    s = _states(spark, sf_dir).select("session_id", "turn", "act", "version", "category", "no_more", *_COUNTS)
+    s = _states(spark, sf_dir).select("session_id", "turn", "act", "version", "category", "no_more", *_counts())
     known = F.col("n_hard") + F.col("n_soft")
     mode = (
         F.when(F.col("act") == "reject", "recover").when((F.col("version") >= 2) & (F.col("n_hard") >= 1), "exploit")
