@@ -14,7 +14,7 @@ one_of_each drops near copies at a five-word Jaccard similarity of SIMILAR or mo
 to 12 bits, so the index is asked for NEAR bits: fingerprints are cut into ten blocks and meet where two blocks agree (no
 pair of up to 8 bits is lost, of those at 9 to 12 few), and every candidate is verified by the two whole sets of
 shingles. Under a key, up to ALL texts give all their pairs within NEAR bits. More are dealt into groups of about DEAL,
-where each is compared with the group's middle and its CLOSEST nearest; what links is merged, and the survivors are
+where each meets the group's middle and its nearest, and over all keys the CLOSEST + 1 of these are compared; what links is merged, and the survivors are
 dealt again. When such a round merges little, the survivors meet once more where three blocks agree, and pairs whose wide
 fingerprints (512 bits of the five-word shingles) are within WIDE_NEAR bits, which a copy exceeds with probability
 0.006, are verified. So the number of pairs grows with the documents, not with the square of a group. A group is a
@@ -334,7 +334,8 @@ def _block_keys(agree: int):
 
 
 def _nearest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within NEAR bits of the member in the middle with all others, and of each member with its CLOSEST nearest."""
+    """Pairs within NEAR bits of the member in the middle with all others, and of each member with its nearest. The keys of a
+    fingerprint name different nearest ones; the CLOSEST of them are kept by the caller."""
     middle = np.packbits(2 * np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) > len(fps)).view(np.uint64)[0]
     hub = int(np.argmin(np.bitwise_count(fps ^ middle)))
     at = np.flatnonzero(np.bitwise_count(fps ^ fps[hub]) <= NEAR)
@@ -347,7 +348,7 @@ def _nearest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         of, to, far = of[order], to[order], far[order]
         first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.empty(0, np.int64)
         place = np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of))))
-        best = [(of[place < CLOSEST], to[place < CLOSEST], far[place < CLOSEST])]
+        best = [(of[place < 1], to[place < 1], far[place < 1])]
     return np.concatenate([np.full(len(at), hub), best[0][0]]), np.concatenate([at, best[0][1]])
 
 
