@@ -343,7 +343,7 @@ hist AS (SELECT session_id, version, asin, string_agg(turn::VARCHAR, ',' ORDER B
 HISTORY_SQL = f"WITH RECURSIVE {_HISTORY} SELECT * FROM hist"
 
 
-def open_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+def remaining_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products of each session that its last version has neither eliminated nor rejected."""
     s = _states(spark, sf_dir)
     last = s.groupBy("session_id").agg(F.max("version").alias("version"))
@@ -391,6 +391,6 @@ TRACE_SUMMARY_SQL = f"""WITH RECURSIVE {_GUARDED} SELECT reason, act, count(*) A
 
 QUERIES = {
     f.__name__: f
-    for f in (recognise_messages, rewrite_signals, fold_state, retrieval_mode, state_changes, transition_guard, guard_statistics, product_history, open_products, decision_trace, trace_summary)
+    for f in (recognise_messages, rewrite_signals, fold_state, retrieval_mode, state_changes, transition_guard, guard_statistics, product_history, remaining_products, decision_trace, trace_summary)
 }
 SQL = dict(zip(QUERIES, (RECOGNISE_SQL, REWRITE_SQL, FOLD_SQL, MODE_SQL, CHANGES_SQL, GUARD_SQL, GUARD_STATS_SQL, HISTORY_SQL, OPEN_SQL, TRACE_SQL, TRACE_SUMMARY_SQL), strict=True))

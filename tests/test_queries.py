@@ -135,10 +135,10 @@ def test_sizes_and_requirements(spark):
 
 
 def test_constraint_hit_by_hand(spark):
-    rows = [("size", "11", "red ring", "11", "large"), ("color", "red", "red ring", "11", "large"), ("color", "re", "red ring", "11", "large"), ("size", "99", "red ring", "11", "large"), ("style", "red moon", "red ring", None, None), ("style", None, "x", "1", "y")]
-    df = spark.createDataFrame(rows, "a string, v string, title string, size string, category string")
-    hit = mapping.constraint_hit(F.col("a"), F.col("v"), {f: F.col(f) for f in ("title", "size", "category")})
-    assert [r[0] for r in df.select(hit).collect()] == [1.0, 0.8, 0.0, 1.0, 0.25, 0.5]
+    rows = [("size", "11", "red ring", "11", "large", "b"), ("color", "red", "red ring", "11", "large", "b"), ("color", "re", "red ring", "11", "large", "b"), ("size", "99", "red ring", "11", "large", "b"), ("brand", "x", "red ring", None, None, None), ("item", "red moon", "red ring", None, None, None), ("item", None, "x", "1", "y", "b")]
+    df = spark.createDataFrame(rows, "a string, v string, title string, size string, category string, store string")
+    hit = mapping.constraint_hit(F.col("a"), F.col("v"), {f: F.col(f) for f in ("title", "size", "category", "store")})
+    assert [r[0] for r in df.select(hit).collect()] == [1.0, 0.8, 0.0, 0.0, 1.0, 0.25, 0.5]
 
 
 def test_json_lines(spark, tmp_path):
@@ -168,7 +168,7 @@ def test_session_states_equal_the_batch_fold(spark, sf_dir, tmp_path):
     """Turns in two files, the later ones twice: the stream's last states are those of the batch, repeated turns are stale."""
     from quern.operators import dialogue
 
-    turns = dialogue.recognise_messages(spark, sf_dir).select("session_id", "turn", "act", "value", F.timestamp_seconds(60 * F.col("turn")).alias("ts")).filter("session_id % 20 = 1").coalesce(1).cache()
+    turns = dialogue.operations(spark, sf_dir).select("session_id", "turn", "act", "attribute", "value", "hard", F.timestamp_seconds(60 * F.col("turn")).alias("ts")).filter("session_id % 20 = 1").coalesce(1).cache()
     for rows in (turns.filter("turn <= 3"), turns.filter("turn > 3"), turns.filter("turn between 3 and 5")):
         rows.write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
@@ -185,8 +185,8 @@ def test_session_states_equal_the_batch_fold(spark, sf_dir, tmp_path):
 def test_pairs_differences_and_retention(spark):
     own = spark.createDataFrame([(1, ["blue", "cotton", "red"]), (2, ["cotton", "red"])], "asin int, keys array<string>")
     assert {(r["first"], r["second"]): (r["n_products"], r["bonus"]) for r in retrieval.count_pairs(own).collect()} == {("blue", "cotton"): (1, 1.0), ("blue", "red"): (1, 1.0), ("cotton", "red"): (2, 0.5)}
-    rows = spark.createDataFrame([("a", True, 1), ("b", True, 7), ("c", False, None)], "sample_id string, hit boolean, rank int")
-    assert {r["sample_id"]: r["y"] for r in evaluate.paired(rows).collect()} == {"a": 0.0, "b": 1.0, "c": 0.0}
+    rows = spark.createDataFrame([("a", True, 1, "buying", 1), ("b", True, 7, "buying", 2), ("c", False, None, "buying", 1), ("d", True, 5, "intent_override", 2)], "sample_id string, hit boolean, rank int, scenario_type string, turn int")
+    assert {r["sample_id"]: r["y"] for r in evaluate.paired(rows).collect()} == {"a": 0.0, "b": 1.0, "c": 0.0, "d": 0.0}
     days = spark.sql("select 1 as user_id, timestamp_seconds(86400 * id) as ts from range(60)")
     kept = evaluate.latest_sessions(days).collect()
     assert len(kept) == 50 and {r["session_id"]: r["place"] for r in kept}["1-19700301"] == 1
