@@ -33,7 +33,7 @@ def expansions(vocab: DataFrame) -> DataFrame:
 def synonym_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical and synonyms of each title word that the vocabulary knows."""
     words = catalog(spark, sf_dir).select("asin", F.explode(F.array_distinct(T.tokens(F.col("title")))).alias("word"))
-    return words.join(F.broadcast(expansions(vocabulary(spark))), "word").select("asin", "word", "attribute", "canonical", F.array_join("expansion", ",").alias("expansion"))
+    return words.join(expansions(vocabulary(spark)), "word").select("asin", "word", "attribute", "canonical", F.array_join("expansion", ",").alias("expansion"))
 
 
 EXPANSION_SQL = f"""WITH {VOCABULARY_SQL}, w AS (SELECT DISTINCT p_partkey AS asin, unnest({TOKENS_SQL.format("p_name")}) AS word FROM part),
@@ -93,8 +93,8 @@ def vocabulary_merge(spark: SparkSession, sf_dir: str, least: float = 0.125) ->
     pairs = titles.select(F.col("w")[0].alias("canonical"), F.explode(F.array_distinct("w")).alias("term")).groupBy("canonical", "term").agg(F.count("*").alias("n"))
     total = titles.groupBy(F.col("w")[0].alias("canonical")).agg(F.count("*").alias("total"))
     vocab = vocabulary(spark)
-    owners = F.broadcast(vocab.groupBy("term").agg(F.min_by("canonical", "pos").alias("owner")))
-    known = F.broadcast(vocab.select("canonical").distinct().withColumn("known", F.lit(True)))
+    owners = vocab.groupBy("term").agg(F.min_by("canonical", "pos").alias("owner"))
+    known = vocab.select("canonical").distinct().withColumn("known", F.lit(True))
     joined = pairs.join(total, "canonical").join(owners, "term", "left").join(known, "canonical", "left")
     outcome = merge_outcome(F.col("owner"), F.coalesce("known", F.lit(False)), F.col("canonical"), F.col("n") / F.col("total"), least)
     return joined.select("canonical", "term", "n", outcome.alias("outcome"))
@@ -107,9 +107,15 @@ SELECT canonical, term, n, CASE WHEN canonical NOT IN (SELECT canonical FROM voc
   WHEN n / total < 0.125 THEN 'no_evidence' ELSE 'new' END AS outcome FROM p JOIN c USING (canonical) LEFT JOIN o USING (term)"""
 
 
+#: Rows that a table of limits may have: each choice is compared with every limit.
+MAX_LIMITS = 1000
+
+
 def best_within(limits: DataFrame, choices: DataFrame, keys: list[str]) -> DataFrame:
     """For each row of the short table of limits (max_price, max_size) the choice of the best score within both, ties to
-    the smallest id (J14). Each task keeps one choice a limit."""
+    the smallest id (J14). Each task keeps one choice a limit; more than MAX_LIMITS limits are an error."""
+    if limits.limit(MAX_LIMITS + 1).count() > MAX_LIMITS:
+        raise ValueError(f"over {MAX_LIMITS} limits")
     fits = choices.join(F.broadcast(limits), (F.col("price") <= F.col("max_price")) & (F.col("size") <= F.col("max_size")))
     return fits.groupBy(*keys).agg(F.min_by("id", F.struct(-F.col("score"), "id")).alias("id"), F.max("score").alias("score"))
 

@@ -197,7 +197,7 @@ def map_taxonomy(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     p = paths.groupBy("path").agg(F.sum("weight").alias("weight")).withColumn("id", F.sha2(F.to_json(F.struct("path")), 256))
     each = p.select("id", "weight", F.posexplode_outer(F.transform("path", T.slug)).alias("pos", "node"))
     best = F.max_by("canonical", F.when(F.col("canonical").isNotNull(), F.struct("priority", "pos")))
-    got = each.join(F.broadcast(nodes.withColumn("known", F.lit(True))), "node", "left").groupBy("id", "weight").agg(best.alias("canonical"), F.max("known").alias("known"))
+    got = each.join(nodes.withColumn("known", F.lit(True)), "node", "left").groupBy("id", "weight").agg(best.alias("canonical"), F.max("known").alias("known"))
     outcome = F.when(F.col("canonical").isNotNull(), "mapped").when(F.col("known"), "noise").otherwise("unmapped")
     return got.groupBy("canonical", outcome.alias("outcome")).agg(F.sum("weight").alias("weight"))
 

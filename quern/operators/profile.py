@@ -115,7 +115,7 @@ SELECT attribute, canonical, max(df) AS n_products, array_to_string(list_sort(li
 
 
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scalar functions over all products."""
+    """Scalar functions over all products."""
     c = catalog(spark, sf_dir)
     message = F.concat(F.lit("color: "), "title", F.lit(";  under $"), F.floor("price").cast("string"), F.lit(" ;"))
     return c.select(
