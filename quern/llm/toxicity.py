@@ -80,19 +80,19 @@ def letters(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The letters of all texts, PAD zeros after each sentence; where each sentence begins; the text of each sentence."""
-    codes, lengths, owners = [np.empty(0, np.uint8)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+    parts, starts, owners, size = [np.empty(0, np.uint8)], [np.empty(0, np.int64)], [np.empty(0, np.int32)], 0
     for i, text in enumerate(texts):
         c, s = letters(text)
         if len(c):
             cuts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-            codes.append(c)
-            lengths.append(np.diff(np.append(cuts, len(c))))
+            before = np.arange(len(cuts)) * _PAD
+            part = np.zeros(len(c) + _PAD * len(cuts), np.uint8)
+            part[np.arange(len(c)) + np.repeat(before, np.diff(np.append(cuts, len(c))))] = c
+            parts.append(part)
+            starts.append(size + cuts + before)
             owners.append(np.full(len(cuts), i, np.int32))
-    codes, lengths = np.concatenate(codes), np.concatenate(lengths)
-    before = np.arange(len(lengths)) * _PAD
-    flat = np.zeros(len(codes) + _PAD * len(lengths), np.uint8)
-    flat[np.arange(len(codes)) + np.repeat(before, lengths)] = codes
-    return flat, np.append(0, np.cumsum(lengths))[:-1] + before, np.concatenate(owners)
+            size += len(part)
+    return np.concatenate(parts), np.concatenate(starts), np.concatenate(owners)
 
 
 def margins(flat: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -190,29 +190,37 @@ def _grams(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _typical(flat: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """At each place of toxic texts, the standard score of the sequence of GRAM letters there, alone or as a word's
-    beginning, whichever is larger; 0 elsewhere."""
-    nb, ng = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    gram, begins = _grams(flat)
-    bad_place, best = toxic[owner] & (gram >= 0), np.zeros(len(flat), np.float32)
-
-    def documents(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct grams and the number of texts that have them."""
-        seen = np.unique(owner[places].astype(np.int64) << 5 * GRAM | gram[places])
-        return np.unique(seen & (1 << 5 * GRAM) - 1, return_counts=True)
-
-    for some in (np.ones(len(flat), bool), begins):
-        at = np.flatnonzero(bad_place & some)
-        names, bad = documents(at)
+    beginning, whichever is larger; 0 elsewhere. Texts are gone through in blocks, which bounds what is held."""
+    nb, ng, mask = max(1, int(toxic.sum())), max(1, int((~toxic).sum())), (1 << 5 * GRAM) - 1
+    edges = np.searchsorted(owner, np.arange(0, len(toxic) + 256, 256))
+    best = np.zeros(len(flat), np.float32)
+
+    def blocks(of: np.ndarray, begins: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Where a block begins, its places that belong to texts of the kind, and the grams there."""
+        for a, b in zip(edges, edges[1:], strict=False):
+            gram, first = _grams(flat[a:b])
+            at = np.flatnonzero((gram >= 0) & of[owner[a:b]] & (first | (not begins)))
+            yield a, at, gram[at]
+
+    def pairs(a: int, at: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        """The gram of each distinct pair of text and gram."""
+        return np.unique(owner[a + at].astype(np.int64) << 5 * GRAM | gram) & mask
+
+    for begins in (False, True):
+        names, bad = np.unique(np.concatenate([pairs(*x) for x in blocks(toxic, begins)] or [np.empty(0, np.int64)]), return_counts=True)
         names, bad = names[bad >= 2], bad[bad >= 2]
         if not len(names):
             continue
-        known, good = documents(np.flatnonzero((gram >= 0) & ~bad_place & some & np.isin(gram, names)))
-        count = np.zeros(len(names))
-        count[np.searchsorted(names, known)] = good
-        p, q = (bad + 0.5) / (nb + 1), (count + 0.5) / (ng + 1)
+        good = np.zeros(len(names), np.int64)
+        for x in blocks(~toxic, begins):
+            g = pairs(*x)
+            place = np.minimum(np.searchsorted(names, g), len(names) - 1)
+            good += np.bincount(place[names[place] == g], minlength=len(names))
+        p, q = (bad + 0.5) / (nb + 1), (good + 0.5) / (ng + 1)
         z = (p - q) / np.sqrt(p * (1 - p) / nb + q * (1 - q) / ng)
-        place = np.minimum(np.searchsorted(names, gram[at]), len(names) - 1)
-        best[at] = np.maximum(best[at], np.where(names[place] == gram[at], z[place], 0))
+        for a, at, gram in blocks(toxic, begins):
+            place = np.minimum(np.searchsorted(names, gram), len(names) - 1)
+            best[a + at] = np.maximum(best[a + at], np.where(names[place] == gram, z[place], 0))
     return best
 
 
@@ -271,10 +279,10 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     weight = 1 / np.bincount(owner[at], minlength=len(y))[owner[at]]
     raw = np.concatenate([windows[at], *[_with_letter(windows[at], random) for _ in range(AUGMENT)]])
     weight = np.tile(weight / weight.sum() / (AUGMENT + 1), AUGMENT + 1)
-    clean = np.flatnonzero(~y[owner] & (flat > 0))
-    if not len(clean):
+    drawn = np.unique(random.integers(0, len(flat), 4 * OTHERS))
+    others = drawn[~y[owner[drawn]] & (flat[drawn] > 0)][:OTHERS] if len(flat) > 4 * OTHERS else np.flatnonzero(~y[owner] & (flat > 0))
+    if not len(others):
         return empty
-    others = random.choice(clean, min(OTHERS, len(clean)), replace=False)
     for n in range(ROUNDS + 1):
         codes = feature_codes(np.concatenate([raw, windows[others]]))
         label = np.append(np.ones(len(raw)), -np.ones(len(others)))
@@ -291,10 +299,15 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         table_ = np.bincount(marks.ravel(), weights=(root @ w / unit).repeat(marks.shape[1]) * np.tile(FEATURE_WEIGHTS, len(marks)), minlength=CODES).astype(np.float32)
         table_[0] = 0
         if n < ROUNDS:  # the worst mistaken windows of the other documents join
-            got = np.full(len(flat), -np.inf, np.float32)
+            got, worst = np.full(len(flat), -np.inf, np.float32), []
             for begin in range(0, len(flat), PART):
-                got[begin : begin + PART] = margins(flat[begin : begin + PART + _PAD], table_)[:PART]
-            worst = clean[np.argsort(-got[clean])[: 20 * OTHERS]]
+                end = min(begin + PART, len(flat))
+                part = margins(flat[begin : begin + PART + _PAD], table_)[: end - begin].astype(np.float32)
+                part[y[owner[begin:end]] | (flat[begin:end] == 0)] = -np.inf
+                top = np.argpartition(part, -min(len(part), 4 * OTHERS))[-4 * OTHERS :]
+                worst.append(begin + top[np.isfinite(part[top])])
+                got[begin:end] = part
+            worst = np.concatenate(worst)
             others = np.unique(np.append(others, _peaks(got, worst)[:OTHERS]))
     model = Model(table_, bias, np.zeros(4), (np.zeros(3), np.ones(3)))
     feats = features(model, texts)
