@@ -159,8 +159,8 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, steps
     w, reg = np.zeros(x1.shape[1]), np.append(np.ones(x.shape[1]), 1e-3)
     for _ in range(steps):
         act = 1 - y * (x1 @ w) > 0
-        xa, wa = x1[act], weight[act] * c
-        new = np.linalg.solve((xa * wa[:, None]).T @ xa + np.diag(reg), xa.T @ (wa * y[act]))
+        xa, wa = x1[act], (weight[act] * c).astype(x.dtype)
+        new = np.linalg.solve(((xa * wa[:, None]).T @ xa).astype(float) + np.diag(reg), xa.T @ (wa * y[act].astype(x.dtype)))
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
@@ -293,8 +293,9 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         unit = float(np.median(np.diag(gram)))
         values, vectors = np.linalg.eigh(gram / unit)
         root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-        x = dots / unit @ root
+        x = dots @ (root / unit).astype(np.float32)
         each = np.append(weight, np.full(len(others), 1 / len(others))) * 1000
+        del dots, codes
         w, bias = _svm(x, label, each)
         table_ = np.bincount(marks.ravel(), weights=(root @ w / unit).repeat(marks.shape[1]) * np.tile(FEATURE_WEIGHTS, len(marks)), minlength=CODES).astype(np.float32)
         table_[0] = 0
