@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quern.llm.decontaminate import OP3_SQL, op3_decontamination
 from quern.llm.mixing import OP7_SQL, op7_poisson_mixing
+from quern.llm.pieces import op11_sentencepiece
 from quern.llm.quality import OP1_SQL, op1_quality_rules
 from quern.llm.secrets import op10_secret_ownership
 from quern.llm.simhash import op8_simhash
@@ -15,7 +16,7 @@ from quern.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_substring_dedup, op3_decontamination, op4_toxicity, op5_warc, op6_host_reputation, op7_poisson_mixing, op8_simhash, op9_token_planes, op10_secret_ownership)
+    for f in (op1_quality_rules, op2_substring_dedup, op3_decontamination, op4_toxicity, op5_warc, op6_host_reputation, op7_poisson_mixing, op8_simhash, op9_token_planes, op10_secret_ownership, op11_sentencepiece)
 }
 SQL = {
     "op1_quality_rules": OP1_SQL,
