@@ -199,6 +199,10 @@ class Pieces:
             end[loose[~tail]] = begin[loose[~tail]]
         return ids, starts, begin, end
 
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each text begins in them (and the end)."""
+        return self._ids(*self.normalise(texts)[:2])
+
     def _ids(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(data):
             return np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)

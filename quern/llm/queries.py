@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quern.llm.alignment import op12_cross_tokenizer
 from quern.llm.decontaminate import OP3_SQL, op3_decontamination
 from quern.llm.mixing import OP7_SQL, op7_poisson_mixing
 from quern.llm.pieces import op11_sentencepiece
@@ -16,7 +17,7 @@ from quern.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_substring_dedup, op3_decontamination, op4_toxicity, op5_warc, op6_host_reputation, op7_poisson_mixing, op8_simhash, op9_token_planes, op10_secret_ownership, op11_sentencepiece)
+    for f in (op1_quality_rules, op2_substring_dedup, op3_decontamination, op4_toxicity, op5_warc, op6_host_reputation, op7_poisson_mixing, op8_simhash, op9_token_planes, op10_secret_ownership, op11_sentencepiece, op12_cross_tokenizer)
 }
 SQL = {
     "op1_quality_rules": OP1_SQL,

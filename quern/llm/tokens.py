@@ -17,6 +17,7 @@ columns are ignored.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import struct
@@ -51,13 +52,19 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of whole texts as little-endian bytes (2 an id if the vocabulary fits, else 4), with a memo of pieces."""
+    """Ids of whole texts as little-endian bytes (2 an id if the vocabulary fits, else 4), with a memo of pieces. plain:
+    names of special tokens within a text are ordinary text. Tokenizers that aren't byte-level are refused."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        setting = json.loads(self.tokenizer.to_str())
+        cutter = setting["pre_tokenizer"] or {}
+        if cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or setting["normalizer"]:
+            raise ValueError(f"{path}: only byte-level tokenizers without a normalizer and a prefix space, whose pieces can be cut at spaces")
+        self.tokenizer.encode_special_tokens = plain
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -131,9 +138,9 @@ class Encoder:
 
 
 @functools.cache
-def shared_encoder(path: str) -> Encoder:
+def shared_encoder(path: str, plain: bool = False) -> Encoder:
     """One encoder a Python worker: tasks that follow each other there find the memo filled."""
-    return Encoder(path)
+    return Encoder(path, plain)
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
