@@ -159,7 +159,7 @@ class Pieces:
     def normalise(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Normalised bytes of all texts, where each text begins in them (and the end), and for each byte (and the end of
         each text) the place in its original text: the alignment of a text has one entry more than it has bytes."""
-        data, origin = _flat(texts)
+        data, origin = flat(texts)
         data, came = self.charmap.apply(data, origin[:-1])
         bounds = np.searchsorted(came, origin)  # where texts begin in the mapped bytes
         came = came - np.repeat(origin[:-1], np.diff(bounds))
@@ -308,7 +308,7 @@ def _is_utf8(raw: bytes) -> bool:
         return False
 
 
-def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a large_string array and the bounds of its rows in them."""
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

@@ -10,15 +10,15 @@ fixed bits that differ exceed 3, and accepted as a whole when even the free bits
 the smallest member of each local group, never as all pairs, and components follow by repeated minimum and pointer
 jumping over staged tables.
 
-one_of_each drops near copies at a five-word Jaccard similarity of SIMILAR or more. Copies at that similarity differ by up
-to 12 bits, so the index is asked for NEAR bits: fingerprints are cut into ten blocks and meet where two blocks agree (no
-pair of up to 8 bits is lost, of those at 9 to 12 few), and every candidate is verified by the two whole sets of
-shingles. Under a key, up to ALL texts give all their pairs within NEAR bits. More are dealt into groups of about DEAL,
-where each meets the group's middle and its nearest, and over all keys the CLOSEST + 1 of these are compared; what links is merged, and the survivors are
-dealt again. When such a round merges little, the survivors meet once more where three blocks agree, and pairs whose wide
-fingerprints (512 bits of the five-word shingles) are within WIDE_NEAR bits, which a copy exceeds with probability
-0.006, are verified. So the number of pairs grows with the documents, not with the square of a group. A group is a
-component of the verified links; links through a copy that was merged earlier in a large group may be missed.
+one_of_each drops near copies: its groups are the components of all pairs with a five-word Jaccard similarity of SIMILAR
+percent or more, and none of these links is lost. First the Gray-order index gives stars of close fingerprints, verified by
+the whole sets of shingles. Fingerprints alone miss links, so an exact search follows for pairs that aren't in one
+component yet. Shingles are put in one order, those in many documents last (document frequencies are counted over all texts; the
+order decides nothing but the cost); two sets of that similarity meet in the first n - 0.8 n + 1 shingles of each. Of the keys
+made so, only those matter where several components meet. Up to FEW documents under a key give all their pairs; of more, each is
+first compared with the one in the middle of their fingerprints, which merges most groups of copies; keys where
+components still meet are cut into parts of PART documents, and each two parts are compared whole in one task, by products of their
+incidence matrices, from which only a spanning star of each component leaves.
 
 Defined results: null and empty texts have the fingerprint zero, which links like any other; one or two words are one
 shingle; repeated rows share fingerprint and component; rows without an id are members but never give the component's id
@@ -29,7 +29,6 @@ stays, and a group keeps its smallest id, a null only if all are null.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,14 +37,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import small, staged, table, text_rows
+from quern.llm.common import SEPARATORS, small, staged, table, text_rows
+from quern.llm.pieces import filled, flat
 
 WORDS, SEED, RADIUS = 3, 42, 3
 #: A key with more distinct fingerprints is dealt again by quarters of its free bits.
 DENSE = 2048
-#: one_of_each: shingle size and least Jaccard similarity of near copies, radius of candidates, and (see above) sizes.
-COPY_WORDS, SIMILAR, NEAR = 5, 0.8, 12
-BLOCKS, ALL, DEAL, CLOSEST, WIDE, WIDE_NEAR = 10, 8, 1024, 3, 8, 98
+#: one_of_each: shingle size, least Jaccard similarity in percent; documents under a key that give all pairs, documents
+#: and shingles of a part; document frequency from which a shingle goes last, and the most such shingles that are told apart.
+COPY_WORDS, SIMILAR, FEW, PART, PART_SHINGLES, COMMON, COMMON_ROWS = 5, 80, 16, 512, 1 << 20, 24, 1_000_000
+#: Shingles counted by one task.
+COUNTED = 1 << 22
+_SEPARATOR = np.array([chr(b) in SEPARATORS for b in range(256)])
+_FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
 def fingerprint(text: str | None) -> int:
@@ -70,14 +74,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _node_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_rows(batches):
-        values = np.array([fingerprint(x) for x in batch.column("_text").to_pylist()], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("node"), pa.array(values.view(np.int64))], ["_id", "node", "fp"])
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        packed = [np.array(x, np.int64).tobytes() for x in batch.column("made").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], ["node", "wide"])
+        texts = batch.column("_text").to_pylist()
+        values = np.array([fingerprint(x) for x in texts], dtype=np.uint64)
+        words = [len((x or "").encode().split()) for x in texts]
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("node"), pa.array(values.view(np.int64)), pa.array(words, pa.int64())], ["_id", "node", "fp", "words"])
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -288,210 +288,263 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def copy_shingles(text: str | None) -> np.ndarray:
-    """The distinct hashes of the text's five-word shingles, sorted; never empty (one to four words are one shingle)."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    grams = zip(*(words[i:] for i in range(COPY_WORDS)), strict=False) if len(words) > COPY_WORDS else [words]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), 11) for x in grams), np.uint64))
+def copy_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each text's five-word shingles (A-Z lower-cased), sorted by text and hash, and where each
+    text's begin. One to four words are one shingle, and so is no word, so no text is without one."""
+    data, bounds = flat(filled(texts))
+    data = _FOLD[data]
+    inside = ~_SEPARATOR[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    heads = bounds[:-1][bounds[:-1] < len(data)]
+    begins[heads] = inside[heads]
+    kept = data[inside]
+    place = np.append(np.flatnonzero(begins[inside]), len(kept)).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(place) - 1, [None, pa.py_buffer(place), pa.py_buffer(kept)]).dictionary_encode()
+    w = np.fromiter((xxhash.xxh64_intdigest(x, 11) for x in words.dictionary.to_pylist()), np.uint64)[words.indices.to_numpy()]
+    starts = np.append(0, np.cumsum(begins))[bounds]
+    n = np.diff(starts)
+    h, p = np.zeros(max(0, len(w) - COPY_WORDS + 1), np.uint64), np.uint64(0x9E3779B97F4A7C15)
+    for k in range(COPY_WORDS):
+        h = h * p + w[k : k + len(h)]
+    many = np.maximum(n - COPY_WORDS + 1, 0)
+    owner = np.repeat(np.arange(len(n)), many)
+    h = h[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - starts[:-1], many)]
+    few = np.flatnonzero(n < COPY_WORDS)
+    short = [xxhash.xxh64_intdigest(w[starts[k] : starts[k + 1]].tobytes(), 12) for k in few.tolist()]
+    owner, h = np.append(owner, few), np.append(h, np.array(short, np.uint64))
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    by = np.lexsort((h, owner))
+    owner, h = owner[by], h[by]
+    first = np.append(True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+    owner, h = owner[first], h[first]
+    return h, np.searchsorted(owner, np.arange(len(n) + 1))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, text) to rows (node, its shingles)."""
+    for batch in text_rows(batches):
+        if batch.num_rows:
+            h, bounds = copy_shingles(batch.column("_text"))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))], ["node", "made"])
 
 
-def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """WIDE words of 64 majority bits over the hashes, each word by a mixing of its own."""
-    out = np.empty(WIDE, np.uint64)
-    for k in range(WIDE):
-        h = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xA0761D6478BD642F)
-        h ^= h >> np.uint64(29)
-        ones = sum(np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for at in range(0, len(h), 65536))
-        out[k] = np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]
-    return out
+def _tallying(bits: int):
+    """Rows (text) to rows (bucket, the differences of sorted 32-bit shingles): 2^bits buckets by leading bits. A shingle
+    stands once for each document that has it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
 
-def _arrays(make):
-    """Rows (node, text) to rows (node, what make gives of the text's shingle hashes)."""
+        def packed() -> pa.RecordBatch:
+            all_ = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint32)
+            held.clear()
+            cuts = np.searchsorted(all_, np.arange(1 << bits, dtype=np.uint64) << np.uint64(32 - bits))
+            parts = [np.diff(x, prepend=np.uint32(0)).astype("<u4").tobytes() for x in np.split(all_, cuts[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(range(1 << bits), pa.int32()), pa.array(parts, pa.binary())], ["bucket", "steps"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_rows(batches):
-            made = [make(copy_shingles(x)).view(np.int64) for x in batch.column(1).to_pylist()]
-            if made:
-                ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made)))], ["node", "made"])
+            if batch.num_rows:
+                held.append((copy_shingles(batch.column("_text"))[0] >> np.uint64(32)).astype(np.uint32))
+            if sum(map(len, held)) > COUNTED:
+                yield packed()
+        yield packed()
 
     return run
 
 
-def _block_keys(agree: int):
-    """Keys of all choices of agree of the BLOCKS blocks."""
-    edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
-    block = [F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1) for a, b in itertools.pairwise(edges)]
-    keys = []
-    for n, chosen in enumerate(itertools.combinations(range(BLOCKS), agree)):
-        key = F.lit(n).cast("bigint")
-        for i in chosen:
-            key = F.shiftleft(key, 7).bitwiseOR(block[i])
-        keys.append(key)
-    return F.explode(F.array(*keys))
+def _common(rows: pa.Table) -> pa.Table:
+    """shingle, df of a bucket's shingles that are in COMMON documents or more."""
+    all_ = np.concatenate([np.cumsum(np.frombuffer(x, "<u4"), dtype=np.uint32) for x in rows.column("steps").to_pylist()])
+    shingle, df = np.unique(all_, return_counts=True)
+    often = df >= COMMON
+    return pa.table({"shingle": pa.array(shingle[often].astype(np.int64)), "df": pa.array(df[often].astype(np.int64))})
+
 
+def common_shingles(texts: DataFrame, n_shingles: int) -> tuple[np.ndarray, np.ndarray]:
+    """The leading 32 bits of the shingles of texts that are in many documents, sorted, with their document frequency: at
+    most COMMON_ROWS, the most frequent ones. They order the search and decide no pair."""
+    bits = max(4, int(np.ceil(np.log2(max(1, n_shingles / COUNTED)))))
+    counted = texts.select("_text").mapInArrow(_tallying(bits), "bucket int, steps binary").groupBy("bucket").applyInArrow(_common, "shingle bigint, df bigint")
+    rows = staged(counted, "common").orderBy(F.desc("df"), "shingle").limit(COMMON_ROWS).toArrow()
+    shingle, df = rows.column("shingle").to_numpy().astype(np.uint32), rows.column("df").to_numpy()
+    by = np.argsort(shingle)
+    return shingle[by], df[by]
 
-def _nearest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within NEAR bits of the member in the middle with all others, and of each member with its nearest. The keys of a
-    fingerprint name different nearest ones; the CLOSEST of them are kept by the caller."""
-    middle = np.packbits(2 * np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) > len(fps)).view(np.uint64)[0]
-    hub = int(np.argmin(np.bitwise_count(fps ^ middle)))
-    at = np.flatnonzero(np.bitwise_count(fps ^ fps[hub]) <= NEAR)
-    at = at[at != hub]
-    best = [(np.empty(0, np.int64),) * 3]
-    for i, j in close_pairs(fps, NEAR):
-        of, to = np.concatenate([best[0][0], i, j]), np.concatenate([best[0][1], j, i])
-        far = np.concatenate([best[0][2], *[np.bitwise_count(fps[i] ^ fps[j]).astype(np.int64)] * 2])
-        order = np.lexsort((to, far, of))
-        of, to, far = of[order], to[order], far[order]
-        first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.empty(0, np.int64)
-        place = np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of))))
-        best = [(of[place < 1], to[place < 1], far[place < 1])]
-    return np.concatenate([np.full(len(at), hub), best[0][0]]), np.concatenate([at, best[0][1]])
-
-
-def _candidates(whole: bool):
-    """Rows (key, sub, node, fp, wide) sorted by key and sub to candidates (node, other, star, far); star: of a large group."""
-
-    def small_groups(sizes, starts, fps, nodes, wide):
-        """All pairs of the groups of up to ALL members, by distance of their places."""
-        for step in range(1, int(sizes.max(initial=1))):
-            some = sizes > step
-            sizes, starts = sizes[some], starts[some]
-            n = sizes - step
-            a = np.repeat(starts - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-            far = np.bitwise_count(fps[a] ^ fps[a + step])
-            a, far = a[far <= NEAR], far[far <= NEAR]
-            if whole:
-                near = np.bitwise_count(wide[a] ^ wide[a + step]).sum(axis=1) <= WIDE_NEAR
-                a, far = a[near], far[near]
-            yield nodes[a], nodes[a + step], np.zeros(len(a), bool), far
-
-    def large_group(fps, nodes, wide):
-        if not whole:
-            i, j = _nearest(fps)
-            yield nodes[i], nodes[j], np.ones(len(i), bool), np.bitwise_count(fps[i] ^ fps[j])
-            return
-        for i, j in close_pairs(fps, NEAR):
-            near = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= WIDE_NEAR
-            i, j = i[near], j[near]
-            yield nodes[i], nodes[j], np.zeros(len(i), bool), np.bitwise_count(fps[i] ^ fps[j])
-
-    def searched(keys, subs, nodes, fps, wide):
-        starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (subs[1:] != subs[:-1])))
-        sizes = np.diff(np.append(starts, len(keys)))
-        few = (sizes > 1) & (sizes <= ALL)
-        yield from small_groups(sizes[few], starts[few], fps, nodes, wide)
-        for k in np.flatnonzero(sizes > ALL):
-            at = slice(starts[k], starts[k] + sizes[k])
-            yield from large_group(fps[at], nodes[at], wide[at] if whole else None)
+
+def _heading(common):
+    """Rows (node, text) to rows (key, node, size): the first shingles of each text in the order of the search."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def parts() -> Iterator[tuple]:
-            """Columns of whole groups; the last group of a batch waits for the next one."""
-            for batch in batches:
-                cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-                wide = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, WIDE) if whole else np.empty((len(cols[0]), 0))
-                if not len(cols[0]):
-                    continue
-                last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
-                cut = len(last) - int(last.sum())
-                if cut or (held and (held[-1][0][-1], held[-1][1][-1]) != (cols[0][0], cols[1][0])):
-                    yield tuple(np.concatenate(x) for x in zip(*held, tuple(c[:cut] for c in (*cols, wide)), strict=True))
-                    held.clear()
-                held.append(tuple(c[cut:] for c in (*cols, wide)))
-            if held:
-                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-
-        for keys, subs, nodes, fps, wide in parts():
-            for a, b, star, far in searched(keys, subs, nodes, fps.view(np.uint64), wide):
-                for at in range(0, len(a), 50_000):
-                    cut = slice(at, at + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(a[cut]), pa.array(b[cut]), pa.array(star[cut]), pa.array(far[cut].astype(np.int32))], ["node", "other", "star", "far"])
+        shingle, often = common.value
+        for batch in text_rows(batches):
+            if not batch.num_rows:
+                continue
+            h, bounds = copy_shingles(batch.column("_text"))
+            size = np.diff(bounds)
+            df = np.zeros(len(h), np.int64)
+            if len(shingle):
+                short = (h >> np.uint64(32)).astype(np.uint32)
+                place = np.minimum(np.searchsorted(shingle, short), len(shingle) - 1)
+                df = np.where(shingle[place] == short, often[place], 0)
+            owner = np.repeat(np.arange(len(size)), size)
+            h = h[np.lexsort((h, df, owner))]
+            head = size - (SIMILAR * size + 99) // 100 + 1
+            at = np.arange(head.sum()) - np.repeat(np.cumsum(head) - head - bounds[:-1], head)
+            of = np.repeat(np.arange(len(size)), head)
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), batch.column("node").take(pa.array(of)), pa.array(size[of])], ["key", "node", "size"])
 
     return run
 
 
-def _found(live: DataFrame, salt: int, wide: DataFrame | None) -> DataFrame:
-    """a, b, star: candidates among live (node, fp), each pair once."""
-    if wide is None:
-        keyed = live.select(_block_keys(2).alias("key"), "node", "fp")
-        dense = keyed.groupBy(F.col("key").alias("_dense")).count().filter(F.col("count") > DENSE)
-        sub = F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col("count") / DEAL))
-        keyed = keyed.join(dense, keyed["key"] == dense["_dense"], "left").select("key", F.coalesce(sub, F.lit(0)).alias("sub"), "node", "fp", F.lit(None).cast("binary").alias("wide"))
-    else:
-        keyed = live.join(wide, "node").select(_block_keys(3).alias("key"), F.lit(0).cast("bigint").alias("sub"), "node", "fp", "wide")
-    found = keyed.repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(_candidates(wide is not None), "node bigint, other bigint, star boolean, far int")
-    found = staged(found, "found")  # read twice below
-    pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "star"]
-    sure = found.filter("not star").select(*pair)
-    near = found.filter("star").groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct("far", "other"))), 1, CLOSEST + 1).alias("best"))
-    near = near.select("node", F.explode("best.other").alias("other"), F.lit(True).alias("star")).select(*pair)
-    return staged(sure.union(near).groupBy("a", "b").agg(F.min("star").alias("star")), "candidates")
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, size) sorted by key and node to the rows of keys with several nodes; one row is held at a time."""
+    held, linked = None, False
+    for batch in batches:
+        rows = [batch.column(k).to_numpy() for k in range(3)]
+        if held is not None:
+            rows = [np.append(h, r) for h, r in zip(held, rows, strict=True)]
+        if not len(rows[0]):
+            continue
+        fresh = np.append(True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]))
+        key, node, size = (r[fresh] for r in rows)
+        same = key[1:] == key[:-1]
+        out = np.append(linked, same)[:-1] | same
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][out]) for x in (key, node, size)], ["key", "node", "size"])
+        held, linked = [x[-1:] for x in (key, node, size)], bool(same[-1]) if len(same) else linked
+    if held is not None and linked:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["key", "node", "size"])
+
+
+def spanning(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the first of its component under links of SIMILAR percent, by products of the incidence matrix."""
+    sizes = np.array([len(x) for x in sets])
+    owner, values = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    owner, column = owner[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+    both = np.zeros((len(sets), len(sets)), np.float32)  # whole numbers below 2^24 are exact
+    by = np.argsort(column, kind="stable")
+    owner, column = owner[by], column[by]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        s, e = np.searchsorted(column, (at, at + 2048))
+        part = np.zeros((len(sets), 2048), np.float32)
+        part[owner[s:e], column[s:e] - at] = 1
+        both += part @ part.T
+    both = both.astype(np.int64)
+    linked = 100 * both >= SIMILAR * (sizes[:, None] + sizes[None, :] - both)
+    top = np.arange(len(sets))
+    while True:
+        lower = np.where(linked, top[None, :], len(sets)).min(axis=1)
+        lower = np.minimum(lower, top)
+        lower = lower[lower]
+        if (lower == top).all():
+            return top
+        top = lower
+
+
+def _comparing(rows: pa.Table) -> pa.Table:
+    """Rows (node, made) of one or two parts to links (a, b) that span the components among them."""
+    nodes = rows.column("node").to_numpy()
+    made = rows.column("made").combine_chunks()
+    made = pa.concat_arrays(made.chunks) if isinstance(made, pa.ChunkedArray) else made
+    bounds, values = made.offsets.to_numpy(), made.values.to_numpy()
+    top = spanning([values[s:e] for s, e in zip(bounds, bounds[1:])])
+    far = top != np.arange(len(top))
+    return pa.table({"a": pa.array(nodes[far]), "b": pa.array(nodes[top[far]])})
 
 
-def _both(pairs: DataFrame) -> DataFrame:
-    """The distinct nodes of pairs."""
-    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def _sizes_fit(a: str, b: str):
+    return (100 * F.least(a, b) >= SIMILAR * F.greatest(a, b))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near copies: of each group the row with the smallest id. Texts are read, never shuffled,
     while the lists of dropped rows and of compared texts are small enough to broadcast."""
+    spark = docs.sparkSession
     node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), node.alias("node"))
     kind = slim.schema["_id"].dataType.simpleString()
-    rows = staged(slim.mapInArrow(_node_fingerprints, f"_id {kind}, node bigint, fp bigint"), "fingerprints")
+    rows = staged(slim.mapInArrow(_node_fingerprints, f"_id {kind}, node bigint, fp bigint, words bigint"), "fingerprints")
     keys = rows.groupBy("node", "_id").agg(F.count("*").alias("n"), F.first("fp").alias("fp"))
     order = F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("first"))
     nodes = staged(keys.groupBy("node").agg(F.min(order).alias("o"), F.first("fp").alias("fp")).select("node", "fp", "o.first"), "nodes")
-
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        """node and text of the wanted nodes, each from the row with the smallest id (repeated rows: each of them)."""
-        named = small(wanted.join(nodes, "node").select(F.col("node").alias("_n"), "first"), "wanted")
-        return slim.join(named, (F.col("node") == F.col("_n")) & F.col("_id").eqNullSafe(F.col("first")), "left_semi").select("node", "_text")
-
-    live, wide, known, lost, salt = nodes.select("node", "fp"), None, None, None, 0
-    while True:
-        found = _found(live, salt, wide)
-        wanted = _both(found)
-        if known is not None:  # later rounds look at some of the same texts
-            wanted = wanted.join(known.select("node"), "node", "left_anti")
-        more = texts_of(wanted).mapInArrow(_arrays(lambda x: x), "node bigint, made array<bigint>").dropDuplicates(["node"])
-        known = staged(more if known is None else known.union(more), "sets")
-        left, right = known.select(F.col("node").alias("a"), F.col("made").alias("x")), known.select(F.col("node").alias("b"), F.col("made").alias("y"))
-        both, least = F.size(F.array_intersect("x", "y")), round(100 * SIMILAR)
-        links = staged(found.join(left, "a").join(right, "b").filter(100 * both >= least * (F.size("x") + F.size("y") - both)).select("a", "b", "star"), "links")
-        n_star, n_links = found.filter("star").count(), links.filter("star").count()
-        starred = staged(_both(found.filter("star")), "starred") if n_star else None
-        if not links.isEmpty():
-            labels = components(links.select("a", "b")).join(nodes, "node")
-            best = labels.groupBy(F.col("label").alias("_l")).agg(F.min(F.struct(F.col("first").isNull().alias("null"), "first", "node")).alias("best"))
-            gone = staged(labels.join(best, labels["label"] == best["_l"]).filter("node <> best.node").select("node"), "gone")
-            lost = gone if lost is None else lost.union(gone)
-            live = live.join(gone, "node", "left_anti")
-        if not n_star:
-            break
-        live, salt = staged(live.join(starred, "node", "left_semi"), "live"), salt + 1  # all other pairs were verified
-        if 10 * n_links < live.count():  # little was merged
-            wide = texts_of(live.select("node")).mapInArrow(_arrays(wide_fingerprint), "node bigint, made array<bigint>").dropDuplicates(["node"])
-            wide = staged(wide.mapInArrow(_packed, "node bigint, wide binary"), "wide")
-    keep = nodes.join(lost, "node", "left_anti") if lost is not None else nodes
+    more = small(rows.join(nodes.select(F.col("node").alias("_n"), "first"), (F.col("node") == F.col("_n")) & ~F.col("_id").eqNullSafe(F.col("first"))).select("_n", F.col("_id").alias("_i")).distinct(), "more")
+    single = slim.join(more, (F.col("node") == F.col("_n")) & F.col("_id").eqNullSafe(F.col("_i")), "left_anti")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """node and shingles of the wanted nodes."""
+        named = small(wanted.distinct().select(F.col("node").alias("_n")), "wanted")
+        texts = single.join(named, F.col("node") == F.col("_n"), "left_semi").select("node", "_text")
+        return staged(texts.mapInArrow(_sets, "node bigint, made array<bigint>").dropDuplicates(["node"]), "sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets are similar enough."""
+        made = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
+        left, right = made.select(F.col("node").alias("a"), F.col("made").alias("x")), made.select(F.col("node").alias("b"), F.col("made").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        return staged(pairs.join(left, "a").join(right, "b").filter(100 * both >= SIMILAR * (F.size("x") + F.size("y") - both)).select("a", "b"), "verified")
+
+    # close fingerprints: stars of the Gray-order index, and of the texts of one fingerprint
+    of = staged(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    close = links(of.select("fp"))
+    close = close.join(of.select(F.col("fp").alias("a"), F.col("head").alias("_a")), "a").join(of.select(F.col("fp").alias("b"), F.col("head").alias("_b")), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    same_fp = nodes.join(of, "fp").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    found = verified(staged(close.union(same_fp).distinct(), "close"))
+    labels = components(found)
+
+    # an order of shingles, the first of each text, and the keys under which texts meet
+    n_shingles = rows.agg(F.sum("words")).first()[0] or 0
+    common = spark.sparkContext.broadcast(common_shingles(single, n_shingles))  # COMMON_ROWS at most
+    heads = single.select("node", "_text").mapInArrow(_heading(common), "key bigint, node bigint, size bigint")
+    met = staged(heads.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meeting, "key bigint, node bigint, size bigint"), "met")
+
+    def crossing(labels: DataFrame) -> DataFrame:
+        """met rows of the keys where several components meet, with their label and the number and shingles of their key."""
+        known = met.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label"))
+        mixed = known.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+        return known.join(mixed.select("key", "n", "shingles"), "key")
+
+    rows_x = staged(crossing(labels), "crossing")
+    few = rows_x.filter(F.col("n") <= FEW)
+    left, right = (few.select("key", *[F.col(c).alias(s + c) for c in ("node", "size", "label")]) for s in "xy")
+    pairs = left.join(right, "key").filter((F.col("xnode") < F.col("ynode")) & (F.col("xlabel") != F.col("ylabel")) & _sizes_fit("xsize", "ysize")).select(F.col("xnode").alias("a"), F.col("ynode").alias("b"))
+    many = rows_x.filter(F.col("n") > FEW).join(nodes.select("node", "fp"), "node")
+    bit = [F.sum(F.getbit("fp", F.lit(k))).alias(f"_{k}") for k in range(64)]
+    middle = sum((F.when(2 * F.col(f"_{k}") > F.col("n"), F.lit(1 << k if k < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for k in range(64)), F.lit(0).cast("bigint"))
+    middles = many.groupBy("key", "n").agg(*bit).select("key", middle.alias("middle"))
+    hubs = many.join(middles, "key").groupBy("key").agg(F.min_by(F.struct("node", "size", "label"), F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("middle"))), "node")).alias("hub"))
+    starred = many.join(hubs, "key").filter((F.col("label") != F.col("hub.label")) & _sizes_fit("size", "hub.size")).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+    found = found.union(verified(staged(pairs.union(starred).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")))
+    labels = components(found)
+
+    # large keys where components still meet: each two parts of it whole in one task
+    left = staged(crossing(labels).filter(F.col("n") > FEW), "parts")
+    if not left.isEmpty():
+        parts = F.ceil(F.greatest(F.col("n") / PART, F.col("shingles") / PART_SHINGLES)).cast("int")
+        dealt = left.select("key", "node", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+        dealt = dealt.select("key", "node", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        dealt = dealt.select("key", "node", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+        compared = dealt.join(sets_of(left.select("node")), "node").groupBy("key", "lo", "hi").applyInArrow(_comparing, "a bigint, b bigint")
+        labels = components(found.union(staged(compared.distinct(), "compared")))
+
+    labels = labels.join(nodes, "node")
+    best = labels.groupBy(F.col("label").alias("_l")).agg(F.min(F.struct(F.col("first").isNull().alias("null"), "first", "node")).alias("best"))
+    lost = staged(labels.join(best, labels["label"] == best["_l"]).filter("node <> best.node").select("node"), "lost")
+    keep = nodes.join(lost, "node", "left_anti")
     judged = keys.join(keep.select(F.col("node").alias("_n"), "first"), (F.col("node") == F.col("_n")) & F.col("_id").eqNullSafe(F.col("first")), "left")
     judged = staged(judged.select(F.col("node").alias("_n"), F.col("_id").alias("_i"), "n", F.col("_n").isNull().alias("gone")), "judged")
-    named = docs.withColumn("_node", node)
-    same = lambda keys: (F.col("_node") == keys["_n"]) & docs[id_col].eqNullSafe(keys["_i"])
+    at = "_node" + "_" * max((len(c) for c in docs.columns), default=0)  # no column of docs has this name
+    named = docs.withColumn(at, node)
+    same = lambda keys: (F.col(at) == keys["_n"]) & docs[id_col].eqNullSafe(keys["_i"])
     drop = small(judged.filter("gone or n > 1").select("_n", "_i"), "dropped")
     out = named.join(drop, same(drop), "left_anti")
     again = judged.filter("not gone and n > 1").select("_n", "_i")
     if not again.isEmpty():  # of repeated rows one stays
         again = small(again, "again")
-        out = out.union(named.join(again, same(again), "left_semi").dropDuplicates([id_col, "_node"]))
-    return out.select(*docs.columns)
+        out = out.union(named.join(again, same(again), "left_semi").dropDuplicates([id_col, at]))
+    return out.drop(at)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

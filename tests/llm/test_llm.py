@@ -602,22 +602,61 @@ def test_near_copies_brute(spark, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
-@pytest.mark.parametrize("deal", [1024, 16])
-def test_near_copies_of_a_large_group(spark, monkeypatch, deal):
-    monkeypatch.setattr(simhash, "ALL", 4)
-    monkeypatch.setattr(simhash, "DEAL", deal)
-    monkeypatch.setattr(simhash, "DENSE", deal)
+@pytest.mark.parametrize("few, part", [(16, 512), (2, 8), (4, 30)])
+def test_near_copies_of_a_large_group(spark, monkeypatch, few, part):
+    """Exactly the components of all pairs, with and without the base text, whatever the sizes of keys and parts."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "PART", part)
+    monkeypatch.setattr(simhash, "DENSE", part)
     r, rows = random.Random(8), []
-    for i in range(80):
-        words = [f"w{k}" for k in range(150)]
-        for k in r.sample(range(150), r.randint(1, 5)):
-            words[k] = f"z{i}-{k}"
-        rows.append((i, " ".join(words)))
+    for base in range(2):
+        words = [f"w{base}-{k}" for k in range(150)]
+        rows += [(1000 * base, " ".join(words))] * base
+        for i in range(1, 70):
+            changed = list(words)
+            for k in r.sample(range(150), r.randint(1, 5)):
+                changed[k] = f"z{i}-{k}"
+            rows.append((1000 * base + i, " ".join(changed)))
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows += [(5000 + i, f"{passage} " + " ".join(f"q{i}-{k}" for k in range(r.choice([5, 10, 15, 40])))) for i in range(60)]
+    r.shuffle(rows)
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id int, text string")).collect()
-    sets = [five_words(x["text"]) for x in kept]
-    assert all(5 * len(x & y) < 4 * len(x | y) for i, x in enumerate(sets) for y in sets[:i])
     comp = five_word_groups([t for _, t in rows])
-    assert {x["doc_id"] for x in kept} >= {rows[c][0] for c in comp} and len(kept) < 80
+    assert sorted(x["doc_id"] for x in kept) == sorted(min(i for (i, _), d in zip(rows, comp) if d == c) for c in set(comp))
+
+
+def test_near_copies_of_a_group_of_thousands(spark):
+    r, words = random.Random(5), [f"w{k}" for k in range(120)]
+    rows = [(4000, " ".join(words))]
+    for i in range(4000):
+        changed = list(words)
+        for k in r.sample(range(120), r.randint(1, 2)):
+            changed[k] = f"z{i}-{k}"
+        rows.append((i, " ".join(changed)))
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(8)
+    assert [x["doc_id"] for x in simhash.one_of_each(docs).collect()] == [0]
+
+
+def test_spanning_components():
+    r = random.Random(2)
+    sets = [np.unique(np.array([r.randrange(40) for _ in range(r.randint(1, 30))], np.int64)) for _ in range(200)]
+    sets += [np.unique(np.append(s[1:], 100 + k)) for k, s in enumerate(sets[:100])]
+    as_sets, top = [set(x.tolist()) for x in sets], list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(as_sets[i] & as_sets[j]) >= 80 * len(as_sets[i] | as_sets[j]):
+                old, new = max(top[i], top[j]), min(top[i], top[j])
+                top = [new if t == old else t for t in top]
+    assert simhash.spanning(sets).tolist() == top
+
+
+def test_copy_shingles_are_distinct_windows():
+    texts = ["", None, "a", "A b\tc", "a b c d e", "a b c d e f A B C D E", "a b c d e f", " x  y\nz w v é É "]
+    h, bounds = simhash.copy_shingles(pa.array(texts))
+    sets = [h[s:e].tolist() for s, e in zip(bounds, bounds[1:])]
+    assert [len(x) for x in sets] == [len(five_words(t)) for t in texts] and all(x == sorted(set(x)) for x in sets)
+    want = [five_words(t) for t in texts]
+    assert all(len(set(a) & set(b)) == len(x & y) for a, x in zip(sets, want) for b, y in zip(sets, want))
 
 
 def test_pipeline_drops_all_near_copies(spark, sf_dir):
