@@ -17,8 +17,9 @@ component yet. Shingles are put in one order, those in many documents last (docu
 order decides nothing but the cost); two sets of that similarity meet in the first n - 0.8 n + 1 shingles of each. Of the keys
 made so, only those matter where several components meet. Up to FEW documents under a key give all their pairs; of more, each is
 first compared with the one in the middle of their fingerprints, which merges most groups of copies; keys where
-components still meet are cut into parts of PART documents, and each two parts are compared whole in one task, by products of their
-incidence matrices, from which only a spanning star of each component leaves.
+components still meet are cut into parts of PART documents, and each two parts are compared whole in one task: first by the
+numbers of shingles in buckets, which bound what two sets can share, then, for what may link, by products of incidence
+matrices, from which only a spanning star of each component leaves.
 
 Defined results: null and empty texts have the fingerprint zero, which links like any other; one or two words are one
 shingle; repeated rows share fingerprint and component; rows without an id are members but never give the component's id
@@ -73,11 +74,33 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _node_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprint, number of five-word shingles and their counts by bucket."""
     for batch in text_rows(batches):
-        texts = batch.column("_text").to_pylist()
-        values = np.array([fingerprint(x) for x in texts], dtype=np.uint64)
-        words = [len((x or "").encode().split()) for x in texts]
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("node"), pa.array(values.view(np.int64)), pa.array(words, pa.int64())], ["_id", "node", "fp", "words"])
+        values = np.array([fingerprint(x) for x in batch.column("_text").to_pylist()], dtype=np.uint64)
+        h, bounds = copy_shingles(batch.column("_text"))
+        counts = [bucket_counts(h[s:e]) for s, e in zip(bounds, bounds[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("node"), pa.array(values.view(np.int64)), pa.array(np.diff(bounds)), pa.array(counts, pa.binary())], ["_id", "node", "fp", "size", "buckets"])
+
+
+def bucket_counts(h: np.ndarray) -> bytes:
+    """How many hashes fall into each bucket by their leading bits; about four a bucket."""
+    bits = max(4, (len(h) // 4).bit_length())
+    return np.minimum(np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def _may_be_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, x, y) to the pairs that their bucket counts x, y don't rule out: sets share no more in a bucket than the
+    smaller count. A count of 255 may be larger and rules nothing out."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
+            n = min(len(x), len(y))
+            full = max(x.max(), y.max()) == 255
+            both = int(np.minimum(x.reshape(n, -1).sum(axis=1), y.reshape(n, -1).sum(axis=1)).sum())
+            keep.append(bool(full) or 100 * both >= SIMILAR * (int(x.sum()) + int(y.sum()) - both))
+        mask = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -417,6 +440,33 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["key", "node", "size"])
 
 
+def possible_links(sizes: np.ndarray, labels: np.ndarray, counts: list[np.ndarray]) -> np.ndarray:
+    """Which sets may link to one of another label, by their sizes and bucket counts. Sizes that fit differ by one bit at
+    most in their number of buckets, so a set is compared at its own number and folded to the half."""
+    out = np.zeros(len(sizes), bool)
+    width = np.array([len(c) for c in counts])
+    full = np.array([c.max() == 255 for c in counts])
+    for w in np.unique(width).tolist():
+        own, less = np.flatnonzero(width == w), np.flatnonzero(width == w // 2)
+        mine = np.stack([counts[k] for k in own]).astype(np.int32)
+        folded = mine.reshape(len(own), -1, 2).sum(axis=2)
+        halves = np.stack([counts[k] for k in less]).astype(np.int32) if len(less) else None
+        for at, k in enumerate(own.tolist()):
+            for rows, both in [(own, np.minimum(mine, mine[at]).sum(axis=1))] + ([(less, np.minimum(halves, folded[at]).sum(axis=1))] if halves is not None else []):
+                ok = (labels[rows] != labels[k]) & ((100 * both >= SIMILAR * (sizes[rows] + sizes[k] - both)) | full[rows] | full[k])
+                ok &= 100 * np.minimum(sizes[rows], sizes[k]) >= SIMILAR * np.maximum(sizes[rows], sizes[k])
+                out[rows[ok]] = True
+                out[k] |= ok.any()
+    return out
+
+
+def _sifting(rows: pa.Table) -> pa.Table:
+    """Rows (key, lo, hi, node, size, label, buckets) of one or two parts to those that may link to another component."""
+    counts = [np.frombuffer(x, np.uint8) for x in rows.column("buckets").to_pylist()]
+    keep = possible_links(rows.column("size").to_numpy(), rows.column("label").to_numpy(), counts)
+    return rows.select(["key", "lo", "hi", "node"]).filter(pa.array(keep))
+
+
 def spanning(sets: list[np.ndarray]) -> np.ndarray:
     """For each set the first of its component under links of SIMILAR percent, by products of the incidence matrix."""
     sizes = np.array([len(x) for x in sets])
@@ -455,6 +505,13 @@ def _comparing(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(nodes[far]), "b": pa.array(nodes[top[far]])})
 
 
+def once(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The rows (key columns, node) of one key of all that have the same nodes: copies meet under many."""
+    members = rows.groupBy(*key).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.hash("node", F.lit(1)).cast("bigint")).alias("y"))
+    named = members.groupBy("n", "x", "y").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
+    return rows.join(named, key, "left_semi")
+
+
 def _sizes_fit(a: str, b: str):
     return (100 * F.least(a, b) >= SIMILAR * F.greatest(a, b))
 
@@ -466,8 +523,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), node.alias("node"))
     kind = slim.schema["_id"].dataType.simpleString()
-    rows = staged(slim.mapInArrow(_node_fingerprints, f"_id {kind}, node bigint, fp bigint, words bigint"), "fingerprints")
+    rows = staged(slim.mapInArrow(_node_fingerprints, f"_id {kind}, node bigint, fp bigint, size bigint, buckets binary"), "fingerprints")
     keys = rows.groupBy("node", "_id").agg(F.count("*").alias("n"), F.first("fp").alias("fp"))
+    counts = rows.select("node", "buckets").dropDuplicates(["node"])
     order = F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("first"))
     nodes = staged(keys.groupBy("node").agg(F.min(order).alias("o"), F.first("fp").alias("fp")).select("node", "fp", "o.first"), "nodes")
     more = small(rows.join(nodes.select(F.col("node").alias("_n"), "first"), (F.col("node") == F.col("_n")) & ~F.col("_id").eqNullSafe(F.col("first"))).select("_n", F.col("_id").alias("_i")).distinct(), "more")
@@ -480,7 +538,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return staged(texts.mapInArrow(_sets, "node bigint, made array<bigint>").dropDuplicates(["node"]), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets are similar enough."""
+        """The pairs (a, b) whose sets are similar enough; most others are ruled out by their bucket counts."""
+        pairs = pairs.join(counts.select(F.col("node").alias("a"), F.col("buckets").alias("x")), "a").join(counts.select(F.col("node").alias("b"), F.col("buckets").alias("y")), "b")
+        pairs = staged(pairs.select("a", "b", "x", "y").mapInArrow(_may_be_similar, "a bigint, b bigint"), "possible")
         made = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
         left, right = made.select(F.col("node").alias("a"), F.col("made").alias("x")), made.select(F.col("node").alias("b"), F.col("made").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
@@ -495,10 +555,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     labels = components(found)
 
     # an order of shingles, the first of each text, and the keys under which texts meet
-    n_shingles = rows.agg(F.sum("words")).first()[0] or 0
+    n_shingles = rows.agg(F.sum("size")).first()[0] or 0
     common = spark.sparkContext.broadcast(common_shingles(single, n_shingles))  # COMMON_ROWS at most
     heads = single.select("node", "_text").mapInArrow(_heading(common), "key bigint, node bigint, size bigint")
-    met = staged(heads.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meeting, "key bigint, node bigint, size bigint"), "met")
+    met = staged(heads.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meeting, "key bigint, node bigint, size bigint"), "meetings")
+    met = staged(once(met, ["key"]), "met")
 
     def crossing(labels: DataFrame) -> DataFrame:
         """met rows of the keys where several components meet, with their label and the number and shingles of their key."""
@@ -523,10 +584,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     left = staged(crossing(labels).filter(F.col("n") > FEW), "parts")
     if not left.isEmpty():
         parts = F.ceil(F.greatest(F.col("n") / PART, F.col("shingles") / PART_SHINGLES)).cast("int")
-        dealt = left.select("key", "node", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
-        dealt = dealt.select("key", "node", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        dealt = dealt.select("key", "node", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-        compared = dealt.join(sets_of(left.select("node")), "node").groupBy("key", "lo", "hi").applyInArrow(_comparing, "a bigint, b bigint")
+        dealt = left.select("key", "node", "size", "label", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+        dealt = dealt.select("key", "node", "size", "label", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        dealt = dealt.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node", "size", "label").join(counts, "node")
+        sifted = dealt.select("key", "lo", "hi", "node", "size", "label", "buckets").groupBy("key", "lo", "hi").applyInArrow(_sifting, "key bigint, lo int, hi int, node bigint")
+        sifted = staged(once(staged(sifted, "sifted"), ["key", "lo", "hi"]), "sifted")
+        compared = sifted.join(sets_of(sifted.select("node")), "node").groupBy("key", "lo", "hi").applyInArrow(_comparing, "a bigint, b bigint")
         labels = components(found.union(staged(compared.distinct(), "compared")))
 
     labels = labels.join(nodes, "node")

@@ -650,6 +650,26 @@ def test_spanning_components():
     assert simhash.spanning(sets).tolist() == top
 
 
+def test_bucket_counts_rule_out_no_link():
+    """Sets of many sizes and overlaps: whatever is similar enough stays possible, and most of what isn't goes."""
+    r, sets = np.random.default_rng(4), []
+    for n in (3, 40, 60, 130, 260, 1000):
+        base = r.integers(0, 1 << 64, n, np.uint64)
+        for share in (1.0, 0.9, 0.85, 0.7, 0.3):
+            k = int(n * share)
+            sets.append(np.unique(np.append(base[:k], r.integers(0, 1 << 64, r.integers(0, n - k + 2), np.uint64))))
+    counts, sizes = [np.frombuffer(simhash.bucket_counts(s), np.uint8) for s in sets], np.array([len(s) for s in sets])
+    similar = np.array([[100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)) for b in sets] for a in sets])
+    np.fill_diagonal(similar, False)
+    possible = simhash.possible_links(sizes, np.arange(len(sets)), counts)
+    assert (possible | ~similar.any(axis=1)).all() and not possible.all()
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i)]
+    batch = pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs]), pa.array([p[1] for p in pairs]), pa.array([counts[i].tobytes() for i, _ in pairs]), pa.array([counts[j].tobytes() for _, j in pairs])], ["a", "b", "x", "y"])
+    kept = next(simhash._may_be_similar([batch]))
+    kept = set(zip(kept.column("a").to_pylist(), kept.column("b").to_pylist()))
+    assert all((i, j) in kept for i, j in pairs if similar[i, j]) and len(kept) < len(pairs) / 4
+
+
 def test_copy_shingles_are_distinct_windows():
     texts = ["", None, "a", "A b\tc", "a b c d e", "a b c d e f A B C D E", "a b c d e f", " x  y\nz w v é É "]
     h, bounds = simhash.copy_shingles(pa.array(texts))
