@@ -314,6 +314,26 @@ def test_beta_below(spark):
         assert r[0] == pytest.approx(d[: len(x) // 2].sum() / d.sum(), abs=0.01)
 
 
+def test_beta_below_takes_time_in_proportion_to_its_points(spark):
+    """The fold makes each point once: ten times the points take about ten times as long, not a hundred times."""
+    import time
+
+    df = spark.range(300, numPartitions=1).selectExpr("1.0D + id / 7 as a", "2.0D + id / 11 as b").cache()
+    df.count()
+
+    def seconds(points):
+        best = 1e9
+        for _ in range(2):
+            began = time.time()
+            df.select(urls.beta_below(df["a"], df["b"], 0.5, points).alias("p")).agg({"p": "sum"}).collect()
+            best = min(best, time.time() - began)
+        return best
+
+    assert seconds(8000) < 30 * max(seconds(800), 0.05)
+    few, many = ([r[0] for r in df.select(urls.beta_below(df["a"], df["b"], 0.5, n)).collect()] for n in (400, 8000))
+    assert max(abs(x - y) for x, y in zip(few, many)) < 0.01
+
+
 def test_mixing_carries_any_column(spark):
     rows = [(i, f"t {i}", "s", i, [0.5], 2, "r", 1.0) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id int, text string, source string, _pieces int, _cdf array<double>, _count int, _row string, _rate double")
