@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -147,52 +144,6 @@ r AS (SELECT query_id, id, round(share + 0.01 * ln(1 + rating_number), 6) AS sco
 SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM r) WHERE rank <= 20"""
 
 
-def _dot_blocks(queries: list[tuple[int, list[float]]], k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        ids = np.array([q for q, _ in queries])
-        left = np.array([v for _, v in queries], dtype=np.float64)
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            own = batch.column(0).to_numpy()
-            right = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-            sims = np.round(left @ right.T, 6)
-            sims[ids[:, None] == own[None, :]] = -np.inf
-            few = min(k, len(own))
-            best = np.lexsort((np.broadcast_to(own, sims.shape), -sims), axis=1)[:, :few]
-            rows = np.repeat(np.arange(len(ids)), few)
-            flat = best.ravel()
-            ok = np.isfinite(sims[rows, flat])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows][ok]), pa.array(own[flat][ok]), pa.array(sims[rows, flat][ok])], ["query_id", "id", "score"])
-
-    return run
-
-
-def dense_topk(spark: SparkSession, sf_dir: str, k: int = TOP_K, every: int = 50, block: int = 4096) -> DataFrame:
-    """Nearest vectors of every vector whose id divides by 50, by dot product of unit vectors.
-
-    The query set goes out in blocks of bounded size; each batch of vectors keeps its best k of a query, and the global
-    best come from those."""
-    v = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    unit = F.transform("embedding", lambda x: x.cast("double") / F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
-    v = v.select(F.col("vec_id").cast("bigint").alias("vec_id"), unit.alias("u"))
-    asked = v.filter(F.col("vec_id") % every == 0)
-    n_blocks = max(1, -(-asked.count() // block))
-    found = None
-    for b in range(n_blocks):
-        some = [(r["vec_id"], r["u"]) for r in asked.filter(F.pmod(F.floor(F.col("vec_id") / every), F.lit(n_blocks)) == b).collect()]  # about block rows
-        part = v.mapInArrow(_dot_blocks(some, k), "query_id bigint, id bigint, score double")
-        found = part if found is None else found.union(part)
-    return top_k(found, k).select("query_id", "id", "score", "rank")
-
-
-DENSE_SQL = f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_dot_product(q.u, v.u), 6) AS score FROM v q, v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= {TOP_K}"""
-
-
 def reciprocal_rank_fusion(routes: dict[str, DataFrame], k: int = RRF_K, weights: dict[str, float] | None = None) -> DataFrame:
     """query_id, id, rrf, routes from ranked routes (U1, R9): one shuffle over the union."""
     every = None
@@ -275,5 +226,5 @@ PAIRS_SQL = f"""WITH t AS (SELECT p_partkey AS asin, unnest(list_distinct({TOKEN
 SELECT a.key AS first, b.key AS second, count(DISTINCT asin) AS n_products, CASE WHEN count(DISTINCT asin) = 1 THEN 1.0 WHEN count(DISTINCT asin) <= 10 THEN 0.5 WHEN count(DISTINCT asin) <= 50 THEN 0.2 ELSE 0.0 END::DOUBLE AS bonus
 FROM t a JOIN t b USING (asin) WHERE a.key < b.key GROUP BY 1, 2"""
 
-QUERIES = {f.__name__: f for f in (bm25_okapi_topk, retrieval_metrics, category_route, dense_topk, rrf_fusion, rule_score, fingerprint_count, constraint_pairs)}
-SQL = dict(zip(QUERIES, (BM25_SQL, METRICS_SQL, CATEGORY_ROUTE_SQL, DENSE_SQL, RRF_SQL, RULE_SCORE_SQL, FINGERPRINT_SQL, PAIRS_SQL), strict=True))
+QUERIES = {f.__name__: f for f in (bm25_okapi_topk, retrieval_metrics, category_route, rrf_fusion, rule_score, fingerprint_count, constraint_pairs)}
+SQL = dict(zip(QUERIES, (BM25_SQL, METRICS_SQL, CATEGORY_ROUTE_SQL, RRF_SQL, RULE_SCORE_SQL, FINGERPRINT_SQL, PAIRS_SQL), strict=True))
