@@ -12,25 +12,33 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.sources.views import read
 
-#: Act, pattern with the value in group 1, confidence; the first that fits decides.
+#: Settings: act, the cue words that say it (in the languages of the messages), how many words after the cue are its value, and
+#: confidence; the first act that fits decides. Another shop's cues are another table of this form.
 RULES = (
-    ("replace", r"ignore my earlier preference.*what i need is ([^.]+)", 0.95),
-    ("no_preference", r"(?:don't|do not) have an? (?:additional )?preference for ([^.]+)", 0.95),
-    ("no_more", r"(no more|no additional) preferences", 0.98),
-    ("hard", r"key requirement is ([^.]+)", 0.92),
-    ("soft", r"what matters is ([^.]+)", 0.92),
-    ("search", r"looking for ([^.]+)", 0.85),
-    ("reject", r"(not quite right)", 0.85),
+    ("replace", "from|von|desde|depuis", 2, 0.95),
+    ("no_more", "that is|is that|das ist|es que", 0, 0.98),
+    ("no_preference", "no|nicht|pas|sin", 1, 0.95),
+    ("hard", "with|con|mit|avec", 2, 0.92),
+    ("soft", "for|para|pour", 2, 0.92),
+    ("reject", "this|dieser|esta", 1, 0.85),
+    ("search", "to|zu|que", 2, 0.85),
 )
-HARD_CUE = r"\b(must|need|only|require|has to)\b"
+NEGATIVE = ("no_preference", "reject")
+HARD_CUE = r"(?:^|[\s.,;:!?])(?:must|only|as|auf|en)\s"
 TAIL = r"(?s)^[^.!?]*[.!?]\s*(.{3,180})"
 
 
-def recognise(message: Column) -> tuple[Column, Column, Column]:
+def cue_pattern(cues: str, n_words: int) -> str:
+    """A cue as words of its own, and the words after it in group 1."""
+    return rf"(?:^|[\s.,;:!?])(?:{cues})((?:\s+[a-z]+){{1,{n_words}}})" if n_words else rf"(?:^|[\s.,;:!?])((?:{cues}))(?:[\s.,;:!?]|$)"
+
+
+def recognise(message: Column, rules: tuple = RULES) -> tuple[Column, Column, Column]:
     """Act, value and confidence of a message; ambiguous at 0.35 if nothing fits."""
     low = F.lower(message)
     act, value, sure = F.lit("ambiguous"), F.lit(None).cast("string"), F.lit(0.35)
-    for name, pattern, confidence in reversed(RULES):
+    for name, cues, n_words, confidence in reversed(rules):
+        pattern = cue_pattern(cues, n_words)
         fits = low.rlike(pattern)
         act, sure = F.when(fits, F.lit(name)).otherwise(act), F.when(fits, F.lit(confidence)).otherwise(sure)
         value = F.when(fits, F.trim(F.regexp_extract(low, pattern, 1))).otherwise(value)
@@ -60,9 +68,10 @@ def _q(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-_ACT = " ".join(f"WHEN regexp_matches(lower(message), {_q(p)}) THEN '{n}'" for n, p, _ in RULES)
-_VALUE = " ".join(f"WHEN regexp_matches(lower(message), {_q(p)}) THEN trim(regexp_extract(lower(message), {_q(p)}, 1))" for _, p, _ in RULES)
-_SURE = " ".join(f"WHEN regexp_matches(lower(message), {_q(p)}) THEN {c}" for _, p, c in RULES)
+_PATTERNS = [(n, _q(cue_pattern(cues, k)), c) for n, cues, k, c in RULES]
+_ACT = " ".join(f"WHEN regexp_matches(lower(message), {p}) THEN '{n}'" for n, p, _ in _PATTERNS)
+_VALUE = " ".join(f"WHEN regexp_matches(lower(message), {p}) THEN trim(regexp_extract(lower(message), {p}, 1))" for _, p, _ in _PATTERNS)
+_SURE = " ".join(f"WHEN regexp_matches(lower(message), {p}) THEN {c}" for _, p, c in _PATTERNS)
 _CLASS = " ".join(f"WHEN regexp_matches(coalesce(value, ''), {_q(p)}) THEN '{n}'" for n, p in T.CLASSES)
 _RECOGNISED = f"""msg AS (SELECT conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS turn, coalesce(text, '') AS message FROM conversations WHERE role = 'user'),
 rec AS (SELECT *, CASE {_CLASS} ELSE 'feature' END AS attribute FROM (SELECT session_id, turn, message, CASE {_ACT} ELSE 'ambiguous' END AS act, CASE {_VALUE} END AS value, CASE {_SURE} ELSE 0.35 END::DOUBLE AS confidence FROM msg))"""
@@ -70,6 +79,41 @@ RECOGNISE_SQL = f"""WITH {_RECOGNISED} SELECT session_id, turn, act, value, attr
   confidence < 0.8 OR act IN ('ambiguous', 'replace') OR regexp_matches(lower(message), {_q(HARD_CUE)}) OR (turn >= 2 AND act IN ('hard', 'soft')) AS second_opinion FROM rec"""
 
 
+def message_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every operation that a customer's turn states, one for each cue, each once by attribute, key and polarity: the first of equals
+    stays (D5). place counts what is left from 1."""
+    low = F.lower("message")
+
+    def stated(k: int, name: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)), lambda v, i: F.struct((F.lit(1000 * k) + i).alias("pos"), F.lit(name).alias("act"), F.trim(v).alias("value")))
+
+    found = [stated(k, name, cue_pattern(cues, n)) for k, (name, cues, n, _) in enumerate(RULES) if n]
+    x = messages(spark, sf_dir).select("session_id", "turn", F.explode(F.concat(*found)).alias("o")).select("session_id", "turn", "o.*")
+    x = x.withColumns({"attribute": T.classify_attribute(F.col("value")), "key": T.constraint_key(F.col("value")), "negative": F.col("act").isin(*NEGATIVE)})
+    one = x.groupBy("session_id", "turn", "attribute", "key", "negative").agg(F.min(F.struct("pos", "act", "value")).alias("o"))
+    place = F.row_number().over(Window.partitionBy("session_id", "turn").orderBy("o.pos"))  # a turn's operations are few
+    return one.select("session_id", "turn", place.alias("place"), "o.act", "attribute", "o.value", "key", "negative")
+
+
+OPERATIONS_SQL = rf"""WITH {_RECOGNISED}, op AS ({" UNION ALL ".join(f"SELECT session_id, turn, {1000 * k} + generate_subscripts(v, 1) AS pos, '{n}' AS act, trim(unnest(v)) AS value FROM (SELECT session_id, turn, regexp_extract_all(lower(message), {p}, 1) AS v FROM msg)" for k, (n, p, _) in enumerate(_PATTERNS) if RULES[k][2])}),
+oc AS (SELECT *, CASE {_CLASS} ELSE 'feature' END AS attribute, lower(trim(regexp_replace(trim(regexp_replace(value, '(?i)^\s*(material|color|size|style|budget|feature)\s*:\s*', ''), ' -;,.'), '\s+', ' ', 'g'))) AS key, act IN {NEGATIVE} AS negative FROM op),
+o1 AS (SELECT session_id, turn, attribute, key, negative, min(pos) AS pos, arg_min(act, pos) AS act, arg_min(value, pos) AS value FROM oc GROUP BY ALL)
+SELECT session_id, turn, row_number() OVER (PARTITION BY session_id, turn ORDER BY pos) AS place, act, attribute, value, key, negative FROM o1"""
+
+#: Products that a customer was shown last and can still name.
+RECENT = 3
+
+
+def explicit_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the products that a rejecting turn names, those it was shown recently, in the order named, and how many were not (D4). A
+    turn names its own product, that of two turns before and the first of the session; shown were the RECENT turns before."""
+    w = Window.partitionBy("session_id").orderBy("turn")
+    x = operations(spark, sf_dir).withColumn("shown", F.collect_list("asin").over(w.rowsBetween(-RECENT, -1)))
+    x = x.withColumn("named", F.array_distinct(F.array_compact(F.array("asin", F.lag("asin", 2).over(w), F.first("asin").over(w)))))
+    out = x.filter("act = 'reject'").withColumn("rejected", F.array_intersect("named", "shown"))
+    return out.select("session_id", "turn", F.array_join(F.col("rejected").cast("array<string>"), ",").alias("rejected"), (F.size("named") - F.size("rejected")).alias("n_unknown"))
+
+
 def rewrite_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By conversation, signs that a customer keeps rewording: a run of two ambiguous turns or more, an ambiguous share of 0.4
     or more after three turns, a first turn without a category (A31), and counts of recognition outcomes (A28)."""
@@ -127,6 +171,11 @@ _OPS = f"""ops AS (SELECT l_orderkey AS session_id, turn::INT AS turn, CASE WHEN
   l_quantity >= 25 AS hard, round(0.5 + 5 * l_discount, 2) AS confidence, p_partkey AS asin
   FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS turn FROM lineitem JOIN part ON l_partkey = p_partkey))"""
 
+REJECTIONS_SQL = f"""WITH {_OPS}, x AS (SELECT *, list(asin) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN {RECENT} PRECEDING AND 1 PRECEDING) AS shown,
+  [asin, lag(asin, 2) OVER (PARTITION BY session_id ORDER BY turn), first(asin) OVER (PARTITION BY session_id ORDER BY turn)] AS n0 FROM ops),
+y AS (SELECT session_id, turn, coalesce(shown, []) AS shown, list_filter(n0, lambda a, i: a IS NOT NULL AND list_position(n0, a) = i) AS named FROM x WHERE act = 'reject')
+SELECT session_id, turn, array_to_string(list_filter(named, lambda a: list_contains(shown, a)), ',') AS rejected, len(list_filter(named, lambda a: NOT list_contains(shown, a)))::INT AS n_unknown FROM y"""
+
 _CONS = "array<struct<attribute:string,value:string,hard:boolean>>"
 
 
@@ -391,6 +440,6 @@ TRACE_SUMMARY_SQL = f"""WITH RECURSIVE {_GUARDED} SELECT reason, act, count(*) A
 
 QUERIES = {
     f.__name__: f
-    for f in (recognise_messages, rewrite_signals, fold_state, retrieval_mode, state_changes, transition_guard, guard_statistics, product_history, remaining_products, decision_trace, trace_summary)
+    for f in (recognise_messages, message_operations, explicit_rejections, rewrite_signals, fold_state, retrieval_mode, state_changes, transition_guard, guard_statistics, product_history, remaining_products, decision_trace, trace_summary)
 }
-SQL = dict(zip(QUERIES, (RECOGNISE_SQL, REWRITE_SQL, FOLD_SQL, MODE_SQL, CHANGES_SQL, GUARD_SQL, GUARD_STATS_SQL, HISTORY_SQL, OPEN_SQL, TRACE_SQL, TRACE_SUMMARY_SQL), strict=True))
+SQL = dict(zip(QUERIES, (RECOGNISE_SQL, OPERATIONS_SQL, REJECTIONS_SQL, REWRITE_SQL, FOLD_SQL, MODE_SQL, CHANGES_SQL, GUARD_SQL, GUARD_STATS_SQL, HISTORY_SQL, OPEN_SQL, TRACE_SQL, TRACE_SUMMARY_SQL), strict=True))

@@ -12,16 +12,13 @@ from quern.operators.profile import TOKENS_SQL
 from quern.operators.questions import CLASS_OF, DECISIONS_SQL, QUESTION_SQL, question_decisions, question_signals
 from quern.sources.views import CATALOG_SQL, catalog, read
 
-#: Words by class, in their order of precedence, of the classifier that judges whole constraints. Fixed values.
-CARD_CLASSES = (
-    ("budget", r"budget|(?:\$|<=|under)\s*[0-9]"), ("material", r"brass|copper|nickel|steel|tin"), ("color", r"color|black|white|blue|red|pink|green"),
-    ("size", r"size|sizing|width|wide|narrow"), ("style", r"department|style|fit|sleeve|neck"), ("use_case", r"hiking|running|gym|winter|outdoor|work"),
-)
+#: Settings: what the first wish of a card is about, by the words of this catalogue's titles and labels; the first that fits counts.
+CARD_CLASSES = (("tint", "^color: |^(?:blue|green|red)$"), ("metal", "^(?:brass|copper|nickel|steel|tin)$"), ("measure", "^size: |^(?:large|small)$"), ("age", "^(?:new|old)$"), ("heat", "^(?:cold|hot)$"), ("maker", "^brand: "), ("price", "[0-9]$"))
 MATERIAL, COLOR, CARD_CHARS = r"\b(brass|copper|nickel|steel|tin)\b", r"\b(red|blue|green|black|white)\b", 180
 
 
 def card_class(text: Column) -> Column:
-    out = F.lit("feature")
+    out = F.lit("other")
     for name, pattern in reversed(CARD_CLASSES):
         out = F.when(F.lower(text).rlike(pattern), name).otherwise(out)
     return out
@@ -48,7 +45,7 @@ _CLEAN = "rtrim(substr(trim(regexp_replace(v, '\\s+', ' ', 'g'), ' -;,.'), 1, 18
 CARDS_SQL = f"""WITH {CATALOG_SQL}, x AS (SELECT *, lower(concat_ws(' ', title, category, store)) AS corpus FROM catalog),
 w AS (SELECT asin, title, list_filter(list_transform(list_concat(list_concat([nullif(regexp_extract(corpus, '{MATERIAL}', 1), ''), 'color: ' || nullif(regexp_extract(corpus, '{COLOR}', 1), '')], string_split(title, ' ')), ['Brand: ' || store, 'Size: ' || size, 'budget around $' || floor(price)::BIGINT]), lambda v: {_CLEAN}), lambda v: v IS NOT NULL AND v <> '') AS l FROM x),
 d AS (SELECT asin, title, list_filter(l, lambda v, i: list_position(l, v) = i) AS w FROM w)
-SELECT asin, array_to_string(w[1:2], '|') AS hard, array_to_string(CASE WHEN len(w) > 2 THEN w[3:4] ELSE w[1:1] END, '|') AS soft, CASE {" ".join(f"WHEN regexp_matches(lower(w[1]), '{p}') THEN '{n}'" for n, p in CARD_CLASSES)} ELSE 'feature' END AS first_class FROM d"""
+SELECT asin, array_to_string(w[1:2], '|') AS hard, array_to_string(CASE WHEN len(w) > 2 THEN w[3:4] ELSE w[1:1] END, '|') AS soft, CASE {" ".join(f"WHEN regexp_matches(lower(w[1]), '{p}') THEN '{n}'" for n, p in CARD_CLASSES)} ELSE 'other' END AS first_class FROM d"""
 
 #: Rewordings of an opening, and words with their substitutes.
 OPENINGS = ("I want", "Please show me", "Could you find", "Any ideas for")

@@ -71,7 +71,7 @@ def test_pair_bonus_and_tiers(spark):
     kind = "query_id int, version int, category string, exploit boolean, tags array<string>, cons array<struct<attribute:string,value:string,hard:boolean,key:string,tokens:array<string>>>"
     q = spark.createDataFrame([(1, 1, "gears", False, [], [con("color", "red", True), con("item", "wheel", True)])], kind)
     items = spark.createDataFrame([(10, "gears", "red wheel"), (11, "gears", "red disc"), (12, "gears", "blue disc")], "asin int, cat string, text string").withColumns({"size": F.lit("1"), "store": F.lit("s"), "title": F.col("text"), "popularity": F.lit(0.0), "log_ratings": F.lit(0.0)})
-    got = {r["id"]: r for r in ranking.scored(q, items).collect()}
+    got = {r["id"]: r for r in ranking.scored(q, items, 10).collect()}
     assert got[10]["pairs"] == 1 and got[11]["pairs"] == 0 and got[11]["coverage"] == 0.5 and got[12]["coverage"] == 0
     assert got[10]["score"] - got[11]["score"] == pytest.approx(0.5 * 0.5 + 0.1 + 1.0)  # half the coverage, the pair, the only product that has both
     tiers = spark.createDataFrame([(n,) for n in (0, 1, 2, 10, 11, 50, 51)], "n int")
