@@ -26,6 +26,7 @@ read.
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -364,15 +365,23 @@ def score_texts(model: Model, texts: list[str]) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, max_chars: int = MAX_CHARS) -> Model:
-    """Fit on the labelled documents whose crc32 of the id leaves a remainder (the fold 0 of FOLDS is held out)."""
+    """Fit on the labelled documents whose crc32 of the id leaves a remainder (the fold 0 of FOLDS is held out). The bounded sample,
+    max_labelled rows of max_chars characters at most, is fitted in one task; the driver gets the model alone."""
     known = labels.filter(F.col(label_col).isNotNull() & (F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS != 0))
     known = known.select(F.col(id_col).alias("_i"), (F.col(label_col) != 0).cast("int").alias("_y")).distinct()
     chosen = known.orderBy(F.xxhash64("_i"), "_i", "_y").limit(max_labelled)  # ids alone are sorted; texts come for the chosen
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).filter(F.length("_text") <= max_chars)
     got = rows.join(F.broadcast(chosen), rows["_id"] == chosen["_i"]).select("_id", "_y", "_text").distinct()
-    got = got.orderBy(F.xxhash64("_id", "_text"), "_id", "_y", "_text").limit(max_labelled).collect()  # at most max_labelled * max_chars
-    got.sort(key=lambda r: (r["_id"], r["_y"], r["_text"]))
-    return fit([r["_text"] for r in got], [r["_y"] for r in got])
+    got = got.orderBy(F.xxhash64("_id", "_text"), "_id", "_y", "_text").limit(max_labelled)
+    made = got.select("_id", "_y", "_text").mapInArrow(_fitting, "model binary").collect()  # one row
+    return pickle.loads(made[0]["model"]) if made else fit([], [])
+
+
+def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    rows.sort()
+    model = fit([r[2] for r in rows], [r[1] for r in rows])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
