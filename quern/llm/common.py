@@ -46,6 +46,16 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What workers remember from task to task. They are shared by all stages, so one that needs the room calls forget().
+REMEMBERED: list = []
+
+
+def forget() -> None:
+    """Gives back what earlier stages left in this worker."""
+    for clear in REMEMBERED:
+        clear()
+
+
 #: Lists of keys up to this many rows (some dozen bytes each) are broadcast; beyond it Spark shuffles.
 BROADCAST_ROWS = 300_000
 

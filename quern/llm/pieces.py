@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import table
+from quern.llm.common import REMEMBERED, table
 
 MEMO, SLICE = 500_000, 3 << 20
 _MARK = "▁"
@@ -323,6 +323,9 @@ def shared_pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+REMEMBERED.append(shared_pieces.cache_clear)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], text_col: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Slices of about `most` bytes of text, of one row at least."""
     for batch in batches:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import SEPARATORS, small, staged, table, text_rows
+from quern.llm.common import SEPARATORS, forget, small, staged, table, text_rows
 from quern.llm.pieces import filled, flat
 
 WORDS, SEED, RADIUS = 3, 42, 3
@@ -75,6 +75,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _node_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fingerprint, number of five-word shingles and their counts by bucket."""
+    forget()
     for batch in text_rows(batches):
         values = np.array([fingerprint(x) for x in batch.column("_text").to_pylist()], dtype=np.uint64)
         h, bounds = copy_shingles(batch.column("_text"))

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import new_dir, staged, table, text_rows
+from quern.llm.common import REMEMBERED, new_dir, staged, table, text_rows
 
 CHUNK, MEMO = 1 << 16, 600_000
 MAGIC = b"QPLANES1"
@@ -143,6 +143,9 @@ def shared_encoder(path: str, plain: bool = False) -> Encoder:
     return Encoder(path, plain)
 
 
+REMEMBERED.append(shared_encoder.cache_clear)
+
+
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
     """Byte planes (4) or bit planes (32) of little-endian 32-bit ids."""
     if kind == "byte":

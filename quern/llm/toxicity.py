@@ -26,6 +26,7 @@ read.
 
 from __future__ import annotations
 
+import os
 import pickle
 import unicodedata
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quern.llm.common import table, text_rows
+from quern.llm.common import forget, table, text_rows
 
 DECAY, SPAN, WIDTH = 0.8, 6, 6
 #: Letters of the sequences that name witnesses, and the least standard score of such a one's share in toxic documents
@@ -378,10 +379,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows, fitted in a child process, so that the worker, which later stages use again, stays small."""
+    forget()
     rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
     rows.sort()
-    model = fit([r[2] for r in rows], [r[1] for r in rows])
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+    ours, theirs = os.pipe()
+    child = os.fork()
+    if not child:
+        try:
+            os.close(ours)
+            with os.fdopen(theirs, "wb") as out:
+                out.write(pickle.dumps(fit([r[2] for r in rows], [r[1] for r in rows])))
+        finally:
+            os._exit(0)
+    os.close(theirs)
+    with os.fdopen(ours, "rb") as got:
+        made = got.read()
+    os.waitpid(child, 0)
+    if not made:
+        raise RuntimeError("the process that fits the model ended early")
+    yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["model"])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
