@@ -36,6 +36,8 @@ def _walking(phrases: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
+        if not phrases:
+            return
         machine = ahocorasick.Automaton()
         for n, p in enumerate(phrases):
             machine.add_word(f" {p} ", n)

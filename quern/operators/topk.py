@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quern.sources.staging import stored
 
-BLOCK, SHARD, QUERIES = 32, 4096, 20_000
+BLOCK, SHARD, QUERIES = 8, 4096, 20_000
 #: Scores are compared after rounding to six places, so bounds have that much room.
 ROOM = 1e-6
 
