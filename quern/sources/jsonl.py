@@ -21,9 +21,10 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(offsets, ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "value")
 
 
-def read_strict(spark: SparkSession, path: str, schema: StructType, required: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def read_strict(spark: SparkSession, path: str, schema: StructType, required: tuple[str, ...] = (), strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows and rejects of JSON lines (S3). Blank lines are skipped. A line that is no JSON object of the schema, or lacks a
-    required field, is a reject: file, line, value. Rows carry file and line. Empty files give no rows and no rejects."""
+    required field, is a reject: file, line, value. Rows carry file and line. Empty files give no rows and no rejects; strict: the
+    first reject, or input without a row, is an error."""
     with_bad = StructType(list(schema.fields)).add(BAD, "string")
     parsed = numbered_lines(spark, path).filter(F.trim("value") != "")
     parsed = parsed.withColumn("row", F.from_json("value", with_bad, {"columnNameOfCorruptRecord": BAD, "mode": "PERMISSIVE"}))
@@ -32,7 +33,14 @@ def read_strict(spark: SparkSession, path: str, schema: StructType, required: tu
         bad = bad | F.col("row")[name].isNull()
     bad = F.coalesce(bad, F.lit(True))
     good = parsed.filter(~bad).select("file", "line", *[F.col("row")[f.name].alias(f.name) for f in schema.fields])
-    return good, parsed.filter(bad).select("file", "line", "value")
+    rejects = parsed.filter(bad).select("file", "line", "value")
+    if strict:
+        first = rejects.orderBy("file", "line").limit(1).collect()  # one row
+        if first:
+            raise ValueError(f"{first[0]['file']}:{first[0]['line']}: no row of the schema: {first[0]['value'][:80]}")
+        if good.isEmpty():
+            raise ValueError(f"{path}: no rows")
+    return good, rejects
 
 
 def read_catalog(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quern.operators import cells, dialogue, folds, lookahead, mentions, ranking, retrieval, topk
+from quern.sources import jsonl
 from quern.streaming import history, usage
 
 
@@ -233,6 +235,18 @@ def test_sketches_merge_within_their_error(spark):
     assert windows.agg(F.sum("tokens")).first()[0] == sum(max(0, x[2] or 0) for x in rows)
 
 
+def test_strict_reading_names_the_first_reject(spark, tmp_path):
+    schema = StructType([StructField("id", StringType())])
+    for name, lines in (("good", ['{"id": "a"}', "", '{"id": "b"}']), ("bad", ['{"id": "a"}', "", "[1]", "nothing"]), ("empty", ["", " "])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "rows.jsonl").write_text("\n".join(lines) + "\n")
+    assert jsonl.read_strict(spark, str(tmp_path / "good"), schema, ("id",), strict=True)[0].count() == 2
+    with pytest.raises(ValueError, match=r"rows.jsonl:3: .*\[1\]"):
+        jsonl.read_strict(spark, str(tmp_path / "bad"), schema, ("id",), strict=True)
+    with pytest.raises(ValueError, match="no rows"):
+        jsonl.read_strict(spark, str(tmp_path / "empty"), schema, ("id",), strict=True)
+
+
 def test_top_k_is_used_from_retrieval(spark):
     df = spark.createDataFrame([(1, 5, 1.0), (1, 4, 1.0), (1, 3, 0.5)], "query_id int, id int, score double")
     assert [r["id"] for r in retrieval.top_k(df, 2).orderBy("rank").collect()] == [4, 5]
