@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,10 +51,19 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
 REMEMBERED: list = []
 
 
+def trim() -> None:
+    """Gives free memory back to the system: what Arrow's pool and the C library keep for later."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if release:
+        release(0)
+
+
 def forget() -> None:
     """Gives back what earlier stages left in this worker."""
     for clear in REMEMBERED:
         clear()
+    trim()
 
 
 #: Lists of keys up to this many rows (some dozen bytes each) are broadcast; beyond it Spark shuffles.

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import SEPARATORS, forget, small, staged, table, text_rows
+from quern.llm.common import SEPARATORS, forget, small, staged, table, text_rows, trim
 from quern.llm.pieces import filled, flat
 
 WORDS, SEED, RADIUS = 3, 42, 3
@@ -359,6 +359,7 @@ def _tallying(bits: int):
     stands once for each document that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         held: list[np.ndarray] = []
 
         def packed() -> pa.RecordBatch:
@@ -401,6 +402,7 @@ def _heading(common):
     """Rows (node, text) to rows (key, node, size): the first shingles of each text in the order of the search."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         shingle, often = common.value
         for batch in text_rows(batches):
             if not batch.num_rows:

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import REMEMBERED, new_dir, staged, table, text_rows
+from quern.llm.common import REMEMBERED, new_dir, staged, table, text_rows, trim
 
 CHUNK, MEMO = 1 << 16, 600_000
 MAGIC = b"QPLANES1"
@@ -245,6 +245,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _encoder(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         encoder = shared_encoder(path)
         end = np.array([end_id], encoder.dtype).tobytes()
         size = np.dtype(encoder.dtype).itemsize
