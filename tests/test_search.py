@@ -95,6 +95,17 @@ def test_nearest_by_cells_is_exact(spark, monkeypatch):
     assert cells.nearest(rows.limit(0), queries, 3).count() == 0
 
 
+def test_queries_go_to_parts_not_cells():
+    """Directions without any order, as many cells in reach as there are: a query is sent to each part once, in small batches."""
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centers, u = unit(rng.normal(size=(512, 32))), unit(rng.normal(size=(3000, 32)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(u.tolist()), pa.array(np.full(3000, 0.4))], ["query_id", "u", "least"])
+    sent = list(cells._choosing(centers, np.full(512, 1.3), np.arange(512) // 128, np.ones(512, np.int64), False)([batch]))
+    pairs = [p for b in sent for p in zip(b.column("query_id").to_pylist(), b.column("part").to_pylist())]
+    assert max(b.num_rows for b in sent) <= 1024 and len(pairs) == len(set(pairs)) and len(pairs) <= 4 * 3000
+
+
 def test_dense_ranks_count_what_hard_constraints_leave_out(spark):
     ranked = spark.createDataFrame([(1, 10, 0.9, 1), (1, 11, 0.8, 2), (1, 12, 0.7, 3), (2, 11, 0.5, 1)], "query_id int, id int, score double, rank int")
     groups = spark.createDataFrame([(1, [["red", "wool"], ["m"]]), (2, [])], "query_id int, groups array<array<string>>")
