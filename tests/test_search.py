@@ -66,6 +66,42 @@ def test_states_are_ranked_as_by_a_whole_scan(spark, monkeypatch):
     assert looked < 40 * 300
 
 
+def test_states_meet_their_category_outside_the_driver(spark, monkeypatch):
+    """Products and states of a category meet in small shards and parts; no row of either is collected."""
+    r = random.Random(8)
+    items = [(i, f"cat{i % 3}" if i % 50 else None, r.choice(["red ring", "blue bolt"]), f"brand {r.randrange(4)}", str(r.randrange(1, 9)), r.random(), r.random() * 3) for i in range(300)]
+    items = spark.createDataFrame([(*p, " ".join((p[2], p[1] or "", p[3], p[4]))) for p in items], "asin bigint, cat string, title string, store string, size string, popularity double, log_ratings double, text string")
+    cons = "array<struct<attribute:string,value:string,hard:boolean,key:string,tokens:array<string>>>"
+    asked = [(q, f"cat{q % 4}", [("color", c, True, c, [c]), ("brand", b, False, b, b.split())], ["ring"], q % 2 == 0) for q, (c, b) in enumerate((r.choice(["red", "blue"]), f"brand {r.randrange(5)}") for _ in range(40))]
+    asked = spark.createDataFrame(asked, f"query_id bigint, category string, cons {cons}, tags array<string>, exploit boolean")
+    want = sorted(tuple(x) for x in ranking.scored(asked, items, 5).collect())
+    monkeypatch.setattr(ranking, "RACK", 37)
+    monkeypatch.setattr(ranking, "STATES", 3)
+    got = ranking.scored(asked, items, 5)
+    with monkeypatch.context() as m:
+        m.setattr(type(asked), "collect", lambda self: pytest.fail("collected"))
+        ranking.scored(asked, items, 5)
+    assert want and sorted(tuple(x) for x in got.collect()) == want and len({x[0] for x in want}) == 30
+
+
+def test_filters_look_up_few_products():
+    """Thousands of products that tie: the best twenty are those of a whole scan, found by the subsets of what is met."""
+    r = random.Random(9)
+    rows = [(i, r.choice(["red ring", "blue bolt", "old gear"]), r.choice([None, "brand 1", "brand 12"]), str(r.randrange(1, 40))) for i in r.sample(range(50_000), 20_000)]
+    rack, looked = ranking.Rack(np.array([x[0] for x in rows]), {c: pa.array([x[n] for x in rows], pa.string()) for n, c in enumerate(("title", "store", "size"), 1)}), 0
+    for _ in range(30):
+        cons = [{"attribute": a, "value": v} for a, v in (("color", "red"), ("color", "blue"), ("item", "gear"), ("brand", "brand 1"), ("size", str(r.randrange(1, 50)))) if r.random() < 0.7] or [{"attribute": "size", "value": "7"}]
+        ids, score, strict, n = ranking.filter_state(rack, {"category": "x", "cons": cons}, 20)
+        looked += n
+        field, want = {"size": 3, "brand": 2}, []
+        for x in rows:
+            met = {a: any(c["value"] in (x[field.get(a, 1)] or "") for c in cons if c["attribute"] == a) for a in {c["attribute"] for c in cons}}
+            want.append((-round(1 - sum(0 if ok else ranking.PENALTY.get(a, 0.2) for a, ok in met.items()), 6), x[0], all(met.values())))
+        want = sorted(want)[:20]
+        assert ids.tolist() == [w[1] for w in want] and strict.tolist() == [w[2] for w in want] and np.allclose(score, [-w[0] for w in want])
+    assert looked < 30 * 400
+
+
 def test_sets_of_keys_are_divided_by_the_rarest(spark):
     items = spark.createDataFrame([(1, "red wheel big"), (2, "red disc"), (3, "blue wheel big")], "asin int, text string")
     sets = spark.createDataFrame([(["red", "wheel"],), (["wheel"],), (["red", "zzz"],), (["ab", "red"],), ([],)], "keys array<string>")
@@ -73,6 +109,14 @@ def test_sets_of_keys_are_divided_by_the_rarest(spark):
     assert got == {("red+wheel", 1), ("wheel", 1), ("wheel", 3)}
 
 
+def test_satisfying_counts_of_equal_texts(spark):
+    """Equal texts and texts with the same keys are tested once, and every product counts."""
+    items = spark.createDataFrame([(i, ["red wheel 1", "red wheel 2", "red disc", "blue wheel"][i % 4]) for i in range(400)], "asin int, text string")
+    sets = spark.createDataFrame([(["red", "wheel"],), (["wheel"],), (["red", "zzz"],), (["ab", "red"],), ([],)], "keys array<string>")
+    got = {"+".join(x["keys"]): x["n_full"] for x in ranking.count_satisfying(sets, items).collect()}
+    assert got == {"red+wheel": 200, "wheel": 300}
+
+
 def test_nearest_by_cells_is_exact(spark, monkeypatch):
     for name, value in (("PROBES", 1), ("PART", 40), ("ASKED", 16)):
         monkeypatch.setattr(cells, name, value)
