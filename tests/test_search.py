@@ -41,6 +41,26 @@ def test_blocks_leave_most_rows_unscored():
     assert lists.best(["nobody"], None, None, 5)[2] == 0 and len(lists.best(["all"], ["nobody"], None, 5)[0]) == 0
 
 
+def test_equal_rows_are_searched_once(spark):
+    """Thousands of rows with the same terms and parts, and some of their own: the best by score and id, from few searched rows."""
+    rows = [(i, f"c{i % 3}", t, p) for i in range(3000) for t, p in ((f"t{i % 3}", 1.0), ("all", 0.5 if i != 2999 else 0.75))]
+    posted = spark.createDataFrame(rows, "id bigint, cluster string, term string, part double")
+    asked = spark.createDataFrame([("a", ["all", "t2"], None, None), ("b", [], ["t1"], None), ("c", ["t0"], ["all"], ["t0", "t9"])], "ask string, terms array<string>, must array<string>, one_of array<string>")
+    got = {}
+    for x in topk.term_search(posted, asked, 4).orderBy("ask", "rank").collect():
+        got.setdefault(x["ask"], []).append((x["id"], x["score"]))
+    assert got == {"a": [(2999 if 2999 % 3 == 2 else 2, 1.75 if 2999 % 3 == 2 else 1.5), (2, 1.5), (5, 1.5), (8, 1.5)], "b": [(1, 0.0), (4, 0.0), (7, 0.0), (10, 0.0)], "c": [(0, 1.0), (3, 1.0), (6, 1.0), (9, 1.0)]}
+
+
+def test_words_end_where_ascii_letters_do(spark):
+    """An accented letter next to a word is no part of it, as in SQL."""
+    df = spark.createDataFrame([("lé the",), ("éthe",), ("thé",), ("nothe",), ("über the_",)], "t string")
+    from quern.functions import text as T
+
+    assert [x[0] for x in df.select(F.col("t").rlike(T.ascii_words(r"\bthe\b"))).collect()] == [True, True, False, False, False]
+    assert df.select(F.regexp_replace("t", T.ascii_words(r"\bthe\b"), "that").alias("t")).collect()[1]["t"] == "éthat"
+
+
 def test_states_are_ranked_as_by_a_whole_scan(spark, monkeypatch):
     """Products and states at random; the bounds of blocks leave the same rows as scoring everything."""
     r = random.Random(5)
