@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from quern.operators import cells, dialogue, folds, lookahead, mentions, ranking, retrieval, topk
+from quern.operators import cells, dialogue, experiments, folds, lookahead, mentions, ranking, retrieval, topk
 from quern.sources import jsonl
 from quern.streaming import history, usage
 
@@ -52,6 +52,13 @@ def test_equal_rows_are_searched_once(spark):
     assert got == {"a": [(2999 if 2999 % 3 == 2 else 2, 1.75 if 2999 % 3 == 2 else 1.5), (2, 1.5), (5, 1.5), (8, 1.5)], "b": [(1, 0.0), (4, 0.0), (7, 0.0), (10, 0.0)], "c": [(0, 1.0), (3, 1.0), (6, 1.0), (9, 1.0)]}
 
 
+def test_values_held_by_equal_texts_count(spark):
+    """Every product counts, though equal texts are tested once and only texts of the category."""
+    items = spark.createDataFrame([(f"c{i % 2}", ["red ring 1", "red bolt 12"][i // 2 % 2]) for i in range(80)], "cat string, text string")
+    sets = spark.createDataFrame([("c0", ["1", "12"]), ("c0", ["red"]), ("c1", ["ring"]), ("c1", ["zzz"]), ("c2", ["red"])], "category string, vals array<string>")
+    assert sorted((x["category"], x["vals"], x["left"]) for x in experiments.holding_all(sets, items).collect()) == [("c0", ["1", "12"], 20), ("c0", ["red"], 40), ("c1", ["ring"], 20)]
+
+
 def test_words_end_where_ascii_letters_do(spark):
     """An accented letter next to a word is no part of it, as in SQL."""
     df = spark.createDataFrame([("lé the",), ("éthe",), ("thé",), ("nothe",), ("über the_",)], "t string")
