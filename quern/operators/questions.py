@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.operators.dialogue import _STATES, operations, turn_states
 from quern.operators.signals import _VALUES_SQL, CATEGORY_SIGNALS_SQL, PRIORS, attribute_values, category_signals, weights
+from quern.sources.staging import stored
 from quern.sources.views import CATALOG_SQL, catalog
 
 ATTRIBUTES = tuple(PRIORS)
@@ -115,56 +117,74 @@ PAIR_SQL = f"""{_SIGNALS_SQL} SELECT pool_id, asked, shrink, resolve10 FROM (SEL
 CLASS_OF = {"color_word": "color", "size": "size", "store": "brand"}
 #: Questions of a session, its last turn, least ask utility, stop utility.
 MAX_QUESTIONS, MAX_TURN, LEAST_ASK, STOP_AT = 3, 10, 0.2, 0.65
+REASONS = ("no_more_preferences", "max_questions", "turn_limit", "stop_utility_reached", "ask_utility_too_low", "highest_ask_utility")
+#: Ask utilities are rounded to nine places; attributes that can be asked about are fewer than PLACES.
+UNIT, PLACES = 1_000_000_000, 16
 
 
 def decide(turns: DataFrame, signals: DataFrame) -> DataFrame:
     """Ask or stop at each turn, why, and what.
 
     turns: session_id, turn, category, known, set_attributes, declined (arrays), no_more, confidence; signals as of
-    category_signals(). A question that was asked counts from the next turn on, so the turns of a session are folded in
-    order. Guards come first (no more preferences, questions used up, last turn), then the stop utility, then the attribute
-    of the largest ask utility, the first of equals. A category without signals takes those of all products."""
-    names = F.create_map(*[F.lit(x) for kv in CLASS_OF.items() for x in kv])
-    places = F.create_map(*[F.lit(x) for i, a in enumerate(CLASS_OF) for x in (a, -i)])
-    by = signals.groupBy(F.lower("category").alias("category")).agg(F.collect_list(F.struct("attribute", "gain", "answer_probability")).alias("sig"))
+    category_signals(). Guards come first (no more preferences, questions used up, last turn), then the stop utility, then
+    the attribute of the largest ask utility, the first of equals. A category without signals takes those of all products.
+
+    A question that was asked counts from the next turn on. A decision hangs on the earlier ones by the set of asked
+    attributes alone, which grows at most MAX_QUESTIONS times: so each utility is taken once for an attribute that was asked
+    and one that wasn't, and a window a question finds the turn of a session that asks the next new attribute."""
+    sig = F.struct("gain", "answer_probability")
+    most = 0.3 * F.col("gain") + 0.15 * F.col("answer_probability")  # of categories that differ by case
+    by = signals.groupBy(F.lower("category").alias("category")).agg(F.struct(*[F.max_by(F.when(F.col("attribute") == a, sig), F.when(F.col("attribute") == a, most)).alias(a) for a in CLASS_OF]).alias("sig"))
     have = turns.join(by, "category", "left").withColumn("every", F.lit("__all__"))
     have = have.join(F.broadcast(by.filter("category = '__all__'").select(F.col("category").alias("every"), F.col("sig").alias("all_sig"))), "every", "left")  # one row
-    fields = ["turn", "known", "set_attributes", "declined", "no_more", "confidence"]
-    per = have.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(*fields, F.coalesce("sig", "all_sig").alias("sig")))).alias("ts"))
     full = lambda v: F.least(F.lit(1.0), v)
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
-
-    def step(a, t):
-        asked, late, vague = a["asked"], (t["turn"] - 1) / 9.0, flag(t["confidence"] < 0.65)
-
-        def worth(s):
-            own = names[s["attribute"]]
-            value = (
-                0.3 * s["gain"] + 0.25 * flag(~F.array_contains(t["set_attributes"], own)) + 0.15 * s["answer_probability"] + 0.2 * vague
-                - 0.4 * flag(F.array_contains(asked, own)) - 0.6 * flag(F.array_contains(t["declined"], own)) - 0.15 * late
-            )
-            return F.struct(F.round(value, 9).alias("u"), places[s["attribute"]].alias("i"), s["attribute"].alias("attribute"))
-
-        top = F.array_max(F.transform(t["sig"], worth))
-        stop = F.round(0.35 * full(t["known"] / 4.0) + 0.25 * t["confidence"] + 0.15 * full(F.size(asked) / float(MAX_QUESTIONS)) + 0.25 * full(t["turn"] / 10.0) - 0.3 * vague, 6)
+    late, vague = (F.col("turn") - 1) / 9.0, flag(F.col("confidence") < 0.65)
+
+    def base(a):
+        s, own = F.coalesce("sig", "all_sig")[a], F.lit(CLASS_OF[a])
+        return 0.3 * s["gain"] + 0.25 * flag(~F.array_contains("set_attributes", own)) + 0.15 * s["answer_probability"] + 0.2 * vague
+
+    def worth(a, i, asked):
+        """Whole 1e-9 of the ask utility times PLACES, plus a place: the largest is that of the first of equals. A long is compared
+        faster than a struct, and the expressions stay small enough to be compiled."""
+        value = F.round(F.col(f"base_{a}") - 0.4 * asked - F.col(f"declined_{a}") - 0.15 * late, 9)
+        return F.round(value * UNIT).cast("bigint") * PLACES + (PLACES - 1 - i)
+
+    def stop(n):
+        return F.round(F.col("stop_base") + 0.15 * full(F.lit(n / MAX_QUESTIONS)) + F.col("stop_turn") - 0.3 * vague, 6)
+
+    names, least = list(CLASS_OF), min(MAX_QUESTIONS, len(CLASS_OF))
+    declined = [(0.6 * flag(F.array_contains("declined", F.lit(CLASS_OF[a])))).alias(f"declined_{a}") for a in names]
+    x = have.select("session_id", "turn", "no_more", "confidence", *[base(a).alias(f"base_{a}") for a in names], *declined, (0.35 * full(F.col("known") / 4.0) + 0.25 * F.col("confidence")).alias("stop_base"), (0.25 * full(F.col("turn") / 10.0)).alias("stop_turn"))
+    x = x.select("session_id", "turn", "no_more", *[worth(a, i, float(k)).alias(f"{a}_{k}") for i, a in enumerate(names) for k in (0, 1)], *[stop(n).alias(f"stop_{n}") for n in range(least + 1)])
+    # next_n: turn and place of the question for attribute n + 1; reason, top and stop: by what was asked before the turn
+    place_of = lambda packed: (PLACES - 1 - packed % PLACES).cast("int")
+    known = []
+    for n in range(least + 1):
+        was = lambda i, ks=tuple(known): reduce(lambda p, k: p | (F.col(k) % PLACES == i), ks, F.lit(False))
+        x = x.withColumn("after", F.coalesce(F.expr(f"next_{n - 1} div {PLACES}") < F.col("turn"), F.lit(False)) if n else F.lit(True))
+        x = x.withColumn("here", F.greatest(*[F.when(F.coalesce(was(i), F.lit(False)), F.col(f"{a}_1")).otherwise(F.col(f"{a}_0")) for i, a in enumerate(names)]))
         reason = (
-            F.when(t["no_more"], "no_more_preferences").when(F.size(asked) >= MAX_QUESTIONS, "max_questions").when(t["turn"] >= MAX_TURN, "turn_limit").when(stop >= STOP_AT, "stop_utility_reached")
-            .when(top["u"] < LEAST_ASK, "ask_utility_too_low").otherwise("highest_ask_utility")
+            F.when(F.col("no_more"), REASONS.index("no_more_preferences")).when(F.lit(n >= MAX_QUESTIONS), REASONS.index("max_questions")).when(F.col("turn") >= MAX_TURN, REASONS.index("turn_limit"))
+            .when(F.col(f"stop_{n}") >= STOP_AT, REASONS.index("stop_utility_reached")).when(F.floor(F.col("here") / PLACES) < round(LEAST_ASK * UNIT), REASONS.index("ask_utility_too_low")).otherwise(REASONS.index("highest_ask_utility"))
         )
-        q = F.when(reason == "highest_ask_utility", top["attribute"])
-        row = F.struct(t["turn"].alias("turn"), reason.alias("reason"), q.alias("asked"), top["u"].alias("ask_utility"), stop.alias("stop_utility"))
-        return F.struct(F.when(q.isNotNull(), F.array_union(asked, F.array(names[q]))).otherwise(asked).alias("asked"), F.array_append(a["rows"], row).alias("rows"))
-
-    zero = F.struct(F.array().cast("array<string>").alias("asked"), F.array().cast("array<struct<turn:int,reason:string,asked:string,ask_utility:double,stop_utility:double>>").alias("rows"))
-    return per.select("session_id", F.explode(F.aggregate("ts", zero, step, lambda a: a["rows"])).alias("r")).select("session_id", "r.*")
+        fresh = {"reason": reason, "top": F.col("here"), "stop": F.col(f"stop_{n}")}
+        x = x.withColumns({k: F.when(F.col("after"), v).otherwise(F.col(k)) if n else v for k, v in fresh.items()})
+        if n < least:
+            q = place_of(F.pmod("top", F.lit(PLACES)))
+            new = F.col("after") & (F.col("reason") == REASONS.index("highest_ask_utility")) & F.col("top").isNotNull() & ~F.coalesce(was(q), F.lit(False))
+            known.append(f"next_{n}")
+            x = x.withColumn(known[-1], F.min(F.when(new, F.col("turn").cast("bigint") * PLACES + q)).over(Window.partitionBy("session_id")))
+    asked = F.when(F.col("reason") == REASONS.index("highest_ask_utility"), F.get(F.array(*map(F.lit, names)), place_of(F.pmod("top", F.lit(PLACES)))))
+    return x.select("session_id", "turn", F.array(*map(F.lit, REASONS))[F.col("reason")].alias("reason"), asked.alias("asked"), (F.floor(F.col("top") / PLACES) / UNIT).alias("ask_utility"), F.col("stop").alias("stop_utility"))
 
 
 def question_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """decide() for every turn of every session."""
     s = turn_states(operations(spark, sf_dir))
-    attributes = F.transform("cons", lambda c: c["attribute"])
-    t = s.select("session_id", "turn", F.coalesce("category", F.lit("__all__")).alias("category"), F.size("cons").alias("known"), attributes.alias("set_attributes"), "declined", "no_more", "confidence")
-    return decide(t, category_signals(spark, sf_dir))
+    t = s.select("session_id", "turn", F.coalesce("category", F.lit("__all__")).alias("category"), F.size("cons").alias("known"), F.col("cons.attribute").alias("set_attributes"), "declined", "no_more", "confidence")
+    return decide(t, stored(category_signals(spark, sf_dir), "category-signals"))  # so its size is known, and a small one goes to the turns
 
 
 _CLASS = "CASE x.attribute " + " ".join(f"WHEN '{a}' THEN '{c}'" for a, c in CLASS_OF.items()) + " END"
@@ -185,7 +205,7 @@ SELECT session_id, turn, reason, q AS asked, u AS ask_utility, stop AS stop_util
 
 def question_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns by reason and asked attribute, with the share of all turns."""
-    d = question_decisions(spark, sf_dir).groupBy("reason", "asked").agg(F.count("*").alias("n"))
+    d = stored(question_decisions(spark, sf_dir).groupBy("reason", "asked").agg(F.count("*").alias("n")), "decisions")  # read twice
     total = d.agg(F.sum("n").alias("total"))  # one row
     return d.join(F.broadcast(total)).select("reason", "asked", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
 
