@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators.dialogue import _STATES, operations, turn_states
+from quern.operators.dialogue import _STATES, operations, session_turns
 from quern.operators.lookups import VOCABULARY_SQL, vocabulary
 from quern.operators.profile import TOKENS_SQL
 from quern.sources.views import CATALOG_SQL, catalog, read
@@ -18,39 +18,52 @@ FIELDS = (("color", "title", 0.8, False), ("item", "title", 0.7, False), ("item"
 POLICIES = {"color": "unmet", "size": "soft_unmet", "item": "soft_unmet", "brand": "pass"}
 
 
-def contains_term(text: Column, term: Column) -> Column:
-    """A single token matches a whole word, a phrase any substring (T29); both are lower-cased."""
-    word = F.array_contains(F.split(text, "[^a-z0-9%]+"), term)
+def words_of(text: Column) -> Column:
+    return F.split(text, "[^a-z0-9%]+")
+
+
+def contains_term(text: Column, term: Column, words: Column | None = None) -> Column:
+    """A single token matches a whole word, a phrase any substring (T29); both are lower-cased. words: words_of(text), if at hand."""
+    word = F.array_contains(words_of(text) if words is None else words, term)
     return F.when(F.contains(term, F.lit(" ")), F.contains(text, term)).otherwise(word)
 
 
-def constraint_hit(attribute: Column, value: Column, fields: dict[str, Column]) -> Column:
+def constraint_hit(attribute: Column, value: Column, fields: dict[str, Column], words: dict[str, Column] | None = None) -> Column:
     """0 to 1: how well a product meets a constraint by the fields that can prove it (R14). An authoritative field that holds
-    the value gives 1, else the largest weight, else the policy for missing. No value: 0.5; null fields hold nothing."""
-    best, sure = F.lit(0.0), F.lit(False)
+    the value gives 1, else the largest weight, else the policy for missing. No value: 0.5; null fields hold nothing. words:
+    words_of() the fields, if they are at hand."""
+    own: dict[str, list] = {}
     for a, f, weight, authority in FIELDS:
-        met = (attribute == a) & F.coalesce(contains_term(fields[f], value), F.lit(False))
-        best = F.greatest(best, F.when(met, F.lit(weight)).otherwise(0.0))
-        sure = sure | met if authority else sure
-    words = T.constraint_tokens(value)
-    share = F.coalesce(T.token_share(F.concat_ws(" ", *fields.values()), words), F.lit(0.0)) * 0.5
+        own.setdefault(a, []).append((f, 1.0 if authority else weight))
+    worth = []
+    for j in range(max(map(len, own.values()))):  # an attribute's j-th field: only its own fields are looked at
+        pick = lambda of, j=j: F.coalesce(*[F.when(attribute == a, of(*fs[j])) for a, fs in own.items() if j < len(fs)])
+        text, ws = pick(lambda f, w: fields[f]), pick(lambda f, w: words[f] if words else words_of(fields[f]))
+        worth.append(F.when(contains_term(text, value, ws), pick(lambda f, w: F.lit(w))))
+    best = F.greatest(*worth, F.lit(None).cast("double"))
+    share = F.coalesce(T.token_share(F.concat_ws(" ", *fields.values()), T.constraint_tokens(value)), F.lit(0.0)) * 0.5
     policy = F.create_map(*[F.lit(x) for kv in POLICIES.items() for x in kv])[attribute]
     missing = F.when(policy == "pass", 1.0).when(policy == "unmet", 0.0).otherwise(share)
-    return F.when(F.coalesce(value, F.lit("")) == "", 0.5).when(sure, 1.0).when(best > 0, best).otherwise(missing)
+    return F.when(F.coalesce(value, F.lit("")) == "", 0.5).otherwise(F.coalesce(best, missing))
 
 
 def field_constraint_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """constraint_hit() of every constraint of a session's last state against each product that the session saw; mean and
-    number of full hits by product. Sessions are short, so the join grows with the lines."""
-    states = turn_states(operations(spark, sf_dir))
-    last = states.groupBy("session_id").agg(F.max_by("cons", "turn").alias("cons"))
-    wanted = last.select("session_id", F.explode("cons").alias("c")).select("session_id", "c.attribute", "c.value")
-    pairs = states.select("session_id", "asin").distinct()
+    number of full hits by product. Sessions are short, so the pairs grow with the lines.
+
+    Pairs are read off each session's own row and counted by product, attribute and value, so that each is scored once. A
+    product's words are cut once for each of its fields."""
+    last = session_turns(operations(spark, sf_dir)).select(F.array_distinct(F.transform("ops", lambda o: o["asin"])).alias("asins"), F.element_at("states", -1)["cons"].alias("cons"))
+    pairs = last.select("cons", F.explode("asins").alias("asin")).select("asin", F.explode("cons").alias("c")).select("asin", "c.attribute", "c.value")
+    names = ("title", "size", "category", "store")
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("asin"), F.lower("p_name").alias("title"), F.col("p_size").cast("string").alias("size"), F.lower("p_type").alias("category"), F.lower("p_brand").alias("store"))
-    hit = constraint_hit(F.col("attribute"), F.col("value"), {f: F.col(f) for f in ("title", "size", "category", "store")})
-    scored = pairs.join(wanted, "session_id").join(part, "asin").select("asin", hit.alias("hit"))
+    part = part.withColumn("words", F.struct(*[words_of(F.col(f)).alias(f) for f in names]))
+    counted = pairs.repartition("asin").groupBy("asin", "attribute", "value").agg(F.count("*").alias("k"))  # the one shuffle of the pairs: the rest goes by product too
+    hit = constraint_hit(F.col("attribute"), F.col("value"), {f: F.col(f) for f in names}, {f: F.col("words")[f] for f in names})
+    scored = counted.join(part.hint("merge"), "asin").select("asin", "k", hit.alias("hit"))
     micro = F.round(F.col("hit") * 1_000_000).cast("bigint")  # whole millionths, so that the mean doesn't hang on the order of a sum
-    return scored.groupBy("asin").agg(F.count("*").alias("n"), F.sum(micro).alias("s"), F.count_if(F.col("hit") >= 1).alias("n_full")).select("asin", "n", (F.expr("(2 * s + n) div (2 * n)") / 1_000_000).alias("mean_hit"), "n_full")
+    x = scored.groupBy("asin").agg(F.sum("k").alias("n"), F.sum(F.col("k") * micro).alias("s"), F.sum(F.when(F.col("hit") >= 1, F.col("k")).otherwise(0)).alias("n_full"))
+    return x.select("asin", "n", (F.expr("(2 * s + n) div (2 * n)") / 1_000_000).alias("mean_hit"), "n_full")
 
 
 def _sql_hit(f: str) -> str:
