@@ -94,8 +94,14 @@ def nested_pools(products: DataFrame, sizes=SIZES, samples: int = SAMPLES) -> Da
     """sample, size, kept (all or deleted), id: for each sample one seeded hash order of the products (id), whose first rows are
     the pool of every size, and without the last tenth of them the pool after a deletion."""
     every = products.select("id", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
-    order = F.md5(F.concat_ws(":", F.lit("pool"), "sample", "id"))
-    first = every.withColumn("place", F.row_number().over(Window.partitionBy("sample").orderBy(order, "id"))).filter(F.col("place") <= max(sizes))
+    every = every.withColumn("order", F.md5(F.concat_ws(":", F.lit("pool"), "sample", "id")))
+    every = every.withColumn("head", F.substring("order", 1, 3))
+    # how far the first rows reach, from counts by the first digits of the order: only what begins no later is sorted
+    heads = every.groupBy("sample", "head").agg(F.count("*").alias("c"))  # 4,096 a sample at most
+    reach = heads.withColumn("before", F.sum("c").over(Window.partitionBy("sample").orderBy("head")) - F.col("c")).filter(F.col("before") < max(sizes))
+    last = reach.groupBy("sample").agg(F.max("head").alias("last"))
+    near = every.join(F.broadcast(last), "sample").filter("head <= last")  # last: a row a sample
+    first = near.withColumn("place", F.row_number().over(Window.partitionBy("sample").orderBy("order", "id"))).filter(F.col("place") <= max(sizes)).select("sample", "id", "place")
     have = first.groupBy("sample").agg(F.count("*").alias("have"))
     less = lambda n: n - F.greatest(F.lit(1), F.round(n * DELETED / 100).cast("int"))
     x = first.join(have, "sample").select("sample", "id", "place", "have", F.explode(F.array(*map(F.lit, sizes))).alias("size"))
@@ -110,6 +116,7 @@ def question_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = catalog(spark, sf_dir).select(F.col("asin").alias("id"), F.lower("category").alias("category"))
     _, wide = _pools(spark, sf_dir)
     pools = stored(nested_pools(c.select("id")), "nested-pools")
+    wide = stored(wide.join(pools.select("id").distinct(), "id", "left_semi"), "pool-values")  # the pools hold a bounded number of products
     name = F.concat_ws("/", "sample", "size", "kept")
     pool = pools.select(name.alias("pool_id"), "id", F.lit(None).cast("double").alias("score"))  # no scores: uniform
     one = stored(spread_signals(remaining(pool, wide)).filter(~F.contains("asked", F.lit("+"))), "pool-signals")
